@@ -28,7 +28,7 @@ def normalize_level(raw: Column) -> Column:
     """Level name for any accepted spelling, else ``UNKNOWN``."""
     word = F.upper(F.btrim(raw, F.lit(" \t\r\n\f\x0b")))
     known = F.create_map(*[F.lit(x) for pair in LEVEL_ALIASES.items() for x in pair])
-    return F.coalesce(F.try_element_at(known, word), F.lit("UNKNOWN"))
+    return F.coalesce(F.try_element_at(known, F.coalesce(word, F.lit(""))), F.lit("UNKNOWN"))
 
 
 def level_in_text(text: Column) -> Column:

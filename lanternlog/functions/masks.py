@@ -7,14 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lanternlog.functions.binding import bind
+
 _MONTHS = "(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)"
-_START = r"((?<=[^A-Za-z0-9])|^)"
-_END = r"((?=[^A-Za-z0-9])|$)"
 
 
 def _bounded(core: str) -> str:
-    """``core`` between characters that are neither letters nor digits, or the ends of the text."""
-    return _START + core + _END
+    """``core`` where neither neighbour is a letter or digit."""
+    return f"(?<![A-Za-z0-9])(?:{core})(?![A-Za-z0-9])"
 
 
 # The masks in the order they apply, grouped by a cheap test that any match must pass.
@@ -37,22 +37,22 @@ TIME_MASKS = (
     (r"\[?\b\d{2}:\d{2}:\d{2}(?:[\.,]\d+)?\b\]?", "TIMESTAMP"),
 )
 URL_MASKS = ((r"https?://[^\s\"'<>]+", "URL"),)
-MAC_MASKS = ((_bounded(r"((?:[0-9a-fA-F]{2}[:-]){5}[0-9a-fA-F]{2})"), "MAC"),)
-IPV4_MASKS = ((_bounded(r"(\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?::\d{1,5})?)"), "IP"),)
-IPV6_MASKS = ((_bounded(r"((?:[0-9a-fA-F]{0,4}:){2,7}[0-9a-fA-F]{1,4}|::1)"), "IP"),)
-HEX_MASKS = ((_bounded(r"(0x[a-f0-9A-F]+)"), "HEX"),)
-UUID_MASKS = ((r"([0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12})", "UUID"),)
-HASH_MASKS = ((_bounded(r"([0-9a-fA-F]{32,64})"), "HASH"),)
+MAC_MASKS = ((_bounded(r"(?:[0-9a-fA-F]{2}[:-]){5}[0-9a-fA-F]{2}"), "MAC"),)
+IPV4_MASKS = ((_bounded(r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?::\d{1,5})?"), "IP"),)
+IPV6_MASKS = ((_bounded(r"(?:[0-9a-fA-F]{0,4}:){2,7}[0-9a-fA-F]{1,4}|::1"), "IP"),)
+HEX_MASKS = ((_bounded(r"0x[a-f0-9A-F]+"), "HEX"),)
+UUID_MASKS = ((r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}", "UUID"),)
+HASH_MASKS = ((_bounded(r"[0-9a-fA-F]{32,64}"), "HASH"),)
 UNIT_MASKS = (
-    (_bounded(r"(\d+(?:\.\d+)?\s*(?:µs|us|ns|ms|s|sec|min|m))"), "DURATION"),
-    (_bounded(r"(\d+(?:\.\d+)?\s*(?:B|KB|MB|GB|TB|bytes|kb|mb|gb))"), "BYTES"),
+    (_bounded(r"\d+(?:\.\d+)?\s*(?:µs|us|ns|ms|s|sec|min|m)"), "DURATION"),
+    (_bounded(r"\d+(?:\.\d+)?\s*(?:B|KB|MB|GB|TB|bytes|kb|mb|gb)"), "BYTES"),
 )
 PATH_MASKS = (
-    (_bounded(r"(?:/(?:[a-zA-Z0-9_\.\-]+/)*[a-zA-Z0-9_\.\-]+|[a-zA-Z]:(?:\\[a-zA-Z0-9_\.\-]+)+)"), "PATH"),
+    (_bounded(r"/(?:[a-zA-Z0-9_\.\-]+/)*[a-zA-Z0-9_\.\-]+|[a-zA-Z]:(?:\\[a-zA-Z0-9_\.\-]+)+"), "PATH"),
 )
 NUMBER_MASKS = (
-    (_bounded(r"([\-\+]?\d+\.\d+)"), "NUM"),
-    (_bounded(r"([\-\+]?\d+)"), "NUM"),
+    (_bounded(r"[\-\+]?\d+\.\d+"), "NUM"),
+    (_bounded(r"[\-\+]?\d+"), "NUM"),
 )
 
 _digit: Callable[[Column], Column] = lambda text: text.rlike("[0-9]")
@@ -79,21 +79,23 @@ def first_line(message: Column) -> Column:
     return F.btrim(F.substring_index(message, "\n", 1), F.lit(" \t\r\n\f\x0b"))
 
 
-def with_masks(
-    df: DataFrame,
-    source: str,
-    target: str,
-    groups: tuple[tuple[Callable[[Column], Column], tuple[tuple[str, str], ...]], ...] = GROUPS,
-) -> DataFrame:
-    """Add ``target``: the first line of ``source`` with every variable part replaced by its mask name.
+def mask(message: Column, groups: tuple[tuple[Callable[[Column], Column], tuple[tuple[str, str], ...]], ...] = GROUPS) -> Column:
+    """First line of a message with every variable part replaced by its mask name.
 
-    Each group of masks is one projection behind its test, so plain prose skips nearly all of them.
+    Each group of masks runs behind its test, so plain prose skips nearly all of them.
     """
-    keep = [c for c in df.columns if c != target]
-    df = df.withColumn("_text", first_line(F.col(source)))
+    text = first_line(message)
     for test, masks in groups:
-        masked = F.col("_text")
-        for pattern, name in masks:
-            masked = F.regexp_replace(masked, F.lit(pattern), F.lit(f"<{name}>"))
-        df = df.withColumn("_text", F.when(test(F.col("_text")), masked).otherwise(F.col("_text")))
-    return df.select(*keep, F.col("_text").alias(target))
+
+        def step(t: Column, test: Callable = test, masks: tuple = masks) -> Column:
+            masked = t
+            for pattern, name in masks:
+                masked = F.regexp_replace(masked, F.lit(pattern), F.lit(f"<{name}>"))
+            return F.when(test(t), masked).otherwise(t)
+
+        text = bind(text, step)
+    return text
+
+
+def with_masks(df: DataFrame, source: str, target: str) -> DataFrame:
+    return df.withColumn(target, mask(F.col(source)))

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lanternlog.functions import times
+from lanternlog.functions.binding import bind
 from lanternlog.functions.levels import level_in_text, normalize_level
 
 _BLANKS = " \t\r\n\f\x0b"
@@ -61,18 +62,19 @@ def starts_record(line: Column, pattern: str | Column | None = None, negate: boo
 
 def json_attributes(record: Column, log_format: Column | None = None) -> Column:
     """Attributes of a JSON record; null when the record is text or broken JSON."""
-    candidate = looks_like_json(record)
-    if log_format is not None:
-        candidate = candidate | (log_format == "json")
-    trimmed = strip(record)
-    valid = F.try_parse_json(trimmed).isNotNull() & trimmed.startswith("{")
-    return F.when(candidate & valid, F.from_json(trimmed, "map<string,string>"))
+
+    def read(text: Column) -> Column:
+        candidate = text.startswith("{")
+        claimed = text.endswith("}") if log_format is None else text.endswith("}") | (log_format == "json")
+        return F.when(candidate & claimed & F.try_parse_json(text).isNotNull(), F.from_json(text, "map<string,string>"))
+
+    return bind(strip(record), read)
 
 
 def first_filled(attributes: Column, names: tuple[str, ...]) -> Column:
     """First attribute among ``names`` that is neither missing nor empty."""
-    values = [F.try_element_at(attributes, F.lit(name)) for name in names]
-    return F.coalesce(*[F.when(~value.isin("", "[]", "{}", "false"), value) for value in values])
+    values = F.array(*[F.try_element_at(attributes, F.lit(name)) for name in names])
+    return F.get(F.filter(values, lambda v: v.isNotNull() & ~v.isin("", "[]", "{}", "false")), F.lit(0))
 
 
 def json_time(attributes: Column) -> Column:
@@ -87,18 +89,34 @@ def json_message(attributes: Column, record: Column) -> Column:
     return F.coalesce(first_filled(attributes, MESSAGE_KEYS), strip(record))
 
 
-def _leading_time(record: Column) -> Column:
-    iso = F.regexp_extract(record, times.ISO_START, 0)
-    return F.when(iso != "", iso).otherwise(F.regexp_extract(record, times.BRACKET_START, 1))
-
-
 def text_time(record: Column) -> Column:
-    return times.parse_timestamp(F.nullif(_leading_time(record), F.lit("")))
+    """Time at the start of a text record, bare or in brackets."""
+    iso = F.nullif(F.regexp_extract(record, times.ISO_START, 0), F.lit(""))
+    bracketed = F.nullif(F.regexp_extract(record, times.BRACKET_START, 1), F.lit(""))
+    return times.parse_timestamp(F.coalesce(iso, bracketed))
 
 
 def text_level(record: Column) -> Column:
     """Level word that follows the leading time, if the record has one."""
-    body = F.regexp_replace(
-        record, F.lit(f"(?:{times.ISO_START}|{times.BRACKET_START})"), F.lit("")
-    )
+    body = F.regexp_replace(record, F.lit(f"(?:{times.ISO_START}|{times.BRACKET_START})"), F.lit(""))
     return level_in_text(body)
+
+
+def parsed(record: Column, log_format: Column | None = None) -> Column:
+    """Struct of attributes (null for text records), time, level and message of a record."""
+
+    def of_json(attributes: Column) -> Column:
+        return F.struct(
+            attributes.alias("attributes"),
+            json_time(attributes).alias("event_ts"),
+            json_level(attributes).alias("level"),
+            json_message(attributes, record).alias("message"),
+        )
+
+    of_text = F.struct(
+        F.lit(None).cast("map<string,string>").alias("attributes"),
+        text_time(record).alias("event_ts"),
+        text_level(record).alias("level"),
+        strip(record).alias("message"),
+    )
+    return bind(json_attributes(record, log_format), lambda a: F.when(a.isNotNull(), of_json(a)).otherwise(of_text))

@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lanternlog.functions.binding import bind
 from lanternlog.functions.ids import DEFAULT_SALT, client_hash, pseudonym
 
 # The patterns of sensitive tokens.
@@ -96,29 +97,38 @@ def redact_rule(text: Column, tag: str, salt: str = DEFAULT_SALT) -> Column:
 
 
 def redact_value(text: Column, salt: str = DEFAULT_SALT) -> Column:
-    """All rules as one expression, for short values inside maps and arrays."""
+    """Text after all rules."""
     for rule in RULES:
-        text = rule.rewrite(text, salt)
+        text = bind(text, lambda t, rule=rule: F.when(rule.guard(t), rule.rewrite(t, salt)).otherwise(t))
     return text
 
 
-def with_redaction(
-    df: DataFrame, source: str, target: str, tags: str = "redaction_types", salt: str = DEFAULT_SALT
-) -> DataFrame:
-    """Add the redacted text and the sorted tags of the rules that matched.
+def redact(text: Column, salt: str = DEFAULT_SALT) -> Column:
+    """Struct of the text after all rules and the sorted tags of those that matched.
 
-    Every rule is its own projection: the text of a step is computed once, a text that fails the guard costs
-    no regular expression, and only a text that matched is rewritten.
+    A text that fails a guard costs no regular expression, and only a text that matched is rewritten.
     """
-    keep = df.columns
-    df = df.withColumn("_text", F.col(source))
+    state = F.struct(text.alias("text"), F.array().cast("array<string>").alias("tags"))
     for rule in RULES:
-        hit = f"_hit_{rule.tag}"
-        df = df.withColumn(hit, rule.guard(F.col("_text")) & F.col("_text").rlike(rule.pattern))
-        df = df.withColumn("_text", F.when(F.col(hit), rule.rewrite(F.col("_text"), salt)).otherwise(F.col("_text")))
-    fired = F.array(*[F.when(F.col(f"_hit_{tag}"), F.lit(tag)) for tag in sorted(r.tag for r in RULES)])
-    rest = [F.col(c) for c in keep if c not in (target, tags)]
-    return df.select(*rest, F.col("_text").alias(target), F.array_compact(fired).alias(tags))
+
+        def step(s: Column, rule: Rule = rule) -> Column:
+            hit = rule.guard(s["text"]) & s["text"].rlike(rule.pattern)
+            changed = F.struct(
+                rule.rewrite(s["text"], salt).alias("text"), F.array_append(s["tags"], F.lit(rule.tag)).alias("tags")
+            )
+            return F.when(hit, changed).otherwise(s)
+
+        state = bind(state, step)
+    return bind(state, lambda s: F.struct(s["text"].alias("text"), F.array_sort(s["tags"]).alias("tags")))
+
+
+def with_redaction(
+    df: DataFrame, source: str, target: str, tags: str = "redaction_types", salt: str = DEFAULT_SALT
+) -> DataFrame:
+    """Replace ``source`` by its redacted text ``target`` and the tags of the rules that matched."""
+    rest = [c for c in df.columns if c not in (source, target, tags)]
+    clean = df.select(*rest, redact(F.col(source), salt).alias("_clean"))
+    return clean.select(*rest, F.col("_clean.text").alias(target), F.col("_clean.tags").alias(tags))
 
 
 def _normalized(entries: Column) -> Column:
@@ -138,13 +148,17 @@ def safe_attributes(attributes: Column, salt: str = DEFAULT_SALT) -> Column:
     kept = F.filter(
         _normalized(F.map_entries(attributes)), lambda e: e["k"].isin(*SAFE_KEYS) & e["v"].isNotNull()
     )
+
     # The last spelling of a name wins, as when the entries are written one after the other.
-    indexed = F.transform(kept, lambda e, i: F.struct(e["k"].alias("k"), e["v"].alias("v"), i.alias("i")))
-    last = F.filter(
-        indexed,
-        lambda e: ~F.exists(indexed, lambda other: (other["k"] == e["k"]) & (other["i"] > e["i"])),
+    def last_of_each(entries: Column) -> Column:
+        return F.filter(
+            entries,
+            lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda later: later["k"] == e["k"]),
+        )
+
+    pairs = F.transform(
+        bind(kept, last_of_each), lambda e: F.struct(e["k"].alias("key"), redact_value(e["v"], salt).alias("value"))
     )
-    pairs = F.transform(last, lambda e: F.struct(e["k"].alias("key"), redact_value(e["v"], salt).alias("value")))
     return F.coalesce(F.map_from_entries(pairs), F.create_map().cast("map<string,string>"))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lanternlog.functions.binding import bind
+
 # The shapes of a time at the start of a line.
 ISO_START = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:?\d{2})?"
 BRACKET_START = r"^\[(\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:\.\d+)?)\]"
@@ -18,11 +20,14 @@ def parse_timestamp(raw: Column) -> Column:
 
     The shape is checked first because a plain cast also accepts a bare year or a time of today.
     """
-    text = F.btrim(F.btrim(raw, F.lit(" \t\r\n\f\x0b")), F.lit("[]()"))
-    iso = F.regexp_replace(text, F.lit(r"[.,](\d{1,6})\d*"), F.lit(".$1"))
-    iso = F.regexp_replace(iso, F.lit(r"^(\d{4}-\d{2}-\d{2}[T ]\d{2})(Z|[+-].*)?$"), F.lit("$1:00$2"))
-    return F.coalesce(
-        F.when(text.rlike(_ISO), iso.try_cast("timestamp")),
-        F.when(text.rlike(r"^\d{8}$"), F.try_to_timestamp(text, F.lit("yyyyMMdd"))),
-        F.when(text.rlike(r"^\d{4}/\d{1,2}/\d{1,2} "), F.try_to_timestamp(text, F.lit("yyyy/M/d HH:mm:ss"))),
-    )
+
+    def read(text: Column) -> Column:
+        iso = F.regexp_replace(text, F.lit(r"[.,](\d{1,6})\d*"), F.lit(".$1"))
+        iso = F.regexp_replace(iso, F.lit(r"^(\d{4}-\d{2}-\d{2}[T ]\d{2})(Z|[+-].*)?$"), F.lit("$1:00$2"))
+        return (
+            F.when(text.rlike(_ISO), iso.try_cast("timestamp"))
+            .when(text.rlike(r"^\d{8}$"), F.try_to_timestamp(text, F.lit("yyyyMMdd")))
+            .when(text.rlike(r"^\d{4}/\d{1,2}/\d{1,2} "), F.try_to_timestamp(text, F.lit("yyyy/M/d HH:mm:ss")))
+        )
+
+    return bind(F.btrim(F.btrim(raw, F.lit(" \t\r\n\f\x0b")), F.lit("[]()")), read)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,48 +21,73 @@ _LEAF = (*_SCOPE, "tokens", "lead")
 
 def _with_leaf(patterns: DataFrame, depth: int) -> DataFrame:
     """Add the leaf a pattern belongs to: its length and its leading tokens, those with digits as wildcards."""
-    tokens = F.split("pattern", " +")
+    tokens = F.filter(F.split("pattern", " +"), lambda t: t != "")
     lead = F.transform(
         F.slice(tokens, 1, max(depth - 3, 0)), lambda t: F.when(t.rlike("[0-9]"), F.lit(WILDCARD)).otherwise(t)
     )
     return patterns.withColumn("tokens", F.size(tokens)).withColumn("lead", F.array_join(lead, " "))
 
 
-def _cluster_part(similarity: float):
-    """Function that clusters the patterns of one leaf part, in order of first sight."""
+def _cluster_leaves(similarity: float):
+    """Function over batches sorted by leaf and first sight that adds to each pattern the template it ends in."""
     wildcard = WILDCARD
 
-    def cluster(part: pd.DataFrame) -> pd.DataFrame:
+    def cluster(patterns: list[str]) -> list[str]:
         import numpy as np
 
-        part = part.sort_values(["first_seen", "pattern"])
-        words = [p.split(" ") for p in part["pattern"].str.replace(r" +", " ", regex=True)]
+        words = [[w for w in p.split(" ") if w] for p in patterns]
         codes = {wildcard: 0}
         rows = np.array([[codes.setdefault(w, len(codes)) for w in line] for line in words], dtype=np.int32)
         clusters = np.empty_like(rows)
         used = 0
-        member = np.empty(len(rows), dtype=np.int64)
-        for index, row in enumerate(rows):
+        member = []
+        for row in rows:
             chosen = -1
             if used:
                 held = clusters[:used]
                 equal = ((held == row) & (held != 0)).sum(axis=1)
                 wild = (held == 0).sum(axis=1)
-                best = np.lexsort((np.arange(used), -wild, -equal))[0]
+                # Most equal words first, then most wildcards, then the older template.
+                best = int(np.lexsort((-wild, -equal))[0])
                 if equal[best] / len(row) >= similarity or (held[best] == row).all():
-                    chosen = int(best)
+                    chosen = best
             if chosen < 0:
                 clusters[used] = row
                 chosen = used
                 used += 1
             else:
                 clusters[chosen] = np.where(clusters[chosen] == row, row, 0)
-            member[index] = chosen
+            member.append(chosen)
         names = {code: word for word, code in codes.items()}
         texts = [" ".join(names[code] for code in clusters[i]) for i in range(used)]
-        return part.assign(merged=[texts[i] for i in member])
+        return [texts[i] for i in member]
 
-    return cluster
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import numpy as np
+        import pandas as pd
+
+        held: list[pd.DataFrame] = []
+        leaf = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            keys = batch["leaf"].to_numpy()
+            cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1), len(keys)]
+            done = []
+            for low, high in zip(cuts[:-1], cuts[1:]):
+                if held and keys[low] != leaf:
+                    whole = pd.concat(held) if len(held) > 1 else held[0]
+                    done.append(whole.assign(merged=cluster(whole["pattern"].tolist())))
+                    held = []
+                leaf = keys[low]
+                held.append(batch.iloc[low:high])
+            if done:
+                yield pd.concat(done).drop(columns="leaf")
+        if held:
+            whole = pd.concat(held)
+            yield whole.assign(merged=cluster(whole["pattern"].tolist())).drop(columns="leaf")
+
+    return run
 
 
 def cluster_signatures(
@@ -68,35 +95,42 @@ def cluster_signatures(
 ) -> DataFrame:
     """Template of every distinct signature (``application``, ``environment``, ``template_text``, ``first_seen``).
 
-    Leaves are independent, so each is one task. A leaf with more than ``group_limit`` signatures is cut into
-    parts by hash; the templates of its parts are clustered again, until they fit one part or no longer merge.
+    Leaves are independent, so they are spread over the tasks. A leaf with more than ``group_limit``
+    signatures is cut into parts by hash; the templates of its parts are clustered again, until they fit one
+    part or no longer merge.
     """
     current = materialize(
         _with_leaf(signatures.select(*_SCOPE, F.col("template_text").alias("pattern"), "first_seen"), depth)
     )
     mapping = current.select(*_SCOPE, F.col("pattern").alias("template_text"), F.col("pattern").alias("mined_text"))
     schema = "application string, environment string, pattern string, first_seen timestamp, merged string"
-    cluster = _cluster_part(similarity)
     rounds = 0
     while True:
         sizes = current.groupBy(*_LEAF).agg(F.count(F.lit(1)).alias("_size"))
-        parts = F.ceil(F.col("_size") / group_limit).cast("int")
-        seed = F.lit(rounds)
-        cut = current.join(sizes, list(_LEAF)).withColumn("_part", F.pmod(F.xxhash64("pattern", seed), parts))
-        merged = materialize(
-            cut.groupBy(*_LEAF, "_part").applyInPandas(
-                lambda part: cluster(part)[["application", "environment", "pattern", "first_seen", "merged"]], schema
-            )
+        largest, before = sizes.agg(F.max("_size"), F.sum("_size")).first()
+        whole = largest is None or largest <= group_limit
+        if whole:
+            cut = current.withColumn("_part", F.lit(0))
+        else:
+            parts = F.ceil(F.col("_size") / group_limit).cast("int")
+            cut = current.join(sizes, list(_LEAF)).withColumn("_part", F.pmod(F.xxhash64("pattern", F.lit(rounds)), parts))
+        keyed = cut.select(
+            F.concat_ws("\x1f", *[F.col(c).cast("string") for c in (*_LEAF, "_part")]).alias("leaf"),
+            *_SCOPE, "pattern", "first_seen",
         )
+        sorted_leaves = keyed.repartition("leaf").sortWithinPartitions("leaf", "first_seen", "pattern")
+        merged = materialize(sorted_leaves.mapInPandas(_cluster_leaves(similarity), schema))
         step = merged.select(*_SCOPE, F.col("pattern").alias("mined_text"), F.col("merged").alias("_next"))
-        mapping = materialize(
-            mapping.join(step, [*_SCOPE, "mined_text"]).select(*_SCOPE, "template_text", F.col("_next").alias("mined_text"))
+        mapping = mapping.join(step, [*_SCOPE, "mined_text"]).select(
+            *_SCOPE, "template_text", F.col("_next").alias("mined_text")
         )
-        largest, before = current.join(sizes, list(_LEAF)).agg(F.max("_size"), F.count(F.lit(1))).first()
+        if whole:
+            return mapping
+        mapping = materialize(mapping)
         following = merged.groupBy(*_SCOPE, F.col("merged").alias("pattern")).agg(F.min("first_seen").alias("first_seen"))
         current = materialize(_with_leaf(following, depth))
         rounds += 1
-        if largest is None or largest <= group_limit or current.count() == before:
+        if current.count() == before:
             return mapping
 
 

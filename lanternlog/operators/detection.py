@@ -13,6 +13,7 @@ from lanternlog.operators import buckets as bk
 from lanternlog.operators.ranking import exact_rank, top_rows
 from lanternlog.operators.templates import flag_new_templates
 from lanternlog.schemas import ANOMALIES, ERROR_LEVELS, WARN_LEVELS, conform
+from lanternlog.session import materialize
 
 
 @dataclass(frozen=True)
@@ -74,7 +75,10 @@ def spike_triggers(
 ) -> DataFrame:
     """The observation of each spike bucket at which the running count reaches ``trigger_count``."""
     wanted = spikes.select("template_id", "bucket_start", "baseline_mean", "baseline_std", "trigger_count")
-    inside = bk.with_bucket(observations, limits.bucket_minutes).join(wanted, ["template_id", "bucket_start"])
+    # Few rows are left, and the ranking reads them several times.
+    inside = materialize(
+        bk.with_bucket(observations, limits.bucket_minutes).join(wanted, ["template_id", "bucket_start"])
+    )
     counted = bk.running_bucket_count(inside, limits.bucket_minutes, hot_rows)
     return counted.where(F.col("running_count") == F.col("trigger_count"))
 
@@ -84,7 +88,7 @@ def incident_number(anomalies: DataFrame, start_at: int = 1) -> DataFrame:
 
     Pass the next free number as ``start_at`` when earlier incidents exist.
     """
-    hashed = anomalies.withColumn("_hash", F.sha2("id", 256)).withColumn("_all", F.lit(1))
+    hashed = materialize(anomalies).withColumn("_hash", F.sha2("id", 256)).withColumn("_all", F.lit(1))
     ranked = exact_rank(hashed, ["_all"], ["_hash"], slot=F.substring("_hash", 1, 4), rank="_number")
     number = F.format_string("INC%07d", F.col("_number") + (start_at - 1))
     return ranked.withColumn("incident_number", number).drop("_hash", "_all", "_number")
@@ -148,16 +152,8 @@ def with_evidence(triggers: DataFrame, samples: DataFrame | None, newest: int =
     )
 
 
-def _bursts(
-    observations: DataFrame,
-    samples: DataFrame | None,
-    limits: Thresholds,
-    data_loss: bool,
-    buckets: DataFrame | None,
-    hot_rows: int = 1_000_000,
-) -> DataFrame:
-    counts = buckets if buckets is not None else bk.bucket_counts(observations, limits.bucket_minutes)
-    triggers = spike_triggers(observations, spike_buckets(counts, limits), limits, hot_rows)
+def burst_records(triggers: DataFrame, samples: DataFrame | None, data_loss: bool) -> DataFrame:
+    """Trigger rows with baseline columns to anomalies."""
     burst = F.col("level").isin(*ERROR_LEVELS)
     typed = (
         triggers.withColumn("anomaly_type", F.when(burst, F.lit("error_burst")).otherwise(F.lit("frequency_spike")))
@@ -177,7 +173,9 @@ def detect_spikes(
     hot_rows: int = 1_000_000,
 ) -> DataFrame:
     """Frequency spikes and error bursts together; the trigger's level decides between them."""
-    return _bursts(observations, samples, limits, data_loss, buckets, hot_rows)
+    counts = buckets if buckets is not None else bk.bucket_counts(observations, limits.bucket_minutes)
+    triggers = spike_triggers(observations, spike_buckets(counts, limits), limits, hot_rows)
+    return burst_records(triggers, samples, data_loss)
 
 
 def detect_frequency_spikes(observations: DataFrame, **options) -> DataFrame:

@@ -77,16 +77,11 @@ def assemble_multiline(
 
 def parse_records(records: DataFrame, record: str = "record", log_format: str | None = None) -> DataFrame:
     """Add ``event_ts`` (null if the record has no time), ``level``, ``message`` and ``attributes``."""
-    text = F.col(record)
     fmt = F.col(log_format) if log_format else None
-    attributes = F.col("attributes")
-    is_json = attributes.isNotNull()
-    return (
-        records.withColumn("attributes", parsing.json_attributes(text, fmt))
-        .withColumn("event_ts", F.when(is_json, parsing.json_time(attributes)).otherwise(parsing.text_time(text)))
-        .withColumn("level", F.when(is_json, parsing.json_level(attributes)).otherwise(parsing.text_level(text)))
-        .withColumn("message", F.when(is_json, parsing.json_message(attributes, text)).otherwise(parsing.strip(text)))
-    )
+    added = ("attributes", "event_ts", "level", "message")
+    rest = [c for c in records.columns if c not in added]
+    read = records.select(*rest, parsing.parsed(F.col(record), fmt).alias("_parsed"))
+    return read.select(*rest, *[F.col(f"_parsed.{name}").alias(name) for name in added])
 
 
 def fallback_event_time(events: DataFrame) -> DataFrame:

@@ -16,61 +16,82 @@ OPEN_STATUSES = ("active", "analyzing", "analyzed", "failed")
 SEVERITIES = ("Sev-0", "Sev-1", "Sev-2", "Sev-3", "Sev-4")
 CONFIDENCES = ("very-low", "low", "medium", "high", "very-high")
 
-EVIDENCE_REF = (
-    "struct<template_id:string,source_id:string,source_path:string,"
-    "line_number:bigint,timestamp:timestamp,sample_hash:string>"
+_TYPES = {
+    "string": T.StringType(),
+    "bigint": T.LongType(),
+    "double": T.DoubleType(),
+    "boolean": T.BooleanType(),
+    "timestamp": T.TimestampType(),
+    "strings": T.ArrayType(T.StringType()),
+    "floats": T.ArrayType(T.FloatType()),
+    "map": T.MapType(T.StringType(), T.StringType()),
+    "maps": T.ArrayType(T.MapType(T.StringType(), T.StringType())),
+}
+
+
+def _schema(columns: str) -> T.StructType:
+    """Schema from ``name type`` pairs; unlike DDL it needs no running session."""
+    fields = [pair.split() for pair in columns.split(",")]
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in fields])
+
+
+_TYPES["references"] = T.ArrayType(
+    _schema(
+        "template_id string, source_id string, source_path string, line_number bigint, timestamp timestamp,"
+        "sample_hash string"
+    )
 )
 
-SOURCES = T.StructType.fromDDL(
-    "id string not null, application string not null, environment string not null, path string not null,"
+SOURCES = _schema(
+    "id string, application string, environment string, path string,"
     "format string, multiline_pattern string, multiline_negate boolean, service string, host string,"
     "container string, source_name string, enabled boolean"
 )
-RAW_LINES = T.StructType.fromDDL(
+RAW_LINES = _schema(
     "source_id string, application string, environment string, source_name string, source_path string,"
     "line_number bigint, line string, ingest_ts timestamp"
 )
-OBSERVATIONS = T.StructType.fromDDL(
+OBSERVATIONS = _schema(
     "id string, source_id string, application string, environment string, template_id string,"
     "template_text string, sanitized_message string, level string, event_ts timestamp, ingest_ts timestamp,"
-    "source_path string, line_number bigint, parameters array<string>, sample_hash string,"
-    "client_id_hash string, metadata map<string,string>, redaction_types array<string>"
+    "source_path string, line_number bigint, parameters strings, sample_hash string,"
+    "client_id_hash string, metadata map, redaction_types strings"
 )
-TEMPLATES = T.StructType.fromDDL(
+TEMPLATES = _schema(
     "id string, application string, environment string, template_pattern string, first_seen timestamp,"
     "last_seen timestamp, total_count bigint, sample_message string"
 )
-TEMPLATE_BUCKETS = T.StructType.fromDDL(
+TEMPLATE_BUCKETS = _schema(
     "id string, template_id string, application string, environment string, bucket_start timestamp,"
-    "bucket_end timestamp, count bigint, error_count bigint, sample_hashes array<string>"
+    "bucket_end timestamp, count bigint, error_count bigint, sample_hashes strings"
 )
-SAMPLES = T.StructType.fromDDL(
+SAMPLES = _schema(
     "sample_hash string, template_id string, source_id string, application string, environment string,"
     "sanitized_message string, level string, event_ts timestamp, line_number bigint, source_path string,"
     "created_at timestamp, expires_at timestamp"
 )
-ANOMALIES = T.StructType.fromDDL(
+ANOMALIES = _schema(
     "id string, incident_number string, application string, environment string, template_id string,"
     "anomaly_type string, detected_at timestamp, bucket_start timestamp, current_count bigint,"
     "baseline_count double, z_score double, status string, template_text string,"
-    "sample_evidence array<string>, source_paths array<string>, related_template_ids array<string>,"
-    f"evidence_references array<{EVIDENCE_REF}>, detector_version string, data_loss_warning boolean"
+    "sample_evidence strings, source_paths strings, related_template_ids strings,"
+    "evidence_references references, detector_version string, data_loss_warning boolean"
 )
-ANALYSES = T.StructType.fromDDL(
+ANALYSES = _schema(
     "id string, anomaly_id string, model string, prompt_version string, severity string, confidence string,"
-    "investigate boolean, summary string, evidence array<map<string,string>>, possible_causes array<string>,"
-    "recommended_actions array<string>, limitations array<string>, raw_response string, error string,"
+    "investigate boolean, summary string, evidence maps, possible_causes strings,"
+    "recommended_actions strings, limitations strings, raw_response string, error string,"
     "is_retryable boolean, execution_time_ms bigint, created_at timestamp"
 )
-FEEDBACK = T.StructType.fromDDL(
+FEEDBACK = _schema(
     "id string, anomaly_id string, action string, comment string, previous_severity string,"
     "previous_confidence string, new_severity string, created_at timestamp"
 )
-EMBEDDINGS = T.StructType.fromDDL(
-    "id string, template_id string, anomaly_id string, embedding array<float>, text_content string,"
+EMBEDDINGS = _schema(
+    "id string, template_id string, anomaly_id string, embedding floats, text_content string,"
     "created_at timestamp, expires_at timestamp"
 )
-RETENTION_RUNS = T.StructType.fromDDL(
+RETENTION_RUNS = _schema(
     "id string, run_at timestamp, samples_deleted bigint, buckets_deleted bigint, anomalies_deleted bigint,"
     "analyses_deleted bigint, embeddings_deleted bigint, templates_deleted bigint, feedback_deleted bigint,"
     "status string"

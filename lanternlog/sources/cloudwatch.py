@@ -7,11 +7,12 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 PAYLOAD = "struct<logGroup:string,logStream:string,logEvents:array<struct<id:string,timestamp:bigint,message:string>>>"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def gunzip(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Text of gzipped bytes, null if they are not gzip. Spark has no built-in for it."""
     import gzip
