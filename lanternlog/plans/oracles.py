@@ -23,12 +23,13 @@ def _obs(name: str = "obs", scoped: bool = True, where: str = "true") -> str:
     environment = "CASE WHEN user_id % 10 < 7 THEN 'production' ELSE 'staging' END" if scoped else "'production'"
     return f"""{name} AS (
   SELECT CAST(event_id AS VARCHAR) AS id, 'ingest-' || application || '-' || environment AS source_id, application,
-    environment, 'tmpl_' || substr(sha256(application || ':' || environment || ':' || event_type), 1, 12) AS template_id,
-    event_type AS template_text, event_type || ' ' || props AS sanitized_message,
+    environment, 'tmpl_' || substr(sha256(application || ':' || environment || ':' || pattern), 1, 12) AS template_id,
+    pattern AS template_text, event_type || ' ' || props AS sanitized_message,
     CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'signup' THEN 'WARN' ELSE 'INFO' END AS level, ts AS event_ts,
     '/logs/' || application || '.log' AS source_path, event_id AS line_number,
     sha256(event_type || ' ' || props) AS sample_hash, sha256(CAST(user_id AS VARCHAR)) AS client
-  FROM (SELECT *, {application} AS application, {environment} AS environment FROM events) WHERE {where})"""
+  FROM (SELECT *, {application} AS application, {environment} AS environment,
+    event_type || ' request by user <NUM> took <DURATION>' AS pattern FROM events) WHERE {where})"""
 
 
 def _bucket(minutes: int) -> str:
@@ -192,7 +193,7 @@ _DOCS = r"""docs AS (
     unnest(generate_series(1, len(parts))) AS line_number, unnest(parts) AS line,
     TIMESTAMP '2024-01-01' + INTERVAL (doc_id) SECOND AS ingest_ts
   FROM (SELECT *, string_split(text, chr(10)) AS parts FROM documents)),
-doc_lines AS (SELECT *, trim(line, E' \t\r\n\f\v') AS message FROM docs WHERE trim(line, E' \t\r\n\f\v') <> '')"""
+doc_lines AS (SELECT *, trim(line, E' \t\r\n\f' || chr(11)) AS message FROM docs WHERE trim(line, E' \t\r\n\f' || chr(11)) <> '')"""
 _DOC_LEVEL = r"""CASE upper(regexp_extract(line, '(?i)\b(TRACE|DEBUG|INFO|WARN|WARNING|ERROR|CRITICAL|FATAL)\b', 1))
   WHEN '' THEN 'UNKNOWN' WHEN 'WARNING' THEN 'WARN'
   ELSE upper(regexp_extract(line, '(?i)\b(TRACE|DEBUG|INFO|WARN|WARNING|ERROR|CRITICAL|FATAL)\b', 1)) END"""
@@ -282,7 +283,7 @@ def _masked(column: str) -> str:
 
     A sign after a letter or digit is kept apart from its number by a mark that is removed at the end.
     """
-    sql = f"trim(string_split({column}, chr(10))[1], E' \\t\\r\\n\\f\\v')"
+    sql = f"trim(string_split({column}, chr(10))[1], E' \\t\\r\\n\\f' || chr(11))"
     for _, group in masks.GROUPS:
         for pattern, name in group:
             if pattern == masks.NUMBER_MASKS[0][0]:
@@ -299,7 +300,7 @@ def _masked(column: str) -> str:
 
 
 def _mined(name: str = "mined", source: str = "clean") -> str:
-    return f"""{name} AS (SELECT *, 'tmpl_' || substr(sha256(application || ':' || environment || ':' || trim(template_text, E' \\t\\r\\n\\f\\v')), 1, 12)
+    return f"""{name} AS (SELECT *, 'tmpl_' || substr(sha256(application || ':' || environment || ':' || trim(template_text, E' \\t\\r\\n\\f' || chr(11))), 1, 12)
   AS template_id FROM (SELECT *, {_masked('sanitized_message')} AS template_text FROM {source}))"""
 
 
@@ -773,7 +774,7 @@ _add(
     "decode_cloudwatch", _LINES,
     select="""SELECT line_number // 20 AS payload_id, 'aws-group-' || (line_number // 20 % 3) AS application,
       'cloudwatch:/aws/group-' || (line_number // 20 % 3) AS source_name,
-      'ingest-aws-group-' || (line_number // 20 % 3) || '-production' AS source_id, line AS message, epoch_ms(ingest_ts) AS timestamp_ms,
+      'ingest-aws-group-' || (line_number // 20 % 3) || '-production' AS source_id, line AS message, epoch_us(ingest_ts) // 1000 AS timestamp_ms,
       'stream-1' AS stream, row_number() OVER (PARTITION BY line_number // 20 ORDER BY CAST(line_number AS VARCHAR)) AS line_number FROM lines""",
 )
 _FILES = """SELECT environment AS lang, count(*) AS lines, count(*) AS numbers, 1 AS first, count(*) AS last FROM docs GROUP BY ALL"""

@@ -29,20 +29,21 @@ def _level() -> Column:
 
 
 def event_observations(spark: SparkSession, sf_dir: str, scoped: bool = True) -> DataFrame:
-    """``events`` as observations, the event type being the template.
+    """``events`` as observations, one template per event type.
 
     Unscoped, all rows belong to one application, which makes buckets dense enough for spikes.
     """
     application = _application() if scoped else F.lit("app")
     environment = _environment() if scoped else F.lit("production")
     message = F.concat_ws(" ", "event_type", "props")
+    pattern = F.concat(F.col("event_type"), F.lit(" request by user <NUM> took <DURATION>"))
     return table(spark, sf_dir, "events").select(
         F.col("event_id").cast("string").alias("id"),
         F.concat_ws("-", F.lit("ingest"), application, environment).alias("source_id"),
         application.alias("application"),
         environment.alias("environment"),
-        template_id(F.col("event_type"), application, environment).alias("template_id"),
-        F.col("event_type").alias("template_text"),
+        template_id(pattern, application, environment).alias("template_id"),
+        pattern.alias("template_text"),
         message.alias("sanitized_message"),
         _level().alias("level"),
         _ts().alias("event_ts"),
