@@ -144,8 +144,9 @@ def mine_templates(
     """Add ``template_text`` and ``template_id`` by clustering the masked first lines.
 
     Rows are first reduced to distinct signatures; only those are clustered, and the result is joined back.
+    The masked rows are read twice and stored in between.
     """
-    masked = with_masks(events, message, "template_text")
+    masked = materialize(with_masks(events, message, "template_text"))
     signatures = masked.groupBy(*_SCOPE, "template_text").agg(F.min("event_ts").alias("first_seen"))
     mapping = cluster_signatures(signatures, similarity, depth, group_limit)
     mined = masked.join(mapping, [*_SCOPE, "template_text"], "left")

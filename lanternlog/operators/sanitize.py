@@ -28,9 +28,13 @@ def sanitize_events(events: DataFrame, salt: str = DEFAULT_SALT) -> DataFrame:
 
 
 def redaction_audit(sanitized: DataFrame) -> DataFrame:
-    """Lines per tag, application and environment."""
+    """Lines per tag, application and environment.
+
+    The outer explode keeps Spark from testing the list, and so redacting the text, twice.
+    """
     return (
-        sanitized.select("application", "environment", F.explode("redaction_types").alias("tag"))
+        sanitized.select("application", "environment", F.explode_outer("redaction_types").alias("tag"))
+        .where(F.col("tag").isNotNull())
         .groupBy("application", "environment", "tag")
         .agg(F.count(F.lit(1)).alias("lines"))
     )

@@ -247,7 +247,7 @@ def redact_events(spark, sf):
 
 @query
 def redact_pages(spark, sf):
-    pages = views.table(spark, sf, "pages").select("page_id", "html")
+    pages = views.spread(views.table(spark, sf, "pages")).select("page_id", "html")
     return redaction.with_redaction(pages, "html", "sanitized").select("page_id", "sanitized", "redaction_types")
 
 
@@ -301,9 +301,8 @@ def template_catalog(spark, sf):
 @query
 def document_templates(spark, sf):
     """Catalogue of the document lines: most templates here occur once."""
-    return templates.template_catalog(
-        templates.build_observations(sanitize.sanitize_events(_document_events(spark, sf)), with_parameters=False)
-    )
+    clean = sanitize.sanitize_events(_document_events(spark, sf))
+    return templates.template_catalog(materialize(templates.build_observations(clean, with_parameters=False)))
 
 
 @query
@@ -602,7 +601,7 @@ def retained_rows(spark, sf):
 
 @query
 def embed_documents(spark, sf):
-    texts = views.table(spark, sf, "documents").select("doc_id", "text")
+    texts = views.spread(views.table(spark, sf, "documents").select("doc_id", "text"))
     embedded = memory.embed_text(texts, ["doc_id"], "text")
     filled = F.size(F.filter("embedding", lambda x: x > 0))
     top = F.array_max("embedding")

@@ -12,6 +12,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give work on few input splits to all cores; inputs with more splits than cores stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _ts(column: str = "ts") -> Column:
     return F.col(column).cast("timestamp")
 
@@ -71,7 +77,7 @@ def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit('", "http_status": '), status, F.lit(', "message": "'), F.col("event_type"),
         F.lit(" done value="), value, F.lit('"}'),
     )
-    return table(spark, sf_dir, "events").select(
+    return spread(table(spark, sf_dir, "events")).select(
         F.concat_ws("-", F.lit("ingest"), _application(), _environment()).alias("source_id"),
         _application().alias("application"),
         _environment().alias("environment"),
@@ -85,7 +91,7 @@ def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` as files of text lines."""
     return (
-        table(spark, sf_dir, "documents")
+        spread(table(spark, sf_dir, "documents"))
         .select("doc_id", "source", "lang", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
         .select(
             "doc_id",
