@@ -66,11 +66,32 @@ def json_attributes(record: Column, log_format: Column | None = None) -> Column:
     def read(text: Column) -> Column:
         candidate = text.startswith("{")
         claimed = text.endswith("}") if log_format is None else text.endswith("}") | (log_format == "json")
-        return F.when(candidate & claimed & F.try_parse_json(text).isNotNull(), F.from_json(text, "map<string,string>"))
+        return F.when(candidate & claimed, strict_object(text))
 
     return bind(strip(record), read)
 
 
+def strict_object(text: Column) -> Column:
+    """Fields of a JSON object as texts, null unless the whole text is one object.
+
+    Spark's reader stops after the first value; as the only element of a list the rest of the text counts too.
+    """
+    options = {"allowSingleQuotes": "false"}
+    listed = F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<map<string,string>>", options)
+    return bind(listed, lambda rows: F.when(F.size(rows) == 1, F.get(rows, F.lit(0))))
+
+
+def strict_variant(text: Column) -> Column:
+    """JSON value of any kind, null unless the whole text is one value."""
+    listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    return bind(
+        listed,
+        lambda rows: F.when(
+            F.try_variant_get(rows, "$[1]", "variant").isNull(), F.try_variant_get(rows, "$[0]", "variant")
+        ),
+    )
+
+
 def first_filled(attributes: Column, names: tuple[str, ...]) -> Column:
     """First attribute among ``names`` that is neither missing nor empty."""
     values = F.array(*[F.try_element_at(attributes, F.lit(name)) for name in names])

@@ -176,7 +176,7 @@ def search_similar_approx(
 
     def unit(df: DataFrame, name: str) -> DataFrame:
         length = norm(F.col("embedding"))
-        scaled = F.transform("embedding", lambda x: x.cast("double") / length)
+        scaled = F.transform("embedding", lambda x: F.try_divide(x.cast("double"), length))
         return df.where(length > 0).select(name, "embedding", array_to_vector(scaled).alias("features"))
 
     left, right = unit(queries, "query_id"), unit(corpus, "id")

@@ -29,7 +29,7 @@ def extract_parameters(template: Column, message: Column) -> Column:
     start = F.struct(
         (F.length(F.get(fixed, F.lit(0))) + 1).cast("int").alias("at"),
         F.array().cast("array<string>").alias("values"),
-        F.lit(True).alias("ok"),
+        line.startswith(F.get(fixed, F.lit(0))).alias("ok"),
     )
     tail = F.slice(
         F.transform(fixed, lambda part, i: F.struct(part.alias("part"), (i == F.size(fixed) - 1).alias("last"))),
@@ -44,7 +44,7 @@ def extract_parameters(template: Column, message: Column) -> Column:
                 F.position(piece["part"], line, state["at"] + 1)
             )
         )
-        good = state["ok"] & (end > state["at"])
+        good = state["ok"] & (end > state["at"]) & (~piece["last"] | line.endswith(piece["part"]))
         value = F.substr(line, state["at"], end - state["at"])
         return F.struct(
             F.when(good, end + F.length(piece["part"])).otherwise(state["at"]).cast("int").alias("at"),

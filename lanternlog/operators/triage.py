@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lanternlog.functions.ids import row_id
+from lanternlog.functions.parsing import strict_variant
 from lanternlog.operators import incidents, memory
 from lanternlog.operators.ranking import top_rows
 from lanternlog.schemas import ANALYSES, CONFIDENCES, SEVERITIES, conform
@@ -317,7 +318,7 @@ def _texts_or_missing(verdict: Column, path: str) -> tuple[Column, Column]:
     """List of texts at ``path`` (empty if missing), and whether the value there is unusable."""
     kind = F.schema_of_variant(F.try_variant_get(verdict, path, "variant"))
     values = F.try_variant_get(verdict, path, "array<string>")
-    bad = kind.isNotNull() & ~(kind.isin("ARRAY<STRING>", "ARRAY<VOID>") | (kind == "VOID") & F.lit(False))
+    bad = kind.isNotNull() & ~kind.isin("ARRAY<STRING>", "ARRAY<VOID>")
     empty = F.size(values) == 0
     return F.coalesce(values, F.array().cast("array<string>")), bad & ~F.coalesce(empty, F.lit(False))
 
@@ -329,7 +330,7 @@ def validate_verdicts(answers: DataFrame, anomalies: DataFrame) -> DataFrame:
     lists are empty. An answer that cannot be read is replaced by the heuristic verdict with an error, and
     may be tried again.
     """
-    parsed = answers.withColumn("_v", F.try_parse_json("answer"))
+    parsed = answers.withColumn("_v", strict_variant(F.col("answer")))
     verdict = F.col("_v")
     get = lambda path, kind: F.try_variant_get(verdict, path, kind)
     kind_at = lambda path: F.schema_of_variant(get(path, "variant"))

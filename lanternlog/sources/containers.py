@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lanternlog.functions.parsing import json_attributes
 from lanternlog.functions.times import parse_timestamp
 
 # The line formats.
@@ -26,11 +27,10 @@ def parse_container_lines(lines: DataFrame, fmt: str, column: str = "line", year
     line = F.col(column)
     null = F.lit(None).cast("string")
     if fmt == "docker":
-        valid = F.try_parse_json(line).isNotNull() & F.ltrim(line).startswith("{")
-        row = F.from_json(line, "map<string,string>")
-        get = lambda name: F.when(valid, F.try_element_at(row, F.lit(name)))
+        row = json_attributes(line)
+        get = lambda name: F.try_element_at(row, F.lit(name))
         fields = {"time_text": get("time"), "stream": get("stream"), "log": F.rtrim(get("log"), F.lit("\n"))}
-        matched = valid
+        matched = row.isNotNull()
     elif fmt == "cri":
         fields = {
             "time_text": _group(line, CRI, 1), "stream": _group(line, CRI, 2), "logtag": _group(line, CRI, 3),

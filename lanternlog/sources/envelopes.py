@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lanternlog.functions.parsing import strip
+from lanternlog.functions.parsing import strict_variant, strip
 
 # Origins used when a body and its request name none.
 DEFAULT_APPLICATION = "default-app"
@@ -23,7 +23,7 @@ def _normalize(bodies: DataFrame, environment: str) -> DataFrame:
     have = set(bodies.columns)
     asked = {n: F.col(n) if n in have else F.lit(None).cast("string") for n in ("application", "environment", "source_name")}
     body = F.col("body")
-    kind = F.schema_of_variant(F.try_parse_json(body))
+    kind = F.schema_of_variant(strict_variant(body))
     at = lambda path: F.get_json_object(body, path)
     batch = kind.startswith("OBJECT") & F.schema_of_variant(
         F.try_variant_get(F.try_parse_json(body), "$.logs", "variant")

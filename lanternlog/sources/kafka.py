@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from lanternlog.functions.parsing import first_filled
+from lanternlog.functions.parsing import first_filled, strict_object
 from lanternlog.schemas import ANALYSES, ANOMALIES, OBSERVATIONS
 
 # Names under which a raw message carries its text and its origin.
@@ -48,7 +48,7 @@ def decode_raw(records: DataFrame, environment: str, topic: str = "raw_logs", ke
     """
     text = F.make_valid_utf8(F.col("value").cast("string"))
     braces = text.startswith("{") & text.endswith("}")
-    attributes = F.when(braces & F.try_parse_json(text).isNotNull(), F.from_json(text, "map<string,string>"))
+    attributes = F.when(braces, strict_object(text))
     decoded = records.withColumn("_text", text).withColumn("_map", attributes)
     pick = lambda names, fallback: F.coalesce(first_filled(F.col("_map"), names), F.lit(fallback))
     message = F.coalesce(first_filled(F.col("_map"), TEXT_KEYS), F.col("_text"))
