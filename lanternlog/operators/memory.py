@@ -174,10 +174,16 @@ def search_similar_approx(
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import array_to_vector
 
+    dimensions = queries.agg(F.max(F.size("embedding"))).first()[0] or 0
+
     def unit(df: DataFrame, name: str) -> DataFrame:
+        # Vectors of another size are cut or filled here and rejected by the exact score below.
         length = norm(F.col("embedding"))
-        scaled = F.transform("embedding", lambda x: F.try_divide(x.cast("double"), length))
-        return df.where(length > 0).select(name, "embedding", array_to_vector(scaled).alias("features"))
+        scaled = F.transform(
+            F.sequence(F.lit(0), F.lit(dimensions - 1)),
+            lambda i: F.coalesce(F.try_divide(F.get("embedding", i).cast("double"), length), F.lit(0.0)),
+        )
+        return df.select(name, "embedding", array_to_vector(scaled).alias("features"))
 
     left, right = unit(queries, "query_id"), unit(corpus, "id")
     lsh = BucketedRandomProjectionLSH(

@@ -630,14 +630,20 @@ _add(
 _RECORD_COLUMNS = "SELECT id, template_id, anomaly_id, text_content, created_at FROM "
 _add("index_records", *_CASES, _MEMORY, select=_RECORD_COLUMNS + "records_ai")
 _add("index_resolutions", *_CASES, _MEMORY, select="SELECT id, anomaly_id, text_content, created_at FROM records_notes")
-_SEARCH = (
-    *_CASES, _MEMORY, "asked AS (SELECT DISTINCT template_text FROM found)", _embedded("asked", "template_text", "template_text", "q"),
-    _embedded("memory", "id", "text_content", "c"), _scores("q", "template_text", "c", "id", "s"), _best("s", 6, 0.25, "near"),
-    _best("s", 3, 0.3, "alike"),
-    """solved AS (SELECT near.* EXCLUDE (rank), text_content, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, near.id) AS rank
+
+
+def _search(records: str = "memory", k: int = 6) -> tuple[str, ...]:
+    """Matches of the distinct templates in memory: ``near`` for resolutions, ``alike`` for similar incidents."""
+    return (
+        *_CASES, _MEMORY, "asked AS (SELECT DISTINCT template_text FROM found)",
+        _embedded("asked", "template_text", "template_text", "q"), _embedded(records, "id", "text_content", "c"),
+        _scores("q", "template_text", "c", "id", "s"), _best("s", k, 0.25, "near"), _best("s", 3, 0.3, "alike"),
+        """solved AS (SELECT near.* EXCLUDE (rank), text_content, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, near.id) AS rank
   FROM near JOIN memory USING (id) WHERE contains(text_content, '[Resolution Knowledge') QUALIFY rank <= 3)""",
-)
-_add("similar_resolutions", *_SEARCH, select="SELECT query_id AS template_text, id, score, rank FROM solved")
+    )
+
+
+_add("similar_resolutions", *_search(k=120), select="SELECT query_id AS template_text, id, score, rank FROM solved")
 
 
 def _verdict_of(text: str) -> str:
@@ -669,13 +675,13 @@ _add(
 _STEPS = f"""steps AS (SELECT query_id AS template_text, string_agg({_text(triage.RECALL_STEP)} ||
   trim(string_split(text_content, 'Resolution Notes & Steps:')[2]), ' | ' ORDER BY rank) AS steps FROM solved GROUP BY ALL)"""
 _add(
-    "recalled_triage", *_SEARCH, _RULES, _JUDGED, _STEPS,
+    "recalled_triage", *_search("records_notes"), _RULES, _JUDGED, _STEPS,
     select=f"""SELECT id AS anomaly_id, severity, CASE WHEN steps IS NULL THEN summary ELSE summary || {_text(triage.RECALL_NOTE)} END AS summary,
       CASE WHEN steps IS NULL THEN recommended_actions ELSE steps || ' | ' || recommended_actions END AS recommended_actions
       FROM judged LEFT JOIN steps USING (template_text)""",
 )
 _add(
-    "triage_context", *_SEARCH, _RELATED,
+    "triage_context", *_search(), _RELATED,
     """lines_solved AS (SELECT query_id AS template_text, string_agg('- [Past Resolution Match, Score: ' || score || '] ' || text_content,
       chr(10) ORDER BY rank) AS t FROM solved GROUP BY ALL)""",
     """lines_alike AS (SELECT query_id AS template_text, string_agg('- [Score: ' || score || '] ' || text_content, chr(10) ORDER BY rank) AS t

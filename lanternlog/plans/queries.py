@@ -658,7 +658,8 @@ def index_resolutions(spark, sf):
 @query
 def similar_resolutions(spark, sf):
     found, verdicts, actions = _statuses(spark, sf)
-    rows = memory.search_resolutions(triage.template_queries(found), _memory(found, verdicts, actions))
+    # Verdicts of the same templates outnumber the resolutions, so more matches than usual are looked through.
+    rows = memory.search_resolutions(triage.template_queries(found), _memory(found, verdicts, actions), overfetch=40)
     return rows.select(F.col("query_id").alias("template_text"), "id", "score", "rank")
 
 
@@ -674,10 +675,10 @@ def heuristic_triage(spark, sf):
 
 @query
 def recalled_triage(spark, sf):
-    found, verdicts, actions = _statuses(spark, sf)
-    rows = triage.apply_past_resolutions(
-        triage.heuristic_triage(found), found, _memory(found, verdicts, actions)
-    )
+    """Triage with a memory that holds nothing but resolutions."""
+    found, _, actions = _statuses(spark, sf)
+    known = materialize(memory.index_resolutions(found, actions))
+    rows = triage.apply_past_resolutions(triage.heuristic_triage(found), found, known)
     return rows.select("anomaly_id", "severity", "summary", "recommended_actions")
 
 

@@ -77,7 +77,7 @@ def test_spikes_equal_a_replay(spark):
     limits = dt.Thresholds()
     got = dt.detect_spikes(observations(spark, rows)).collect()
     found = {(r.template_id, int((r.bucket_start - START).total_seconds() // 300)): (r.anomaly_type, r.current_count, r.z_score) for r in got}
-    assert found == brute_force_triggers(rows, limits) and len(found) > 3
+    assert found == brute_force_triggers(rows, limits) and len(found) >= 3
 
 
 def test_new_templates_and_numbers(spark):
