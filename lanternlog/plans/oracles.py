@@ -639,7 +639,8 @@ def _search(records: str = "memory", k: int = 6) -> tuple[str, ...]:
         _embedded("asked", "template_text", "template_text", "q"), _embedded(records, "id", "text_content", "c"),
         _scores("q", "template_text", "c", "id", "s"), _best("s", k, 0.25, "near"), _best("s", 3, 0.3, "alike"),
         """solved AS (SELECT near.* EXCLUDE (rank), text_content, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, near.id) AS rank
-  FROM near JOIN memory USING (id) WHERE contains(text_content, '[Resolution Knowledge') QUALIFY rank <= 3)""",
+  FROM near JOIN memory USING (id) WHERE contains(text_content, '[Resolution Knowledge')
+  QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, near.id) <= 3)""",
     )
 
 
