@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lanternlog.functions.ids import template_id
 from lanternlog.functions.masks import with_masks
+from lanternlog.operators.ranking import lookup_join
 from lanternlog.session import materialize
 
 WILDCARD = "<*>"
@@ -147,12 +148,16 @@ def mine_templates(
     The masked rows are read twice and stored in between.
     """
     masked = materialize(with_masks(events, message, "template_text"))
-    signatures = masked.groupBy(*_SCOPE, "template_text").agg(F.min("event_ts").alias("first_seen"))
+    key = [*_SCOPE, "template_text"]
+    signatures = materialize(
+        masked.groupBy(*key).agg(F.min("event_ts").alias("first_seen"), F.count(F.lit(1)).alias("_rows"))
+    )
     mapping = cluster_signatures(signatures, similarity, depth, group_limit)
-    mined = masked.join(mapping, [*_SCOPE, "template_text"], "left")
-    text = F.coalesce("mined_text", "template_text")
+    mined = lookup_join(
+        masked, mapping.join(signatures.select(*key, "_rows"), key), key, "_rows", ["source_path", "line_number"]
+    )
     return (
-        mined.withColumn("template_text", text)
-        .drop("mined_text")
+        mined.drop("template_text")
+        .withColumnRenamed("mined_text", "template_text")
         .withColumn("template_id", template_id(F.col("template_text"), F.col("application"), F.col("environment")))
     )

@@ -88,6 +88,7 @@ def incident_number(anomalies: DataFrame, start_at: int = 1) -> DataFrame:
 
     Pass the next free number as ``start_at`` when earlier incidents exist.
     """
+    # The ranking reads the anomalies twice.
     hashed = materialize(anomalies).withColumn("_hash", F.sha2("id", 256)).withColumn("_all", F.lit(1))
     ranked = exact_rank(hashed, ["_all"], ["_hash"], slot=F.substring("_hash", 1, 4), rank="_number")
     number = F.format_string("INC%07d", F.col("_number") + (start_at - 1))

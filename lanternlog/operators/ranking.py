@@ -1,4 +1,4 @@
-"""Positions and first rows inside groups that may hold a large share of all rows."""
+"""Positions, first rows and lookups for groups that may hold a large share of all rows."""
 
 from __future__ import annotations
 
@@ -8,8 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-# A slot larger than this is cut again before it is sorted.
+from lanternlog.session import materialize
+
+# A slot with more rows than this is cut again before it is sorted.
 HOT_SLOT_ROWS = 1_000_000
+# At most this many keys can each hold more than one in this many of all rows: the bound of a list of hot keys.
+HOT_KEYS = 10_000
+# Tables of more narrow rows than this are not sent to every task.
+BROADCAST_ROWS = 500_000
 
 
 def exact_rank(
@@ -25,46 +31,81 @@ def exact_rank(
 
     ``slot`` must not decrease along ``order``. Slots are counted with a partial aggregate, the counts are
     summed up per group, and only the rows of one slot are sorted together. A slot above ``hot_rows`` is
-    cut a second time by ``fine``, columns that are a leading part of ``order``.
+    cut by ``fine``, columns that are a leading part of ``order``; the rows of such a slot are told apart
+    before they are shuffled, so they never meet in one task.
     """
     cut = df.withColumn("_slot", slot)
     by_slot = [*keys, "_slot"]
+    counted = materialize(cut.groupBy(*by_slot).agg(F.count(F.lit(1)).alias("_rows")))
     earlier = W.partitionBy(*keys).orderBy("_slot").rowsBetween(W.unboundedPreceding, -1)
-    slots = (
-        cut.groupBy(*by_slot)
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .withColumn("_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
-    )
-    placed = cut.join(slots, by_slot)
-    position = F.col("_before")
-    if fine:
-        placed = placed.withColumn("_part", F.when(F.col("_rows") > hot_rows, F.struct(*fine)))
-        by_part = [*by_slot, "_part"]
+    places = counted.withColumn("_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
+    total = counted.agg(F.sum("_rows")).first()[0] or 0
+    limit = max(hot_rows, total // HOT_KEYS)
+    hot = counted.where(F.col("_rows") > limit).select(*by_slot, F.lit(True).alias("_hot"))
+    together = by_slot
+    if fine and hot.head(1):
+        # Not more than HOT_KEYS slots can be above the limit.
+        cut = cut.join(F.broadcast(hot), by_slot, "left")
+        cut = cut.withColumn("_part", F.when(F.col("_hot"), F.struct(*fine))).drop("_hot")
+        cut = cut.withColumn("_part_key", F.coalesce(F.to_json("_part"), F.lit("")))
+        together = [*by_slot, "_part_key"]
         earlier_parts = W.partitionBy(*by_slot).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
         parts = (
-            placed.where(F.col("_part").isNotNull())
-            .groupBy(*by_part)
+            cut.groupBy(*together, "_part")
             .agg(F.count(F.lit(1)).alias("_part_rows"))
             .withColumn("_part_before", F.coalesce(F.sum("_part_rows").over(earlier_parts), F.lit(0)))
         )
-        placed = placed.join(parts, by_part, "left")
-        position = position + F.coalesce(F.col("_part_before"), F.lit(0))
-        by_slot = by_part
-    inside = F.row_number().over(W.partitionBy(*by_slot).orderBy(*order))
-    helpers = ("_slot", "_rows", "_before", "_part", "_part_rows", "_part_before")
-    return placed.withColumn(rank, (position + inside).cast("bigint")).drop(*helpers)
+        places = parts.join(places, by_slot).select(
+            *together, (F.col("_before") + F.col("_part_before")).alias("_before")
+        )
+    placed = cut.join(places, together)
+    inside = F.row_number().over(W.partitionBy(*together).orderBy(*order))
+    helpers = ("_slot", "_rows", "_before", "_part", "_part_key")
+    return placed.withColumn(rank, (F.col("_before") + inside).cast("bigint")).drop(*helpers)
+
 
+def lookup_join(
+    big: DataFrame,
+    small: DataFrame,
+    keys: Sequence[str],
+    rows: str,
+    spread_by: Sequence[str],
+    broadcast_rows: int = BROADCAST_ROWS,
+    hot_keys: int = HOT_KEYS,
+) -> DataFrame:
+    """Add the columns of the one row each key has in ``small``; its column ``rows`` counts the rows of the key.
 
-def first_rows(df: DataFrame, keys: Sequence[str], lead: str, order: Sequence[str]) -> DataFrame:
+    A small table goes to all tasks. Otherwise both sides are shuffled, and the rows of a key above one in
+    ``hot_keys`` of all rows are dealt out over copies of its small row.
+    """
+    small = materialize(small)
+    count, total = small.agg(F.count(F.lit(1)), F.sum(rows)).first()
+    if count <= broadcast_rows:
+        return big.join(F.broadcast(small.drop(rows)), list(keys))
+    share = max(1, total // hot_keys)
+    copies = F.ceil(F.col(rows) / share).cast("int")
+    hot = small.where(F.col(rows) > share).select(*keys, copies.alias("_copies"))
+    dealt = F.pmod(F.xxhash64(*spread_by), F.col("_copies")).cast("int")
+    salted = big.join(F.broadcast(hot), list(keys), "left").withColumn("_salt", F.coalesce(dealt, F.lit(0)))
+    numbers = F.sequence(F.lit(0), F.greatest(F.when(F.col(rows) > share, copies), F.lit(1)) - 1)
+    copied = small.withColumn("_salt", F.explode(numbers)).drop(rows)
+    return salted.drop("_copies").join(copied, [*keys, "_salt"]).drop("_salt")
+
+
+def first_rows(
+    df: DataFrame, keys: Sequence[str], lead: str, order: Sequence[str], broadcast_rows: int = BROADCAST_ROWS
+) -> DataFrame:
     """First row of each key group under ``order``, whose leading column ``lead`` is a number or time.
 
-    The minimum of ``lead`` is a fixed-width hash aggregate, so the wide rows are sorted only where they tie
-    on it.
+    With few groups the minimum of ``lead`` is a fixed-width hash aggregate that is sent to all tasks, and only
+    the rows that tie on it are looked at. With many groups each task folds its rows before the shuffle.
     """
-    lows = df.groupBy(*keys).agg(F.min(lead).alias("_low"))
-    tied = df.join(lows, list(keys)).where(F.col(lead) == F.col("_low")).drop("_low")
+    keys = list(keys)
     best = F.min_by(F.struct(*df.columns), F.struct(*order)).alias("_row")
-    return tied.groupBy(*keys).agg(best).select("_row.*")
+    lows = materialize(df.groupBy(*keys).agg(F.min(lead).alias("_low")))
+    if lows.count() <= broadcast_rows:
+        df = df.join(F.broadcast(lows), keys).where(F.col(lead) == F.col("_low")).drop("_low")
+    return df.groupBy(*keys).agg(best).select("_row.*")
 
 
 def top_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, rank: str = "rank") -> DataFrame:

@@ -92,12 +92,12 @@ def fallback_event_time(events: DataFrame) -> DataFrame:
 
 
 def enrich_from_sources(lines: DataFrame, sources: DataFrame) -> DataFrame:
-    """Add the configuration of each line's source; ``sources`` comes from ``sources.catalog``."""
+    """Add the configuration of each line's source; ``sources.catalog`` bounds the number of sources."""
     config = sources.select(
         F.col("id").alias("source_id"),
         *[c for c in sources.columns if c != "id" and c not in lines.columns],
     )
-    return lines.join(config, "source_id", "left")
+    return lines.join(F.broadcast(config), "source_id", "left")
 
 
 def quarantine(records: DataFrame, record: str = "record", log_format: str | None = None) -> DataFrame:

@@ -74,30 +74,24 @@ def build_observations(events: DataFrame, with_parameters: bool = True) -> DataF
 def template_catalog(observations: DataFrame) -> DataFrame:
     """One row per template: first and last sight, exact count, founding message.
 
-    Counts are fixed-width hash aggregates; the founding message is read only from rows at the first sight.
+    Counts are fixed-width hash aggregates; the founding rows come from ``first_rows``.
     """
     stats = observations.groupBy("template_id").agg(
         F.min("event_ts").alias("first_seen"),
         F.max("event_ts").alias("last_seen"),
         F.count(F.lit(1)).alias("total_count"),
     )
-    columns = ("template_id", "application", "environment", "template_text", "sanitized_message")
-    slim = observations.select(*dict.fromkeys([*columns, *OBSERVATION_ORDER]))
-    founding = (
-        slim.join(stats.select("template_id", "first_seen"), "template_id")
-        .where(F.col("event_ts") == F.col("first_seen"))
-        .groupBy("template_id")
-        .agg(F.min_by(F.struct(*columns[1:]), F.struct(*OBSERVATION_ORDER)).alias("found"))
-    )
-    return stats.join(founding, "template_id").select(
+    columns = ("template_id", "application", "environment", "template_text", "sanitized_message", *OBSERVATION_ORDER)
+    founding = first_rows(observations.select(*columns), ["template_id"], "event_ts", OBSERVATION_ORDER)
+    return founding.drop("id").join(stats, "template_id").select(
         F.col("template_id").alias("id"),
-        "found.application",
-        "found.environment",
-        F.col("found.template_text").alias("template_pattern"),
+        "application",
+        "environment",
+        F.col("template_text").alias("template_pattern"),
         "first_seen",
         "last_seen",
         "total_count",
-        F.col("found.sanitized_message").alias("sample_message"),
+        F.col("sanitized_message").alias("sample_message"),
     )
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from lanternlog.operators import buckets as bk
 from lanternlog.operators import clustering, incidents, memory, merges, retention
 from lanternlog.operators import detection as dt
-from lanternlog.operators.ranking import exact_rank, first_rows
+from lanternlog.operators.ranking import exact_rank, first_rows, lookup_join
 from lanternlog.schemas import OBSERVATION_ORDER, OBSERVATIONS
 from lanternlog.session import new_path
 
@@ -40,7 +40,18 @@ def test_exact_rank_on_a_hot_slot(spark):
     by_template = W.partitionBy("template_id").orderBy(*OBSERVATION_ORDER)
     wide = {r.id: r.n for r in df.select("id", F.row_number().over(by_template).alias("n")).collect()}
     assert {r.id: r["rank"] for r in fine.collect()} == wide
-    assert first_rows(df, ["template_id"], "event_ts", OBSERVATION_ORDER).count() == 2
+    first = {r.id for r in df.withColumn("n", F.row_number().over(by_template)).where("n = 1").collect()}
+    for limit in (100, 0):
+        assert {r.id for r in first_rows(df, ["template_id"], "event_ts", OBSERVATION_ORDER, limit).collect()} == first
+
+
+def test_lookup_join_deals_out_hot_keys(spark):
+    big = spark.range(1000).select("id", F.when(F.col("id") < 700, 0).otherwise(F.col("id") % 40).alias("k"))
+    small = big.groupBy("k").agg(F.count(F.lit(1)).alias("rows"), F.max("id").alias("high"))
+    want = {(r.id, r.k, r.high) for r in big.join(small, "k").collect()}
+    for limit in (1000, 0):
+        got = lookup_join(big, small, ["k"], "rows", ["id"], broadcast_rows=limit, hot_keys=20).collect()
+        assert {(r.id, r.k, r.high) for r in got} == want and len(got) == 1000
 
 
 def brute_force_triggers(rows, limits):
