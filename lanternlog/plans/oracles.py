@@ -188,6 +188,11 @@ _add(
     select="SELECT source_path, line_number, record, line_count FROM records",
 )
 _add("parse_events", *_CHAIN, select="SELECT source_path, line_number, event_ts, level, message, attributes FROM parsed")
+_add(
+    "enrich_lines", _LINES,
+    select="""SELECT source_path, line_number, CASE WHEN environment = 'production' THEN 'svc-' || application END AS service,
+      CASE WHEN environment = 'production' THEN 'auto' END AS format FROM lines""",
+)
 _DOCS = r"""docs AS (
   SELECT doc_id, 'docs-' || source AS source_id, source AS application, lang AS environment, '/docs/' || doc_id AS source_path,
     unnest(generate_series(1, len(parts))) AS line_number, unnest(parts) AS line,

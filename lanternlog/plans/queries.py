@@ -212,6 +212,16 @@ def parse_events(spark, sf):
     return _events(spark, sf).select("source_path", "line_number", "event_ts", "level", "message", "attributes")
 
 
+@query
+def enrich_lines(spark, sf):
+    """Lines with the configuration of their source, production sources only."""
+    lines = views.event_lines(spark, sf)
+    sources = lines.where(F.col("environment") == "production").select(
+        F.col("source_id").alias("id"), F.concat(F.lit("svc-"), "application").alias("service"), F.lit("auto").alias("format")
+    ).distinct()
+    return records.enrich_from_sources(lines, sources).select("source_path", "line_number", "service", "format")
+
+
 @query
 def parse_documents(spark, sf):
     return _document_events(spark, sf).select("source_path", "line_number", "event_ts", "level", "message", "has_time")

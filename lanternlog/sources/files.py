@@ -15,48 +15,42 @@ def read_log_files(spark: SparkSession, paths: str | list[str], recursive: bool
     Compressed files are read by their extension. Invalid UTF-8 is replaced.
     """
     reader = spark.read.option("recursiveFileLookup", str(recursive).lower())
-    return number_lines(reader.text(paths))
+    return number_lines(_scanned(reader.text(paths)))
 
 
-def number_lines(text: DataFrame) -> DataFrame:
-    """Number the lines of a batch ``text`` scan without sorting any file.
-
-    Each split counts its lines; the counts of the splits before give a split its first number. The table of
-    splits has one row per block of a file.
-    """
-    tagged = text.select(
+def _scanned(text: DataFrame) -> DataFrame:
+    return text.select(
         F.col("_metadata.file_path").alias("source_path"),
-        F.col("_metadata.file_block_start").alias("_block"),
+        F.col("_metadata.file_block_start").alias("block_start"),
         F.make_valid_utf8("value").alias("line"),
-        F.monotonically_increasing_id().alias("_row"),
     )
-    before = W.partitionBy("source_path").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+
+
+def number_lines(lines: DataFrame) -> DataFrame:
+    """Number the lines of a text scan (``source_path``, ``block_start``, ``line``) without sorting any file.
+
+    Each split counts its lines; the counts of the splits before give a split its first number. The table of
+    splits has one row per block of a file. ``lines`` must be in the order and partitions of the scan.
+    """
+    tagged = lines.withColumn("_row", F.monotonically_increasing_id())
+    before = W.partitionBy("source_path").orderBy("block_start").rowsBetween(W.unboundedPreceding, -1)
     blocks = (
-        tagged.groupBy("source_path", "_block")
+        tagged.groupBy("source_path", "block_start")
         .agg(F.count(F.lit(1)).alias("_lines"), F.min("_row").alias("_first"))
         .withColumn("_before", F.coalesce(F.sum("_lines").over(before), F.lit(0)))
     )
     number = F.col("_before") + F.col("_row") - F.col("_first") + 1
-    return tagged.join(blocks, ["source_path", "_block"]).select(
+    return tagged.join(blocks, ["source_path", "block_start"]).select(
         "source_path", number.alias("line_number"), "line"
     )
 
 
 def stream_log_files(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
-    """Stream of the lines of rolled files, with their file and arrival time.
-
-    A line's place in its file is its position inside a split; ``number_lines`` gives file line numbers when
-    it is called on the batches of ``foreachBatch``.
-    """
-    reader = spark.readStream.option("cleanSource", "off")
+    """Stream of the lines of rolled files. Its micro-batches hold whole files, so ``number_lines`` works on them."""
+    reader = spark.readStream
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.text(path).select(
-        F.make_valid_utf8("value").alias("line"),
-        F.col("_metadata.file_path").alias("source_path"),
-        F.col("_metadata.file_block_start").alias("block_start"),
-        F.current_timestamp().alias("ingest_ts"),
-    )
+    return _scanned(reader.text(path))
 
 
 def read_source_lines(spark: SparkSession, sources: DataFrame, ingest_ts: str) -> DataFrame:

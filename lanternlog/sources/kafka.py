@@ -60,6 +60,10 @@ def decode_raw(records: DataFrame, environment: str, topic: str = "raw_logs", ke
         .withColumn("line", F.col("_text") if keep_json else message)
         .withColumn("source_path", F.lit(f"kafka://{topic}"))
     )
+    if {"partition", "offset"} <= set(records.columns):
+        # The place in the topic tells equal lines apart.
+        place = F.concat_ws("/", "source_path", F.col("partition").cast("string"))
+        named = named.withColumn("source_path", place).withColumn("line_number", F.col("offset"))
     return named.withColumn("source_id", F.concat_ws("-", F.lit("ingest"), "application", "environment")).drop(
         "_text", "_map", "value"
     )

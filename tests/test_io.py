@@ -15,7 +15,7 @@ from lanternlog.schemas import ANOMALIES, OBSERVATIONS, conform
 from lanternlog.session import new_path
 from lanternlog.sources import catalog, cloudwatch, containers, envelopes, files, kafka
 from lanternlog.streaming import detection as stream_detection
-from lanternlog.streaming import metrics, rollup
+from lanternlog.streaming import metrics, observations, rollup
 
 SF = "/root/testdata/sf0.001"
 
@@ -128,3 +128,19 @@ def test_streams_equal_batch_and_repeat_safely(spark):
     assert stored.agg(F.sum("count")).first()[0] == seen.count()
     rollup.upsert_totals(stored.drop("day"), out)
     assert spark.read.parquet(out).agg(F.sum("count")).first()[0] == seen.count()
+
+
+def test_file_stream(spark, tmp_path):
+    logs = tmp_path / "logs"
+    logs.mkdir()
+    text = "2024-01-01 00:00:01 [ERROR] db down for a@b.org\n   at frame one\n\n2024-01-01 00:00:02 [INFO] same line\n2024-01-01 00:00:02 [INFO] same line\n"
+    for name in ("a.log", "b.log"):
+        (logs / name).write_text(text)
+    out = str(tmp_path / "out")
+    lines = files.stream_log_files(spark, str(logs), files_per_trigger=1)
+    source = {"source_id": "s", "application": "app", "environment": "prod"}
+    observations.start_file_ingest(lines, source, out, str(tmp_path / "cp"), available_now=True).awaitTermination()
+    rows = spark.read.parquet(out).collect()
+    assert len(rows) == 6 and len({r.id for r in rows}) == 6 and {r.batch for r in rows} == {0, 1}
+    assert sorted((r.line_number, r.level) for r in rows if r.source_path.endswith("a.log")) == [(1, "ERROR"), (4, "INFO"), (5, "INFO")]
+    assert all("@" not in r.sanitized_message for r in rows)
