@@ -9,6 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lanternlog.functions import parsing
+from lanternlog.session import materialize
+from lanternlog.sources.catalog import MAX_SOURCES
 
 # Lines that are put in order together; a longer file is handled in pieces of this many lines.
 CHUNK_LINES = 500_000
@@ -92,12 +94,14 @@ def fallback_event_time(events: DataFrame) -> DataFrame:
 
 
 def enrich_from_sources(lines: DataFrame, sources: DataFrame) -> DataFrame:
-    """Add the configuration of each line's source; ``sources.catalog`` bounds the number of sources."""
+    """Add the configuration of each line's source; a catalog of the usual size goes to all tasks."""
     config = sources.select(
         F.col("id").alias("source_id"),
         *[c for c in sources.columns if c != "id" and c not in lines.columns],
     )
-    return lines.join(F.broadcast(config), "source_id", "left")
+    config = materialize(config)
+    small = config.count() <= MAX_SOURCES
+    return lines.join(F.broadcast(config) if small else config, "source_id", "left")
 
 
 def quarantine(records: DataFrame, record: str = "record", log_format: str | None = None) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lanternlog.functions import masks
+from lanternlog.functions.binding import bind
 from lanternlog.functions.ids import row_id, template_id
 from lanternlog.operators.ranking import first_rows
 from lanternlog.schemas import OBSERVATION_ORDER, OBSERVATIONS, conform
@@ -23,37 +24,43 @@ def extract_parameters(template: Column, message: Column) -> Column:
     The fixed parts of the template are looked up from left to right and each value ends where the next
     fixed part begins, so one pass is enough and nothing is tried twice.
     """
-    # A value that the template's last place holds runs to the end of the line.
-    line = masks.first_line(message)
-    fixed = F.split(template, masks.PLACEHOLDER, -1)
+    places = bind(template, lambda text: F.split(text, masks.PLACEHOLDER, -1))
+    return bind(masks.first_line(message), lambda line: bind(places, lambda fixed: _values(fixed, line)))
+
+
+def _values(fixed: Column, line: Column) -> Column:
+    """Values between the fixed parts of a template; none if the line does not fit."""
+    none = F.array().cast("array<string>")
     start = F.struct(
         (F.length(F.get(fixed, F.lit(0))) + 1).cast("int").alias("at"),
-        F.array().cast("array<string>").alias("values"),
+        none.alias("values"),
         line.startswith(F.get(fixed, F.lit(0))).alias("ok"),
     )
-    tail = F.slice(
-        F.transform(fixed, lambda part, i: F.struct(part.alias("part"), (i == F.size(fixed) - 1).alias("last"))),
-        2,
-        F.greatest(F.size(fixed), F.lit(1)),
-    )
+    numbered = F.transform(fixed, lambda part, i: F.struct(part.alias("part"), (i == F.size(fixed) - 1).alias("last")))
+
+    def end_of(state: Column, piece: Column) -> Column:
+        """Where a value ends: an inner one has at least one character, the last one runs to the closing part."""
+        inner = F.when(piece["part"] == "", state["at"] + 1).otherwise(F.position(piece["part"], line, state["at"] + 1))
+        return F.when(piece["last"], F.length(line) - F.length(piece["part"]) + 1).otherwise(inner)
+
+    def take(state: Column, piece: Column, end: Column) -> Column:
+        good = (end > state["at"]) & (~piece["last"] | line.endswith(piece["part"]))
+        taken = F.struct(
+            (end + F.length(piece["part"])).cast("int").alias("at"),
+            F.array_append(state["values"], F.substr(line, state["at"], end - state["at"])).alias("values"),
+            F.lit(True).alias("ok"),
+        )
+        failed = F.struct(state["at"].alias("at"), state["values"].alias("values"), F.lit(False).alias("ok"))
+        return F.when(good, taken).otherwise(failed)
 
     def step(state: Column, piece: Column) -> Column:
-        # The last fixed part must close the line; an inner one must leave at least one character.
-        end = F.when(piece["last"], F.length(line) - F.length(piece["part"]) + 1).otherwise(
-            F.when(piece["part"] == "", state["at"] + 1).otherwise(
-                F.position(piece["part"], line, state["at"] + 1)
-            )
-        )
-        good = state["ok"] & (end > state["at"]) & (~piece["last"] | line.endswith(piece["part"]))
-        value = F.substr(line, state["at"], end - state["at"])
-        return F.struct(
-            F.when(good, end + F.length(piece["part"])).otherwise(state["at"]).cast("int").alias("at"),
-            F.when(good, F.array_append(state["values"], value)).otherwise(state["values"]).alias("values"),
-            good.alias("ok"),
-        )
+        taken = bind(end_of(state, piece), lambda end: take(state, piece, end))
+        return F.when(state["ok"], taken).otherwise(state)
 
-    found = F.aggregate(tail, start, step, lambda state: F.when(state["ok"], state["values"]))
-    return F.coalesce(found, F.array().cast("array<string>"))
+    found = F.aggregate(
+        F.slice(numbered, 2, F.greatest(F.size(fixed), F.lit(1))), start, step, lambda state: F.when(state["ok"], state["values"])
+    )
+    return F.when(F.size(fixed) > 1, F.coalesce(found, none)).otherwise(none)
 
 
 def build_observations(events: DataFrame, with_parameters: bool = True) -> DataFrame:

@@ -62,13 +62,12 @@ def run_pipeline(
 ) -> PipelineTables:
     """All tables that follow from raw lines. The observations are stored once, the other tables read them."""
     observations = materialize(lines_to_observations(lines, multiline, mode))
-    buckets = bk.rollup(observations, limits.bucket_minutes)
     samples = bk.samples(observations)
-    anomalies = detection.detect(observations, known, samples, limits, buckets=buckets)
+    anomalies = detection.detect(observations, known, samples, limits)
     return PipelineTables(
         observations=observations,
         templates=templates.template_catalog(observations),
-        buckets=buckets,
+        buckets=bk.rollup(observations, limits.bucket_minutes),
         samples=samples,
         anomalies=anomalies,
         analyses=triage.heuristic_triage(anomalies),
