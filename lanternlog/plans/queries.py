@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextlib import contextmanager
 from datetime import datetime
 
 import pandas as pd
@@ -907,6 +908,18 @@ def read_compressed_logs(spark, sf):
 # --- streams -----------------------------------------------------------------------------------------------
 
 
+@contextmanager
+def _state_partitions(spark: SparkSession):
+    """Start stateful streams with at most one state partition per core; the number is fixed at their first start."""
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(int(before), max(1, spark.sparkContext.defaultParallelism))))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def _event_stream(spark: SparkSession, sf: str, scoped: bool = True) -> DataFrame:
     """The events as a stream of files, one per five days, in order of time."""
     path = new_path(spark, "events")
@@ -926,11 +939,12 @@ def stream_observations(spark, sf):
     lines.write.parquet(path)
     stream = stream_obs.stream_observations(spark.readStream.schema(lines.schema).parquet(path))
     unique = stream_obs.deduplicate(stream)
-    run = (
-        unique.writeStream.format("parquet").option("path", out)
-        .option("checkpointLocation", new_path(spark, "checkpoint")).trigger(availableNow=True).start()
-    )
-    run.awaitTermination()
+    with _state_partitions(spark):
+        run = (
+            unique.writeStream.format("parquet").option("path", out)
+            .option("checkpointLocation", new_path(spark, "checkpoint")).trigger(availableNow=True).start()
+        )
+        run.awaitTermination()
     return spark.read.parquet(out).select("id", "template_id", "sanitized_message", "level", "event_ts", "client_id_hash")
 
 
@@ -938,8 +952,9 @@ def stream_observations(spark, sf):
 def stream_buckets(spark, sf):
     out = new_path(spark, "buckets")
     totals = stream_rollup.stream_buckets(_event_stream(spark, sf), 60)
-    run = stream_rollup.start_rollup(totals, out, new_path(spark, "checkpoint"), available_now=True)
-    run.awaitTermination()
+    with _state_partitions(spark):
+        run = stream_rollup.start_rollup(totals, out, new_path(spark, "checkpoint"), available_now=True)
+        run.awaitTermination()
     return spark.read.parquet(out).select("id", "template_id", "bucket_start", "bucket_end", "count", "error_count")
 
 
