@@ -17,7 +17,7 @@ from lanternlog.operators import clustering, correlation, incidents, kpis, memor
 from lanternlog.operators import detection as dt
 from lanternlog.operators import sanitize, templates, triage
 from lanternlog.plans import jobs, views
-from lanternlog.schemas import ANALYSES, EMBEDDINGS, FEEDBACK, OBSERVATIONS, conform
+from lanternlog.schemas import ANALYSES, FEEDBACK, OBSERVATIONS, conform
 from lanternlog.session import materialize, new_path
 from lanternlog.sources import cloudwatch, containers, envelopes, files, kafka
 from lanternlog.streaming import detection as stream_detection

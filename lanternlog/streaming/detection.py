@@ -13,7 +13,6 @@ from pyspark.sql.streaming import StreamingQuery
 
 from lanternlog.operators import buckets as bk
 from lanternlog.operators import detection as dt
-from lanternlog.operators.templates import flag_new_templates
 from lanternlog.schemas import ANOMALIES, conform
 from lanternlog.session import materialize
 from lanternlog.sources.tables import read_table
