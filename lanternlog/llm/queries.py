@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lanternlog.llm import bpe, language_id, packing, quality, simhash, syncmers, token_counts, token_files
+from lanternlog.llm import bpe, hnsw, html_extract, language_id, packing, quality, simhash, syncmers, token_counts, token_files
 from lanternlog.session import new_path
 
 
@@ -57,10 +57,20 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.link_near(_table(spark, sf_dir, "embeddings"))
+
+
+def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    return html_extract.main_text(pages, html_extract.learn(pages))
+
+
 REGISTRY = {
     f.__name__: f
     for f in (
         op1_language_id, op2_quality, op3_packing, op4_token_files, op5_simhash, op6_fingerprints, op7_bpe, op8_token_counts,
+        op9_embeddings, op10_main_text,
     )
 }
 #: None of these can be said in SQL: they learn models, tokenize, hash with XXH64 or walk graphs. Tests use brute force.
