@@ -11,14 +11,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lanternlog.session import new_path
+from lanternlog.session import new_path, ship_package
 
 #: Rows of an Arrow batch, and bytes of text that are worked on at once inside one.
 BATCH_ROWS, SLICE_BYTES = 1000, 2 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Let Arrow batches hold few rows, since single texts may be very long."""
+    """Let Arrow batches hold few rows, since single texts may be very long, and let workers import the package."""
+    ship_package(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from lanternlog.llm.byte_ids import byte_ids
 from lanternlog.llm.common import map_batches, offsets_of, shuffle_parts, slices
+from lanternlog.session import file_system
 
 #: Stands for a null document id in the files.
 NULL_ID = np.iinfo(np.int64).min
@@ -21,10 +22,6 @@ NULL_ID = np.iinfo(np.int64).min
 READ_IDS = 1 << 20
 
 
-def _file_system(folder: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(folder)
-
-
 def write_tokens(
     df: DataFrame, path: str, folder: str, end: int = 0, id_col: str = "doc_id", text_col: str = "text",
     parts: int | None = None,
@@ -38,7 +35,7 @@ def write_tokens(
     speculative copies leave no trace. Null texts are empty; null ids come first; rows that repeat an id are ordered by text.
     ``folder`` must be reachable from all executors. An empty table gives a manifest without files.
     """
-    os_fs, root = _file_system(folder)
+    os_fs, root = file_system(folder)
     os_fs.create_dir(root, recursive=True)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -46,7 +43,7 @@ def write_tokens(
         kind = "<u2" if max(table.size, end + 1) <= 1 << 16 else "<u4"
         part = context.partitionId() if context else 0
         name = f"part-{part:06d}-{context.taskAttemptId() if context else 0}"
-        there, top = _file_system(folder)
+        there, top = file_system(folder)
         docs = total = 0
         files = None
         for batch in slices(batches):
@@ -95,12 +92,12 @@ def read_tokens(spark: SparkSession, folder: str, id_col: str = "doc_id") -> Dat
 
     ``start`` counts the ids of all documents before it; ``ids`` are little-endian unsigned 32-bit numbers. One task per file.
     """
-    there, root = _file_system(folder)
+    there, root = file_system(folder)
     with there.open_input_file(f"{root}/manifest.json") as file:
         files = json.loads(file.read())["files"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here, top = _file_system(folder)
+        here, top = file_system(folder)
         for batch in batches:
             for row in batch.to_pylist():
                 docs = _mapped(here, f"{top}/{row['name']}.docs", "<i8")
