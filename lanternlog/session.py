@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import io
+import re
 import uuid
+import zipfile
+from pathlib import Path
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -36,6 +41,30 @@ def shared_dir(spark: SparkSession) -> str:
     return configured
 
 
+def file_system(path: str) -> tuple[fs.FileSystem, str]:
+    """File system of a path or URI that the Python side writes to, and the path in it."""
+    return fs.FileSystem.from_uri(re.sub("^file:/+", "/", path))
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Let the Python workers of this session import the package, wherever it was installed; done once per context."""
+    context = spark.sparkContext
+    if getattr(context, "_lanternlog_shipped", False):
+        return
+    folder = Path(__file__).resolve().parent
+    content = io.BytesIO()
+    with zipfile.ZipFile(content, "w", zipfile.ZIP_DEFLATED) as archive:
+        for path in sorted(folder.rglob("*.py")):
+            archive.write(path, str(path.relative_to(folder.parent)))
+    target = f"{shared_dir(spark)}/lanternlog-{uuid.uuid4().hex}.zip"
+    files, place = file_system(target)
+    files.create_dir(place.rpartition("/")[0], recursive=True)
+    with files.open_output_stream(place) as out:
+        out.write(content.getvalue())
+    context.addPyFile(target)
+    context._lanternlog_shipped = True
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A path under the shared folder that no other run uses."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
