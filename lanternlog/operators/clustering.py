@@ -14,8 +14,6 @@ from lanternlog.operators.ranking import lookup_join
 from lanternlog.session import materialize
 
 WILDCARD = "<*>"
-# Signatures that are compared with each other in one task.
-GROUP_LIMIT = 20_000
 _SCOPE = ("application", "environment")
 _LEAF = (*_SCOPE, "tokens", "lead")
 
@@ -36,23 +34,23 @@ def _cluster_leaves(similarity: float):
     def cluster(patterns: list[str]) -> list[str]:
         import numpy as np
 
-        words = [[w for w in p.split(" ") if w] for p in patterns]
         codes = {wildcard: 0}
-        rows = np.array([[codes.setdefault(w, len(codes)) for w in line] for line in words], dtype=np.int32)
-        clusters = np.empty_like(rows)
+        clusters = np.zeros((64, sum(1 for w in patterns[0].split(" ") if w)), dtype=np.int32)
         used = 0
         member = []
-        for row in rows:
+        for pattern in patterns:
+            row = np.array([codes.setdefault(w, len(codes)) for w in pattern.split(" ") if w], dtype=np.int32)
             chosen = -1
             if used:
                 held = clusters[:used]
-                equal = ((held == row) & (held != 0)).sum(axis=1)
-                wild = (held == 0).sum(axis=1)
                 # Most equal words first, then most wildcards, then the older template.
-                best = int(np.lexsort((-wild, -equal))[0])
+                equal = ((held == row) & (held != 0)).sum(axis=1)
+                best = int(np.argmax(equal * (len(row) + 1) + (held == 0).sum(axis=1)))
                 if equal[best] / len(row) >= similarity or (held[best] == row).all():
                     chosen = best
             if chosen < 0:
+                if used == len(clusters):
+                    clusters = np.concatenate([clusters, np.zeros_like(clusters)])
                 clusters[used] = row
                 chosen = used
                 used += 1
@@ -91,48 +89,20 @@ def _cluster_leaves(similarity: float):
     return run
 
 
-def cluster_signatures(
-    signatures: DataFrame, similarity: float = 0.5, depth: int = 4, group_limit: int = GROUP_LIMIT
-) -> DataFrame:
+def cluster_signatures(signatures: DataFrame, similarity: float = 0.5, depth: int = 4) -> DataFrame:
     """Template of every distinct signature (``application``, ``environment``, ``template_text``, ``first_seen``).
 
-    Leaves are independent, so they are spread over the tasks. A leaf with more than ``group_limit``
-    signatures is cut into parts by hash; the templates of its parts are clustered again, until they fit one
-    part or no longer merge.
+    Leaves are independent, so they are spread over the tasks. ``depth`` routes signatures by their first ``depth - 3`` words at
+    every size of the input: a larger one makes smaller leaves. The result does not depend on partitions or volume.
     """
-    current = materialize(
-        _with_leaf(signatures.select(*_SCOPE, F.col("template_text").alias("pattern"), "first_seen"), depth)
+    leaves = _with_leaf(signatures.select(*_SCOPE, F.col("template_text").alias("pattern"), "first_seen"), depth)
+    keyed = leaves.select(
+        F.concat_ws("\x1f", *[F.col(c).cast("string") for c in _LEAF]).alias("leaf"), *_SCOPE, "pattern", "first_seen"
     )
-    mapping = current.select(*_SCOPE, F.col("pattern").alias("template_text"), F.col("pattern").alias("mined_text"))
+    sorted_leaves = keyed.repartition("leaf").sortWithinPartitions("leaf", "first_seen", "pattern")
     schema = "application string, environment string, pattern string, first_seen timestamp, merged string"
-    rounds = 0
-    while True:
-        sizes = current.groupBy(*_LEAF).agg(F.count(F.lit(1)).alias("_size"))
-        largest, before = sizes.agg(F.max("_size"), F.sum("_size")).first()
-        whole = largest is None or largest <= group_limit
-        if whole:
-            cut = current.withColumn("_part", F.lit(0))
-        else:
-            parts = F.ceil(F.col("_size") / group_limit).cast("int")
-            cut = current.join(sizes, list(_LEAF)).withColumn("_part", F.pmod(F.xxhash64("pattern", F.lit(rounds)), parts))
-        keyed = cut.select(
-            F.concat_ws("\x1f", *[F.col(c).cast("string") for c in (*_LEAF, "_part")]).alias("leaf"),
-            *_SCOPE, "pattern", "first_seen",
-        )
-        sorted_leaves = keyed.repartition("leaf").sortWithinPartitions("leaf", "first_seen", "pattern")
-        merged = materialize(sorted_leaves.mapInPandas(_cluster_leaves(similarity), schema))
-        step = merged.select(*_SCOPE, F.col("pattern").alias("mined_text"), F.col("merged").alias("_next"))
-        mapping = mapping.join(step, [*_SCOPE, "mined_text"]).select(
-            *_SCOPE, "template_text", F.col("_next").alias("mined_text")
-        )
-        if whole:
-            return mapping
-        mapping = materialize(mapping)
-        following = merged.groupBy(*_SCOPE, F.col("merged").alias("pattern")).agg(F.min("first_seen").alias("first_seen"))
-        current = materialize(_with_leaf(following, depth))
-        rounds += 1
-        if current.count() == before:
-            return mapping
+    merged = materialize(sorted_leaves.mapInPandas(_cluster_leaves(similarity), schema))
+    return merged.select(*_SCOPE, F.col("pattern").alias("template_text"), F.col("merged").alias("mined_text"))
 
 
 def mine_templates(
@@ -140,7 +110,6 @@ def mine_templates(
     message: str = "sanitized_message",
     similarity: float = 0.5,
     depth: int = 4,
-    group_limit: int = GROUP_LIMIT,
 ) -> DataFrame:
     """Add ``template_text`` and ``template_id`` by clustering the masked first lines.
 
@@ -152,7 +121,7 @@ def mine_templates(
     signatures = materialize(
         masked.groupBy(*key).agg(F.min("event_ts").alias("first_seen"), F.count(F.lit(1)).alias("_rows"))
     )
-    mapping = cluster_signatures(signatures, similarity, depth, group_limit)
+    mapping = cluster_signatures(signatures, similarity, depth)
     mined = lookup_join(
         masked, mapping.join(signatures.select(*key, "_rows"), key), key, "_rows", ["source_path", "line_number"]
     )

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lanternlog.functions.ids import row_id
 from lanternlog.operators import buckets as bk
-from lanternlog.operators.ranking import exact_rank, top_rows
+from lanternlog.operators.ranking import exact_rank, lookup_join, top_rows
 from lanternlog.operators.templates import flag_new_templates
 from lanternlog.schemas import ANOMALIES, ERROR_LEVELS, WARN_LEVELS, conform
 from lanternlog.session import materialize
@@ -74,11 +74,11 @@ def spike_triggers(
     hot_rows: int = 1_000_000,
 ) -> DataFrame:
     """The observation of each spike bucket at which the running count reaches ``trigger_count``."""
-    wanted = spikes.select("template_id", "bucket_start", "baseline_mean", "baseline_std", "trigger_count")
-    # Few rows are left, and the ranking reads them several times.
-    inside = materialize(
-        bk.with_bucket(observations, limits.bucket_minutes).join(wanted, ["template_id", "bucket_start"])
-    )
+    wanted = spikes.select("template_id", "bucket_start", "baseline_mean", "baseline_std", "trigger_count", F.col("count").alias("_n"))
+    bucketed = bk.with_bucket(observations, limits.bucket_minutes)
+    # Few rows are left, and the ranking reads them several times. The buckets wanted are the most crowded ones, so they are
+    # sent to all tasks or dealt out.
+    inside = materialize(lookup_join(bucketed, wanted, ["template_id", "bucket_start"], "_n", ["source_path", "line_number"]))
     counted = bk.running_bucket_count(inside, limits.bucket_minutes, hot_rows)
     return counted.where(F.col("running_count") == F.col("trigger_count"))
 

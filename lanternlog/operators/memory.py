@@ -166,11 +166,14 @@ def search_similar_approx(
     corpus: DataFrame,
     top_k: int = 5,
     min_score: float = 0.2,
-    bucket_length: float = 1.0,
-    tables: int = 4,
+    bucket_length: float = 0.2,
+    tables: int = 6,
     seed: int = 42,
 ) -> DataFrame:
-    """Like ``search_similar`` over hash buckets of random projections: fewer comparisons, may miss matches."""
+    """Like ``search_similar`` over hash buckets of random projections: fewer comparisons, may miss matches.
+
+    Projections of unit vectors lie close to zero, so buckets must be much narrower than 1 to split them.
+    """
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import array_to_vector
 

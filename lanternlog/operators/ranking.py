@@ -14,8 +14,16 @@ from lanternlog.session import materialize
 HOT_SLOT_ROWS = 1_000_000
 # At most this many keys can each hold more than one in this many of all rows: the bound of a list of hot keys.
 HOT_KEYS = 10_000
-# Tables of more narrow rows than this are not sent to every task.
+# Tables of more rows or bytes than this are not sent to every task.
 BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 64 << 20
+
+
+def small_table(df: DataFrame, rows: int = BROADCAST_ROWS, most: int = BROADCAST_BYTES) -> bool:
+    """Whether a table is small enough to be sent to every task, by its rows and by the bytes of its values as text."""
+    size = F.sum(F.octet_length(F.to_json(F.struct(*df.columns))))
+    count, total = df.agg(F.count(F.lit(1)), size).first()
+    return count <= rows and (total or 0) <= most
 
 
 def exact_rank(
@@ -75,14 +83,13 @@ def lookup_join(
 ) -> DataFrame:
     """Add the columns of the one row each key has in ``small``; its column ``rows`` counts the rows of the key.
 
-    A small table goes to all tasks. Otherwise both sides are shuffled, and the rows of a key above one in
+    A table of few rows and bytes goes to all tasks. Otherwise both sides are shuffled, and the rows of a key above one in
     ``hot_keys`` of all rows are dealt out over copies of its small row.
     """
     small = materialize(small)
-    count, total = small.agg(F.count(F.lit(1)), F.sum(rows)).first()
-    if count <= broadcast_rows:
+    if small_table(small.drop(rows), broadcast_rows):
         return big.join(F.broadcast(small.drop(rows)), list(keys))
-    share = max(1, total // hot_keys)
+    share = max(1, (small.agg(F.sum(rows)).first()[0] or 0) // hot_keys)
     copies = F.ceil(F.col(rows) / share).cast("int")
     hot = small.where(F.col(rows) > share).select(*keys, copies.alias("_copies"))
     dealt = F.pmod(F.xxhash64(*spread_by), F.col("_copies")).cast("int")
@@ -103,7 +110,7 @@ def first_rows(
     keys = list(keys)
     best = F.min_by(F.struct(*df.columns), F.struct(*order)).alias("_row")
     lows = materialize(df.groupBy(*keys).agg(F.min(lead).alias("_low")))
-    if lows.count() <= broadcast_rows:
+    if small_table(lows, broadcast_rows):
         df = df.join(F.broadcast(lows), keys).where(F.col(lead) == F.col("_low")).drop("_low")
     return df.groupBy(*keys).agg(best).select("_row.*")
 

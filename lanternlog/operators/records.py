@@ -9,13 +9,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lanternlog.functions import parsing
+from lanternlog.operators.ranking import small_table
 from lanternlog.session import materialize
-from lanternlog.sources.catalog import MAX_SOURCES
 
 # Lines that are put in order together; a longer file is handled in pieces of this many lines.
 CHUNK_LINES = 500_000
-# A record is one string. A longer one continues in a further row with the next part number.
-MAX_RECORD_LINES = 100_000
 
 
 def drop_blank_lines(lines: DataFrame, column: str = "line") -> DataFrame:
@@ -26,8 +24,11 @@ def drop_blank_lines(lines: DataFrame, column: str = "line") -> DataFrame:
 def flag_record_start(
     lines: DataFrame, pattern: str | Column | None = None, negate: bool | Column = True
 ) -> DataFrame:
-    """Add ``is_start``."""
-    return lines.withColumn("is_start", parsing.starts_record(F.col("line"), pattern, negate))
+    """Add ``is_start``. Lines whose column ``whole`` is true are records by themselves, as network input is."""
+    start = parsing.starts_record(F.col("line"), pattern, negate)
+    if "whole" in lines.columns:
+        start = F.coalesce("whole", F.lit(False)) | start
+    return lines.withColumn("is_start", start)
 
 
 def assemble_multiline(
@@ -36,13 +37,13 @@ def assemble_multiline(
     pattern: str | Column | None = None,
     negate: bool | Column = True,
     chunk_lines: int = CHUNK_LINES,
-    max_record_lines: int = MAX_RECORD_LINES,
 ) -> DataFrame:
     """Join continuation lines to the line that starts their record.
 
     Files are cut into chunks of line numbers, so one huge file is spread over many tasks. A chunk finds the
     start of its lines by itself, except for lines before its first start: those take the last start of the
-    chunks before, which comes from a table with one row per chunk.
+    chunks before, which comes from a table with one row per chunk. A record is one row however long it is; its
+    other columns are those of its first line.
     """
     keys = list(keys)
     flagged = flag_record_start(lines, pattern, negate)
@@ -62,18 +63,18 @@ def assemble_multiline(
     placed = (
         chunked.join(carried, by_chunk)
         .withColumn("_start", F.coalesce(F.max(start).over(so_far), F.col("_carried")))
-        .withColumn("record_part", F.floor((F.col("line_number") - F.col("_start")) / max_record_lines))
     )
     rest = [c for c in lines.columns if c not in (*keys, "line", "line_number")]
     pieces = F.array_sort(F.collect_list(F.struct("line_number", "line")))
-    return (
-        placed.groupBy(*keys, "_start", "record_part")
-        .agg(
-            F.array_join(F.transform(pieces, lambda piece: piece["line"]), "\n").alias("record"),
-            F.count(F.lit(1)).alias("line_count"),
-            *[F.first(c).alias(c) for c in rest],
-        )
-        .withColumnRenamed("_start", "line_number")
+    head = [F.min_by(F.struct(*rest), "line_number").alias("_head")] if rest else []
+    joined = placed.groupBy(*keys, "_start").agg(
+        F.array_join(F.transform(pieces, lambda piece: piece["line"]), "\n").alias("record"),
+        F.count(F.lit(1)).alias("line_count"),
+        *head,
+    )
+    return joined.select(
+        *keys, F.col("_start").alias("line_number"), F.lit(0).alias("record_part"), "record", "line_count",
+        *[F.col(f"_head.{c}").alias(c) for c in rest],
     )
 
 
@@ -94,14 +95,13 @@ def fallback_event_time(events: DataFrame) -> DataFrame:
 
 
 def enrich_from_sources(lines: DataFrame, sources: DataFrame) -> DataFrame:
-    """Add the configuration of each line's source; a catalog of the usual size goes to all tasks."""
+    """Add the configuration of each line's source; a catalog of few bytes goes to all tasks."""
     config = sources.select(
         F.col("id").alias("source_id"),
         *[c for c in sources.columns if c != "id" and c not in lines.columns],
     )
     config = materialize(config)
-    small = config.count() <= MAX_SOURCES
-    return lines.join(F.broadcast(config) if small else config, "source_id", "left")
+    return lines.join(F.broadcast(config) if small_table(config) else config, "source_id", "left")
 
 
 def quarantine(records: DataFrame, record: str = "record", log_format: str | None = None) -> DataFrame:

@@ -104,10 +104,11 @@ def template_catalog(observations: DataFrame) -> DataFrame:
 
 def flag_new_templates(observations: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """First observation of every template that the known dictionary (column ``id``) lacks."""
-    fresh = observations
-    if known is not None:
-        fresh = fresh.join(known.select(F.col("id").alias("template_id")).distinct(), "template_id", "left_anti")
-    return first_rows(fresh, ["template_id"], "event_ts", OBSERVATION_ORDER).select(*observations.columns)
+    # One row per template is left before the dictionary is looked at, so no template's rows meet in one task.
+    first = first_rows(observations, ["template_id"], "event_ts", OBSERVATION_ORDER).select(*observations.columns)
+    if known is None:
+        return first
+    return first.join(known.select(F.col("id").alias("template_id")).distinct(), "template_id", "left_anti")
 
 
 def top_templates(catalog: DataFrame, limit: int = 100) -> DataFrame:

@@ -101,7 +101,7 @@ DEFAULT_RULE = TriageRule(
 # Texts that verdicts and contexts carry.
 MODEL = "heuristic-sre-engine"
 PROMPT_VERSION = "v2.0"
-LIMITATION = "Analyzed via local deterministic SRE heuristics because the OpenAI request was unavailable."
+LIMITATION = "Judged by fixed rules of this engine; no language model was asked."
 EVIDENCE_REASON = "Deterministic anomaly detector evidence"
 RECALL_NOTE = " Note: A similar issue occurred in the past and was resolved."
 RECALL_STEP = "Previously taken resolution step: "

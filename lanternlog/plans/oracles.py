@@ -717,7 +717,7 @@ _add(
 )
 _add(
     "ask_context", *_CASES, _MEMORY, _LATEST,
-    "asked AS (SELECT conv_id AS question_id, arg_min(text, turn) AS text FROM conversations GROUP BY ALL)",
+    "asked AS (SELECT conv_id || '/' || turn AS question_id, text FROM conversations WHERE role = 'user')",
     _embedded("asked", "question_id", "text", "q"), _embedded("memory", "id", "text_content", "c"),
     _scores("q", "question_id", "c", "id", "s"), _best("s", 5, 0.1, "near"),
     """past AS (SELECT query_id AS question_id, string_agg('- Historical Record: ' || text_content || ' (Similarity: ' || score || ')',
@@ -765,7 +765,7 @@ _add(
 )
 _add(
     "kafka_round_trip", _obs(),
-    select="""SELECT id, source_id, template_id, date_trunc('millisecond', event_ts) AS event_ts, level, line_number, sample_hash FROM obs""",
+    select="""SELECT id, source_id, template_id, event_ts, level, line_number, sample_hash FROM obs""",
 )
 _add("kafka_quarantine", _obs(where="event_id % 7 = 0"), select="SELECT id, 'invalid_message' AS reason FROM obs")
 _add(

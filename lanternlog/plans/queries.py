@@ -729,10 +729,10 @@ def validate_verdicts(spark, sf):
 
 @query
 def ask_context(spark, sf):
-    """The first turn of every conversation as a question about the incidents."""
+    """Every turn of a user as a question about the incidents."""
     found, verdicts, actions = _statuses(spark, sf)
     turns = views.table(spark, sf, "conversations")
-    questions = turns.groupBy(F.col("conv_id").alias("question_id")).agg(F.min_by("text", "turn").alias("text"))
+    questions = turns.where(F.col("role") == "user").select(F.concat_ws("/", "conv_id", "turn").alias("question_id"), "text")
     active = incidents.active_anomalies(found, verdicts, latest_only=True)
     return triage.ask_context(questions, _memory(found, verdicts, actions), active)
 
@@ -926,7 +926,8 @@ def _event_stream(spark: SparkSession, sf: str, scoped: bool = True) -> DataFram
     seen = views.event_observations(spark, sf, scoped)
     parts = seen.withColumn("_span", F.floor(F.datediff("event_ts", F.lit("2024-01-01")) / 5))
     schema = seen.schema
-    for span in range(6):
+    spans = [row[0] for row in parts.select("_span").distinct().orderBy("_span").collect()]
+    for span in spans:
         # Separate writes, so that the file source sees the spans in order of time.
         parts.where(F.col("_span") == span).drop("_span").coalesce(1).write.mode("append").parquet(path)
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)

@@ -29,13 +29,18 @@ def gunzip(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 def decode_cloudwatch(
-    payloads: DataFrame, environment: str = "production", application: str = "", data: str = "data"
+    payloads: DataFrame, environment: str = "production", application: str = "", data: str = "data", ingest_ts: str | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """Payloads to raw lines, and the payloads that cannot be read.
 
     The application is the log group with dashes for slashes unless one is given. Empty messages and empty
-    payloads give no lines.
+    payloads give no lines. Each message is a record by itself; the path names group, stream and payload, by the column
+    ``payload_id`` or else by the payload's digest. ``ingest_ts`` is that of the payload, or the time of the run for a table
+    without it.
     """
+    if "ingest_ts" not in payloads.columns:
+        payloads = payloads.withColumn("ingest_ts", F.lit(ingest_ts).cast("timestamp") if ingest_ts else F.current_timestamp())
+    key = F.col("payload_id").cast("string") if "payload_id" in payloads.columns else F.sha2(data, 256)
     filled = payloads.where(F.coalesce(F.col(data), F.lit("")) != "")
     packed = F.when(F.length(data) > 0, F.try_to_binary(F.col(data), F.lit("base64")))
     text = filled.withColumn("_json", gunzip(packed))
@@ -47,7 +52,7 @@ def decode_cloudwatch(
     rest = [c for c in payloads.columns if c != data]
     lines = (
         parsed.where(F.col("_log").isNotNull())
-        .select(*rest, group.alias("_group"), name.alias("application"), stream.alias("stream"),
+        .select(*rest, key.alias("_key"), group.alias("_group"), name.alias("application"), stream.alias("stream"),
                 F.posexplode("_log.logEvents").alias("_pos", "_event"))
         .where(F.coalesce(F.col("_event.message"), F.lit("")) != "")
         .select(
@@ -56,6 +61,8 @@ def decode_cloudwatch(
             F.lit(environment).alias("environment"),
             F.concat(F.lit("cloudwatch:"), F.col("_group")).alias("source_name"),
             F.concat_ws("-", F.lit("ingest"), "application", F.lit(environment)).alias("source_id"),
+            F.concat_ws("/", F.concat(F.lit("cloudwatch:"), F.col("_group")), "stream", "_key").alias("source_path"),
+            F.lit(True).alias("whole"),
             (F.col("_pos") + 1).cast("bigint").alias("line_number"),
             F.col("_event.message").alias("message"),
             F.col("_event.timestamp").alias("timestamp_ms"),

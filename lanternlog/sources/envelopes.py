@@ -84,14 +84,22 @@ def _normalize(bodies: DataFrame, environment: str) -> DataFrame:
     )
 
 
-def normalize_envelopes(bodies: DataFrame, environment: str = "production") -> tuple[DataFrame, DataFrame]:
+def normalize_envelopes(
+    bodies: DataFrame, environment: str = "production", ingest_ts: str | None = None
+) -> tuple[DataFrame, DataFrame]:
     """JSON bodies (``body`` and optional request defaults) to raw lines, and the rejected bodies.
 
     Three shapes are accepted: an object with a ``logs`` list, a list of entries, and a single entry. Objects
-    among the entries stay JSON text. Blank entries are skipped, but count for the line numbers.
+    among the entries stay JSON text. Blank entries are skipped, but count for the line numbers. Each entry is a record by
+    itself, and the path names its body, by the column ``body_id`` or else by the body's digest; equal bodies without such a
+    column count as one. ``ingest_ts`` is that of the body, or the time of the run for a table without it.
     """
-    shaped = _normalize(bodies, environment)
-    rejected = shaped.where(F.col("reason").isNotNull()).drop("items", "application", "environment", "source_name")
+    named = F.col("body_id").cast("string") if "body_id" in bodies.columns else F.sha2("body", 256)
+    bodies = bodies.withColumn("_body_key", named)
+    if "ingest_ts" not in bodies.columns:
+        bodies = bodies.withColumn("ingest_ts", F.lit(ingest_ts).cast("timestamp") if ingest_ts else F.current_timestamp())
+    shaped = _normalize(bodies.withColumnRenamed("_body_key", "body_key"), environment)
+    rejected = shaped.where(F.col("reason").isNotNull()).drop("items", "application", "environment", "source_name", "body_key")
     rest = [c for c in shaped.columns if c not in ("items", "reason", "body", "shape")]
     lines = (
         shaped.where(F.col("reason").isNull())
@@ -99,7 +107,8 @@ def normalize_envelopes(bodies: DataFrame, environment: str = "production") -> t
         .where(strip(F.col("line")) != "")
         .withColumn("line_number", (F.col("_pos") + 1).cast("bigint"))
         .withColumn("source_id", F.concat_ws("-", F.lit("ingest"), "application", "environment"))
-        .withColumn("source_path", F.lit(INGEST_PATH))
-        .drop("_pos")
+        .withColumn("source_path", F.concat_ws("/", F.lit(INGEST_PATH), "body_key"))
+        .withColumn("whole", F.lit(True))
+        .drop("_pos", "body_key")
     )
     return lines, rejected

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lanternlog.operators.ranking import small_table
 from lanternlog.schemas import RAW_LINES, conform
+from lanternlog.session import materialize
 
 
 def read_log_files(spark: SparkSession, paths: str | list[str], recursive: bool = False) -> DataFrame:
@@ -30,7 +32,8 @@ def number_lines(lines: DataFrame) -> DataFrame:
     """Number the lines of a text scan (``source_path``, ``block_start``, ``line``) without sorting any file.
 
     Each split counts its lines; the counts of the splits before give a split its first number. The table of
-    splits has one row per block of a file. ``lines`` must be in the order and partitions of the scan.
+    splits has one row per block of a file and goes to all tasks if it is small, so that no line is shuffled. ``lines``
+    must be in the order and partitions of the scan.
     """
     tagged = lines.withColumn("_row", F.monotonically_increasing_id())
     before = W.partitionBy("source_path").orderBy("block_start").rowsBetween(W.unboundedPreceding, -1)
@@ -39,6 +42,9 @@ def number_lines(lines: DataFrame) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("_lines"), F.min("_row").alias("_first"))
         .withColumn("_before", F.coalesce(F.sum("_lines").over(before), F.lit(0)))
     )
+    if not lines.isStreaming:
+        blocks = materialize(blocks)
+        blocks = F.broadcast(blocks) if small_table(blocks) else blocks
     number = F.col("_before") + F.col("_row") - F.col("_first") + 1
     return tagged.join(blocks, ["source_path", "block_start"]).select(
         "source_path", number.alias("line_number"), "line"

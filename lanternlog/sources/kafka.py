@@ -15,6 +15,8 @@ TEXT_KEYS = ("message", "log")
 APPLICATION_KEYS = ("application", "app")
 ENVIRONMENT_KEYS = ("environment", "env")
 SOURCE_KEYS = ("source_name", "tag")
+# Times in messages keep their microseconds.
+TIME_FORMAT = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
 
 
 def read_topic(spark: SparkSession, servers: str, topic: str, streaming: bool = True, **options: str) -> DataFrame:
@@ -44,7 +46,8 @@ def decode_raw(records: DataFrame, environment: str, topic: str = "raw_logs", ke
     """Values of the raw topic to lines with their origin.
 
     A JSON object gives its ``message`` or ``log``; anything else is the line itself. With ``keep_json`` the
-    object stays the line, so that its time, level and attributes are parsed too.
+    object stays the line, so that its time, level and attributes are parsed too. Each message is a record by itself.
+    Without partition and offset the message's digest tells lines apart, so equal messages count as one.
     """
     text = F.make_valid_utf8(F.col("value").cast("string"))
     braces = text.startswith("{") & text.endswith("}")
@@ -64,6 +67,12 @@ def decode_raw(records: DataFrame, environment: str, topic: str = "raw_logs", ke
         # The place in the topic tells equal lines apart.
         place = F.concat_ws("/", "source_path", F.col("partition").cast("string"))
         named = named.withColumn("source_path", place).withColumn("line_number", F.col("offset"))
+    elif "line_number" not in records.columns:
+        place = F.concat_ws("/", "source_path", F.sha2(F.col("_text"), 256))
+        named = named.withColumn("source_path", place).withColumn("line_number", F.lit(1).cast("bigint"))
+    if "ingest_ts" not in records.columns and "timestamp" in records.columns:
+        named = named.withColumn("ingest_ts", F.col("timestamp").cast("timestamp"))
+    named = named.withColumn("whole", F.lit(True))
     return named.withColumn("source_id", F.concat_ws("-", F.lit("ingest"), "application", "environment")).drop(
         "_text", "_map", "value"
     )
@@ -94,7 +103,7 @@ def decode_anomalies(records: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _message(df: DataFrame, key: Column, schema: T.StructType) -> DataFrame:
-    return df.select(key.alias("key"), F.to_json(F.struct(*schema.fieldNames())).alias("value"))
+    return df.select(key.alias("key"), F.to_json(F.struct(*schema.fieldNames()), TIME_FORMAT).alias("value"))
 
 
 def encode_observations(observations: DataFrame) -> DataFrame:

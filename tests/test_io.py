@@ -144,3 +144,34 @@ def test_file_stream(spark, tmp_path):
     assert len(rows) == 6 and len({r.id for r in rows}) == 6 and {r.batch for r in rows} == {0, 1}
     assert sorted((r.line_number, r.level) for r in rows if r.source_path.endswith("a.log")) == [(1, "ERROR"), (4, "INFO"), (5, "INFO")]
     assert all("@" not in r.sanitized_message for r in rows)
+
+
+def _observed(lines):
+    from lanternlog.plans import jobs
+
+    return jobs.lines_to_observations(lines).collect()
+
+
+def test_network_input_becomes_observations(spark):
+    """Bodies, messages and payloads are never joined with each other, and every entry is an event of its own."""
+    entries = ["ERROR first", "INFO second", "  at x", "plain"]
+    bodies = [(i, json.dumps({"application": "a", "environment": "e", "logs": entries})) for i in range(3)]
+    lines, _ = envelopes.normalize_envelopes(spark.createDataFrame(bodies, "body_id int, body string"), ingest_ts="2024-01-01 00:00:00")
+    rows = _observed(lines)
+    assert len(rows) == 12 == len({r.id for r in rows})
+    unnamed, _ = envelopes.normalize_envelopes(spark.createDataFrame([(json.dumps([f"b{i} one", "two"]),) for i in range(3)], "body string"))
+    rows = _observed(unnamed)
+    assert len(rows) == 6 == len({r.id for r in rows})
+
+    events = [{"id": str(i), "timestamp": 1_700_000_000_000 + i, "message": m} for i, m in enumerate(entries)]
+    packed = [base64.b64encode(gzip.compress(json.dumps({"logGroup": "/g", "logStream": f"s{n}", "logEvents": events}).encode())).decode() for n in range(2)]
+    lines, bad = cloudwatch.decode_cloudwatch(spark.createDataFrame([(p,) for p in packed], "data string"))
+    rows = _observed(lines)
+    assert len(rows) == 8 == len({r.id for r in rows}) and bad.count() == 0
+
+    values = [(f"line {i}".encode(), 0, i) for i in range(5)] + [(b"  at frame", 0, 5)]
+    topic = spark.createDataFrame(values, "value binary, partition int, offset long").withColumn("timestamp", F.lit("2024-01-01").cast("timestamp"))
+    rows = _observed(kafka.decode_raw(topic, "prod"))
+    assert len(rows) == 6 == len({r.id for r in rows})
+    rows = _observed(kafka.decode_raw(topic.drop("partition", "offset"), "prod"))
+    assert len(rows) == 6 == len({r.id for r in rows})

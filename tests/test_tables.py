@@ -146,8 +146,10 @@ def test_clustering(spark):
     assert whole["user alice logged in"] == whole["user bob logged in"] == "user <*> logged in"
     assert whole["disk full on node"] == "disk full on node" and whole["a b"] == whole["a c"] == "a <*>"
     many = [("app", "prod", f"job w{i} ended well", START + timedelta(seconds=i)) for i in range(60)]
-    parted = clustering.cluster_signatures(spark.createDataFrame(many, signatures.schema), group_limit=7).collect()
-    assert {r.mined_text for r in parted} == {"job <*> ended well"} and len(parted) == 60
+    many += [("app", "prod", f"step {i % 9}x of w{i}", START + timedelta(seconds=i)) for i in range(90)]
+    df = spark.createDataFrame(many, signatures.schema)
+    found = [sorted(map(tuple, clustering.cluster_signatures(df.repartition(n)).collect())) for n in (1, 7)]
+    assert found[0] == found[1] and len(found[0]) == 150 and {r[3] for r in found[0]} == {"job <*> ended well", "step <*> of <*>"}
 
 
 def test_merge_is_additive_and_keeps_the_founder(spark):

@@ -167,8 +167,18 @@ def test_multiline_in_chunks(spark):
     for chunk in (3, 10, 1000):
         got = records.assemble_multiline(df, chunk_lines=chunk).collect()
         assert {(r.line_number, r.record) for r in got} == want
-    parts = records.assemble_multiline(df, chunk_lines=10, max_record_lines=2).collect()
-    assert sum(r.line_count for r in parts) == len(lines) and max(r.line_count for r in parts) == 2
+
+
+def test_a_record_of_any_length_is_one_event(spark):
+    lines = spark.range(2, 150_001).select(F.col("id").alias("line_number"), F.concat(F.lit("  at frame "), F.col("id").cast("string")).alias("line"))
+    head = spark.createDataFrame([(1, "2024-01-01 00:00:09 ERROR broken")], "line_number long, line string")
+    df = head.unionByName(lines).select(
+        F.lit("s").alias("source_id"), F.lit("f").alias("source_path"), "line_number", "line",
+        (F.lit("2024-02-01").cast("timestamp") + F.make_interval(secs=F.col("line_number"))).alias("ingest_ts"),
+    )
+    (row,) = records.parse_records(records.assemble_multiline(df)).collect()
+    assert row.line_count == 150_000 and row.level == "ERROR" and row.line_number == 1
+    assert str(row.event_ts) == "2024-01-01 00:00:09" and str(row.ingest_ts) == "2024-02-01 00:00:01"
 
 
 def test_multiline_patterns(spark):
