@@ -18,11 +18,12 @@ from lanternlog.llm.known import Known, Runs, cut_at_white, text_bytes
 
 #: Buckets of hashed n-grams, and about how many labelled texts of each kind are learned from.
 BUCKETS, SAMPLE = 1 << 15, 20_000
+TWICE = np.uint64(1)  # stands for a word that follows itself
 TOKENS = regex.compile(r"\w+|[^\w\s]+")
 
 
 class Features(Known):
-    """Texts as buckets of their words and pairs of neighbouring words."""
+    """Texts as buckets of their words and pairs of neighbouring words; all pairs of a word with itself share a bucket."""
 
     def __init__(self) -> None:
         self.forget()
@@ -46,6 +47,7 @@ class Features(Known):
         text = np.repeat(np.arange(len(counts)), np.diff(begins))
         inner = np.flatnonzero(text[1:] == text[:-1])
         pairs = words[inner] * np.uint64(0x9E3779B97F4A7C15) + words[inner + 1]
+        pairs[words[inner] == words[inner + 1]] = TWICE
         every = np.concatenate([words, pairs]) * np.uint64(0xD6E8FEB86659FD93)
         order = np.argsort(np.concatenate([text, text[inner]]), kind="stable")
         sizes = np.diff(begins)

@@ -71,7 +71,7 @@ def test_language_odd_rows(spark, documents):
 def brute_buckets(text):
     words = [zlib.crc32(t.encode()) for t in quality.TOKENS.findall(text.lower())]
     mask = (1 << 64) - 1
-    pairs = [(a * 0x9E3779B97F4A7C15 + b) & mask for a, b in zip(words, words[1:], strict=False)]
+    pairs = [1 if a == b else (a * 0x9E3779B97F4A7C15 + b) & mask for a, b in zip(words, words[1:], strict=False)]
     return [((x * 0xD6E8FEB86659FD93) & mask) >> 49 for x in words + pairs]
 
 
