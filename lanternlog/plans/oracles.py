@@ -741,16 +741,36 @@ _ENTRY = """'{"log":"' || replace(line, '"', '\\"') || '"}'"""
 _BODIES = """numbered AS (SELECT *, line_number // 10 AS body_id, row_number() OVER (PARTITION BY line_number // 10 ORDER BY line_number) AS idx,
   first_value(application) OVER (PARTITION BY line_number // 10 ORDER BY line_number) AS app,
   first_value(environment) OVER (PARTITION BY line_number // 10 ORDER BY line_number) AS env FROM lines)"""
-_add(
-    "normalize_envelopes", _LINES, _BODIES,
-    f"""shipped AS (
+_SHIPPED = f"""shipped AS (
       SELECT body_id, idx AS line_number, app AS application, env AS environment, 'http-ingest' AS source_name, line FROM numbered WHERE body_id % 6 = 0
       UNION ALL SELECT body_id, idx, 'fluent-bit', 'production', 'http-ingest', {_ENTRY} FROM numbered WHERE body_id % 6 = 2
       UNION ALL SELECT body_id, 1, app, env, 'http-ingest', '{{"application":"' || app || '","environment":"' || env || '","log":"single ' || body_id || '"}}'
         FROM numbered WHERE body_id % 6 = 3 AND idx = 1
-      UNION ALL SELECT body_id, idx + 2, 'default-app', 'production', 'http-ingest', line FROM numbered WHERE body_id % 6 = 4)""",
+      UNION ALL SELECT body_id, idx + 2, 'default-app', 'production', 'http-ingest', line FROM numbered WHERE body_id % 6 = 4)"""
+_add(
+    "normalize_envelopes", _LINES, _BODIES, _SHIPPED,
     select="SELECT *, 'ingest-' || application || '-' || environment AS source_id FROM shipped",
 )
+_add(
+    "envelope_observations", _LINES, _BODIES, _SHIPPED,
+    select="""SELECT 'http://api/logs/ingest/' || body_id AS source_path, 'ingest-' || application || '-' || environment AS source_id,
+      count(*) AS events, count(DISTINCT line_number) AS ids, max(line_number) AS last_line FROM shipped GROUP BY ALL""",
+)
+_add(
+    "kafka_observations", _LINES,
+    select="""SELECT 'kafka://raw_logs/' || (line_number % 4) AS source_path,
+      'ingest-' || CASE WHEN line LIKE '{%}' THEN coalesce(json_extract_string(line, '$.application'), json_extract_string(line, '$.app'), 'kafka-raw')
+        ELSE 'kafka-raw' END || '-' ||
+      CASE WHEN line LIKE '{%}' THEN coalesce(json_extract_string(line, '$.environment'), json_extract_string(line, '$.env'), 'production')
+        ELSE 'production' END AS source_id,
+      count(*) AS events, count(DISTINCT line_number) AS ids, max(line_number) AS last_line FROM lines GROUP BY ALL""",
+)
+_add(
+    "cloudwatch_observations", _LINES,
+    select="""SELECT 'cloudwatch:/aws/group-' || (line_number // 20 % 3) || '/stream-1/' || (line_number // 20) AS source_path,
+      'ingest-aws-group-' || (line_number // 20 % 3) || '-production' AS source_id, count(*) AS events,
+      count(DISTINCT line_number) AS ids, count(*) AS last_line FROM lines GROUP BY ALL""",
+)
 _add(
     "rejected_envelopes", _LINES, _BODIES,
     select="""SELECT DISTINCT body_id, CASE body_id % 6 WHEN 1 THEN 'application_and_environment_required' ELSE 'not_object_or_array' END AS reason

@@ -780,6 +780,31 @@ def normalize_envelopes(spark, sf):
     return lines.select("body_id", "line_number", "application", "environment", "source_name", "source_id", "line")
 
 
+def _per_path(lines: DataFrame) -> DataFrame:
+    """Raw lines taken all the way to observations, counted by where they came from."""
+    seen = jobs.lines_to_observations(lines)
+    return seen.groupBy("source_path", "source_id").agg(
+        F.count(F.lit(1)).alias("events"), F.count_distinct("id").alias("ids"), F.max("line_number").alias("last_line")
+    )
+
+
+@query
+def envelope_observations(spark, sf):
+    """Bodies of log shippers as observations: every entry is one, and none is joined across bodies."""
+    return _per_path(envelopes.normalize_envelopes(_bodies(spark, sf), ingest_ts="2024-01-31 00:00:00")[0])
+
+
+@query
+def kafka_observations(spark, sf):
+    """Messages of a raw topic of four partitions as observations."""
+    lines = views.event_lines(spark, sf)
+    topic = lines.select(
+        F.col("line").cast("binary").alias("value"), (F.col("line_number") % 4).alias("partition"),
+        F.col("line_number").alias("offset"), F.col("ingest_ts").alias("timestamp"),
+    )
+    return _per_path(kafka.decode_raw(topic, "production"))
+
+
 @query
 def rejected_envelopes(spark, sf):
     return envelopes.normalize_envelopes(_bodies(spark, sf))[1].select("body_id", "reason")
@@ -841,9 +866,8 @@ def container_lines(spark, sf):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-@query
-def decode_cloudwatch(spark, sf):
-    """Event lines packed as gzipped payloads of twenty, decoded again."""
+def _payloads(spark: SparkSession, sf: str) -> DataFrame:
+    """Event lines packed as gzipped payloads of twenty."""
     lines = views.event_lines(spark, sf)
     event = F.struct(
         F.col("line_number").cast("string").alias("id"), F.unix_millis("ingest_ts").alias("timestamp"), F.col("line").alias("message")
@@ -868,8 +892,19 @@ def decode_cloudwatch(spark, sf):
 
         return values.map(lambda v: gzip.compress(v.encode()))
 
-    payloads = text.select("payload_id", F.base64(pack("json")).alias("data"))
-    decoded, _ = cloudwatch.decode_cloudwatch(payloads)
+    return text.select("payload_id", F.base64(pack("json")).alias("data"))
+
+
+@query
+def cloudwatch_observations(spark, sf):
+    """Payloads of a cloud log service as observations."""
+    return _per_path(cloudwatch.decode_cloudwatch(_payloads(spark, sf), ingest_ts="2024-01-31 00:00:00")[0])
+
+
+@query
+def decode_cloudwatch(spark, sf):
+    """Event lines packed as gzipped payloads of twenty, decoded again."""
+    decoded, _ = cloudwatch.decode_cloudwatch(_payloads(spark, sf))
     return decoded.select("payload_id", "line_number", "application", "source_name", "source_id", "message", "timestamp_ms", "stream")
 
 

@@ -57,10 +57,11 @@ def ship_package(spark: SparkSession) -> None:
         for path in sorted(folder.rglob("*.py")):
             archive.write(path, str(path.relative_to(folder.parent)))
     target = f"{shared_dir(spark)}/lanternlog-{uuid.uuid4().hex}.zip"
-    files, place = file_system(target)
-    files.create_dir(place.rpartition("/")[0], recursive=True)
-    with files.open_output_stream(place) as out:
-        out.write(content.getvalue())
+    # Through Spark's own file systems, so that any shared folder will do.
+    path = context._jvm.org.apache.hadoop.fs.Path(target)
+    out = path.getFileSystem(context._jsc.hadoopConfiguration()).create(path)
+    out.write(content.getvalue())
+    out.close()
     context.addPyFile(target)
     context._lanternlog_shipped = True
 
