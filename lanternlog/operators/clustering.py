@@ -31,17 +31,20 @@ def _cluster_leaves(similarity: float):
     """Function over batches sorted by leaf and first sight that adds to each pattern the template it ends in."""
     wildcard = WILDCARD
 
-    def cluster(patterns: list[str]) -> list[str]:
+    def cluster(leaf: pd.DataFrame) -> pd.DataFrame:
         import numpy as np
 
+        patterns, known = leaf["pattern"].tolist(), leaf["known"].tolist()
+        ids: list[str | None] = []
+
         codes = {wildcard: 0}
         clusters = np.zeros((64, sum(1 for w in patterns[0].split(" ") if w)), dtype=np.int32)
         used = 0
         member = []
-        for pattern in patterns:
+        for pattern, known_id in zip(patterns, known):
             row = np.array([codes.setdefault(w, len(codes)) for w in pattern.split(" ") if w], dtype=np.int32)
             chosen = -1
-            if used:
+            if used and known_id is None:
                 held = clusters[:used]
                 # Most equal words first, then most wildcards, then the older template.
                 equal = ((held == row) & (held != 0)).sum(axis=1)
@@ -52,6 +55,7 @@ def _cluster_leaves(similarity: float):
                 if used == len(clusters):
                     clusters = np.concatenate([clusters, np.zeros_like(clusters)])
                 clusters[used] = row
+                ids.append(known_id)
                 chosen = used
                 used += 1
             else:
@@ -59,7 +63,8 @@ def _cluster_leaves(similarity: float):
             member.append(chosen)
         names = {code: word for word, code in codes.items()}
         texts = [" ".join(names[code] for code in clusters[i]) for i in range(used)]
-        return [texts[i] for i in member]
+        merged = leaf.assign(merged=[texts[i] for i in member], template_id=[ids[i] for i in member])
+        return merged[leaf["known"].isna()].drop(columns="known")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import numpy as np
@@ -76,33 +81,47 @@ def _cluster_leaves(similarity: float):
             for low, high in zip(cuts[:-1], cuts[1:]):
                 if held and keys[low] != leaf:
                     whole = pd.concat(held) if len(held) > 1 else held[0]
-                    done.append(whole.assign(merged=cluster(whole["pattern"].tolist())))
+                    done.append(cluster(whole))
                     held = []
                 leaf = keys[low]
                 held.append(batch.iloc[low:high])
             if done:
                 yield pd.concat(done).drop(columns="leaf")
         if held:
-            whole = pd.concat(held)
-            yield whole.assign(merged=cluster(whole["pattern"].tolist())).drop(columns="leaf")
+            yield cluster(pd.concat(held)).drop(columns="leaf")
 
     return run
 
 
-def cluster_signatures(signatures: DataFrame, similarity: float = 0.5, depth: int = 4) -> DataFrame:
+def cluster_signatures(
+    signatures: DataFrame, similarity: float = 0.5, depth: int = 4, known: DataFrame | None = None
+) -> DataFrame:
     """Template of every distinct signature (``application``, ``environment``, ``template_text``, ``first_seen``).
 
+    The templates of earlier runs, ``known``, are clusters from the start: a signature that fits one gets its ``template_id``, also
+    where it widens the pattern. ``template_id`` is null for templates that are new.
+
     Leaves are independent, so they are spread over the tasks. ``depth`` routes signatures by their first ``depth - 3`` words at
     every size of the input: a larger one makes smaller leaves. The result does not depend on partitions or volume.
     """
-    leaves = _with_leaf(signatures.select(*_SCOPE, F.col("template_text").alias("pattern"), "first_seen"), depth)
+    patterns = signatures.select(
+        *_SCOPE, F.col("template_text").alias("pattern"), "first_seen", F.lit(None).cast("string").alias("known")
+    )
+    if known is not None:
+        patterns = patterns.unionByName(
+            known.select(*_SCOPE, F.col("template_pattern").alias("pattern"), "first_seen", F.col("id").alias("known"))
+        )
+    leaves = _with_leaf(patterns, depth)
     keyed = leaves.select(
-        F.concat_ws("\x1f", *[F.col(c).cast("string") for c in _LEAF]).alias("leaf"), *_SCOPE, "pattern", "first_seen"
+        F.concat_ws("\x1f", *[F.col(c).cast("string") for c in _LEAF]).alias("leaf"), *_SCOPE, "pattern", "first_seen", "known"
+    )
+    order = [F.col("leaf"), F.col("known").isNull(), F.col("first_seen"), F.col("pattern"), F.col("known")]
+    sorted_leaves = keyed.repartition("leaf").sortWithinPartitions(*order)
+    schema = (
+        "application string, environment string, pattern string, first_seen timestamp, merged string, template_id string"
     )
-    sorted_leaves = keyed.repartition("leaf").sortWithinPartitions("leaf", "first_seen", "pattern")
-    schema = "application string, environment string, pattern string, first_seen timestamp, merged string"
     merged = materialize(sorted_leaves.mapInPandas(_cluster_leaves(similarity), schema))
-    return merged.select(*_SCOPE, F.col("pattern").alias("template_text"), F.col("merged").alias("mined_text"))
+    return merged.select(*_SCOPE, F.col("pattern").alias("template_text"), F.col("merged").alias("mined_text"), "template_id")
 
 
 def mine_templates(
@@ -110,9 +129,12 @@ def mine_templates(
     message: str = "sanitized_message",
     similarity: float = 0.5,
     depth: int = 4,
+    known: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``template_text`` and ``template_id`` by clustering the masked first lines.
 
+    Pass the dictionary of earlier runs (template contract) as ``known``, so that templates keep their ids.
+
     Rows are first reduced to distinct signatures; only those are clustered, and the result is joined back.
     The masked rows are read twice and stored in between.
     """
@@ -121,12 +143,21 @@ def mine_templates(
     signatures = materialize(
         masked.groupBy(*key).agg(F.min("event_ts").alias("first_seen"), F.count(F.lit(1)).alias("_rows"))
     )
-    mapping = cluster_signatures(signatures, similarity, depth)
+    mapping = cluster_signatures(signatures, similarity, depth, known).withColumnRenamed("template_id", "_known_id")
     mined = lookup_join(
         masked, mapping.join(signatures.select(*key, "_rows"), key), key, "_rows", ["source_path", "line_number"]
     )
+    own = template_id(F.col("template_text"), F.col("application"), F.col("environment"))
     return (
         mined.drop("template_text")
         .withColumnRenamed("mined_text", "template_text")
-        .withColumn("template_id", template_id(F.col("template_text"), F.col("application"), F.col("environment")))
+        .withColumn("template_id", F.coalesce("_known_id", own))
+        .drop("_known_id")
     )
+
+
+def widened_templates(mined: DataFrame, known: DataFrame) -> DataFrame:
+    """Alias rows: known templates whose pattern a run has widened, with the old and the new pattern."""
+    now = mined.groupBy(F.col("template_id").alias("id")).agg(F.min("template_text").alias("template_pattern"))
+    before = known.select("id", F.col("template_pattern").alias("earlier_pattern"))
+    return before.join(now, "id").where(F.col("earlier_pattern") != F.col("template_pattern"))

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lanternlog.functions.ids import row_id
@@ -31,6 +32,8 @@ DETECTOR_VERSION = "v1"
 # Fixed value: score of a jump over a history without any spread.
 FLAT_HISTORY_SCORE = 4.0
 EVIDENCE_SAMPLES = 3
+# Up to this many anomalies are numbered by one task, more by slots of their hash; the numbers are the same.
+ONE_TASK_ROWS = 100_000
 
 
 def zscore(count: Column, mean: Column, std: Column) -> Column:
@@ -89,8 +92,12 @@ def incident_number(anomalies: DataFrame, start_at: int = 1) -> DataFrame:
     Pass the next free number as ``start_at`` when earlier incidents exist.
     """
     # The ranking reads the anomalies twice.
-    hashed = materialize(anomalies).withColumn("_hash", F.sha2("id", 256)).withColumn("_all", F.lit(1))
-    ranked = exact_rank(hashed, ["_all"], ["_hash"], slot=F.substring("_hash", 1, 4), rank="_number")
+    kept = materialize(anomalies)
+    hashed = kept.withColumn("_hash", F.sha2("id", 256)).withColumn("_all", F.lit(1))
+    if kept.count() <= ONE_TASK_ROWS:
+        ranked = hashed.withColumn("_number", F.row_number().over(W.partitionBy("_all").orderBy("_hash")))
+    else:
+        ranked = exact_rank(hashed, ["_all"], ["_hash"], slot=F.substring("_hash", 1, 4), rank="_number")
     number = F.format_string("INC%07d", F.col("_number") + (start_at - 1))
     return ranked.withColumn("incident_number", number).drop("_hash", "_all", "_number")
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lanternlog.functions.binding import bind
 from lanternlog.functions.ids import row_id
 from lanternlog.functions.vectors import DIMENSIONS, cosine_similarity, norm, token_bucket
 from lanternlog.operators.ranking import top_rows
@@ -29,27 +30,22 @@ REMEMBERED_ACTIONS = ("resolved", "resolve", "dismiss")
 def embed_text(
     texts: DataFrame, keys: Sequence[str], text: str, dimensions: int = DIMENSIONS, target: str = "embedding"
 ) -> DataFrame:
-    """Unit vector of hashed token counts per key. A text without tokens gets the zero vector.
+    """Unit vector of hashed token counts of each row. A text without tokens gets the zero vector.
 
-    Tokens are counted per key and dimension before the shuffle, so a long text sends at most one row per
-    dimension.
+    A narrow expression: no row is shuffled, and a long text is read once and then stands for its token numbers only.
     """
-    tokens = F.filter(F.split(F.lower(F.col(text)), r"\s+"), lambda token: token != "")
-    counted = (
-        texts.select(*keys, F.explode_outer(tokens).alias("_token"))
-        .groupBy(*keys, token_bucket(F.col("_token"), dimensions).alias("_bucket"))
-        .agg(F.count("_token").alias("_n"))
-    )
-    filled = F.when(F.col("_bucket").isNotNull(), F.struct("_bucket", F.col("_n").cast("double")))
-    gathered = counted.groupBy(*keys).agg(
-        F.map_from_entries(F.collect_list(filled)).alias("_counts"),
-        F.sqrt(F.sum(F.col("_n") * F.col("_n")).cast("double")).alias("_norm"),
-    )
+    tokens = F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"\s+"), lambda token: token != "")
     places = F.sequence(F.lit(0), F.lit(dimensions - 1))
-    weight = lambda place: F.coalesce(
-        F.try_element_at("_counts", place) / F.when(F.col("_norm") > 0, F.col("_norm")), F.lit(0.0)
-    )
-    return gathered.select(*keys, F.transform(places, weight).cast("array<float>").alias(target))
+
+    def counts(buckets: Column) -> Column:
+        return F.transform(places, lambda place: (F.size(buckets) - F.size(F.array_remove(buckets, place))).cast("double"))
+
+    def unit(vector: Column) -> Column:
+        return bind(norm(vector), lambda length: F.transform(vector, lambda x: F.when(length > 0, x / length).otherwise(F.lit(0.0))))
+
+    hashed = F.transform(tokens, lambda token: token_bucket(token, dimensions))
+    vector = bind(bind(hashed, counts), unit)
+    return texts.select(*keys, vector.cast("array<float>").alias(target))
 
 
 def _partial_search(queries: pd.DataFrame, top_k: int, min_score: float, self_match: bool):
@@ -206,8 +202,7 @@ def search_similar_approx(
 def _records(rows: DataFrame, created: Column) -> DataFrame:
     """Rows with anomaly, template and text to rows of the embedding contract."""
     named = rows.withColumn("id", row_id(F.col("anomaly_id"), F.col("text_content"))).withColumn("created_at", created)
-    vectors = embed_text(named.dropDuplicates(["id"]), ["id"], "text_content")
-    return conform(named.join(vectors, "id"), EMBEDDINGS)
+    return conform(embed_text(named, named.columns, "text_content"), EMBEDDINGS)
 
 
 def index_records(anomalies: DataFrame, analyses: DataFrame) -> DataFrame:

@@ -12,12 +12,12 @@ from lanternlog.operators import buckets as bk
 from lanternlog.operators import clustering, detection, records, sanitize, templates, triage
 from lanternlog.operators.templates import extract_parameters
 from lanternlog.schemas import OBSERVATIONS, conform
-from lanternlog.session import materialize
+from lanternlog.session import materialize, stored
 
 
 @dataclass(frozen=True)
 class PipelineTables:
-    """Results of a run, all lazy."""
+    """Results of a run."""
 
     observations: DataFrame
     templates: DataFrame
@@ -28,9 +28,17 @@ class PipelineTables:
 
 
 def lines_to_events(lines: DataFrame, multiline: bool = True, log_format: str | None = None) -> DataFrame:
-    """Raw lines to parsed events. Only the assembly of multiline records shuffles."""
+    """Raw lines to parsed events. Only the assembly of multiline records shuffles.
+
+    Lines that carry the settings of their source (``multiline_pattern``, ``multiline_negate``, ``format``) are read by them.
+    """
     full = records.drop_blank_lines(lines)
-    if multiline:
+    if log_format is None and "format" in lines.columns:
+        log_format = "format"
+    if multiline and "multiline_pattern" in lines.columns:
+        negate = F.col("multiline_negate") if "multiline_negate" in lines.columns else True
+        assembled = records.assemble_multiline(full, pattern=F.col("multiline_pattern"), negate=negate)
+    elif multiline:
         assembled = records.assemble_multiline(full)
     else:
         assembled = full.withColumn("record", F.col("line")).withColumn("record_part", F.lit(0))
@@ -38,13 +46,20 @@ def lines_to_events(lines: DataFrame, multiline: bool = True, log_format: str |
 
 
 def lines_to_observations(
-    lines: DataFrame, multiline: bool = True, mode: str = "masked", salt: str = DEFAULT_SALT
+    lines: DataFrame,
+    multiline: bool = True,
+    mode: str = "masked",
+    salt: str = DEFAULT_SALT,
+    known: DataFrame | None = None,
 ) -> DataFrame:
-    """Raw lines to observations, templates by mask (``masked``) or by clustering (``drain``)."""
+    """Raw lines to observations, templates by mask (``masked``) or by clustering (``drain``).
+
+    Clustering goes on from the templates ``known`` from earlier runs.
+    """
     sanitized = sanitize.sanitize_events(lines_to_events(lines, multiline), salt)
     if mode == "masked":
         return templates.build_observations(sanitized)
-    mined = clustering.mine_templates(sanitized)
+    mined = clustering.mine_templates(sanitized, known=known)
     rows = mined.withColumn(
         "parameters", extract_parameters(F.col("template_text"), F.col("sanitized_message"))
     ).withColumn(
@@ -60,10 +75,16 @@ def run_pipeline(
     multiline: bool = True,
     mode: str = "masked",
 ) -> PipelineTables:
-    """All tables that follow from raw lines. The observations are stored once, the other tables read them."""
-    observations = materialize(lines_to_observations(lines, multiline, mode))
+    """All tables that follow from raw lines.
+
+    The observations are stored once as Parquet, so that each of the other tables reads only the columns it needs; bucket
+    counts are made once.
+    """
+    dictionary = known if known is not None and "template_pattern" in known.columns else None
+    observations = stored(lines_to_observations(lines, multiline, mode, known=dictionary), "observations")
     samples = bk.samples(observations)
-    anomalies = detection.detect(observations, known, samples, limits)
+    counts = materialize(bk.bucket_counts(observations, limits.bucket_minutes))
+    anomalies = detection.detect(observations, known, samples, limits, buckets=counts)
     return PipelineTables(
         observations=observations,
         templates=templates.template_catalog(observations),

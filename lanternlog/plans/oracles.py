@@ -310,6 +310,25 @@ def _mined(name: str = "mined", source: str = "clean") -> str:
 
 
 _MINED = "SELECT source_path, line_number, template_text, template_id FROM mined"
+_SECRETS = """parsed AS (SELECT * EXCLUDE (line), line || ' ' || CASE line_number % 10
+    WHEN 0 THEN 'token eyJhbGciOiJIUzI1NiJ9.eyJ1aWQi' || user_id || '.c2lnbmF0dXJl'
+    WHEN 1 THEN 'Authorization: Bearer tok' || user_id || '.x'
+    WHEN 2 THEN 'api_key=k' || user_id
+    WHEN 3 THEN 'id 123e4567-e89b-12d3-a456-' || lpad(CAST(user_id AS VARCHAR), 12, '0')
+    WHEN 4 THEN 'peer 2001:0db8:0000:0000:0000:ff00:0042:' || four
+    WHEN 5 THEN 'digest ' || md5(CAST(user_id AS VARCHAR))
+    WHEN 6 THEN 'GET https://example.com/path/' || user_id || '?q=1'
+    WHEN 7 THEN 'mac 00:1a:2b:3c:4d:' || right(four, 2)
+    WHEN 8 THEN 'open /var/log/app/' || user_id || '.log'
+    ELSE 'card 4111 1111 1111 ' || four END AS message
+  FROM (SELECT *, lpad(right(CAST(user_id AS VARCHAR), 4), 4, '0') AS four FROM lines WHERE line_number % 3 <> 0))"""
+_add("redact_secrets", _LINES, _SECRETS, _redacted("parsed", "message"), select=_CLEAN)
+_add("mask_secrets", _LINES, _SECRETS, _redacted("parsed", "message"), _mined(), select=_MINED)
+_add(
+    "mined_across_runs", *_CHAIN,
+    select=f"""SELECT application, environment, count(*) AS events, count(*) AS fitting, 0 AS misnamed FROM parsed
+      WHERE event_ts >= {SPLIT} GROUP BY ALL""",
+)
 _EVENT_MINED = (*_CHAIN, _redacted("parsed", "message"), _mined())
 _add("mask_events", *_EVENT_MINED, select=_MINED)
 _add("mask_documents", _DOCS, _redacted("doc_lines", "message"), _mined(), select=_MINED)
@@ -813,6 +832,15 @@ _FILES = """SELECT environment AS lang, count(*) AS lines, count(*) AS numbers,
 _add("read_log_files", _DOCS, select=_FILES)
 _add("read_compressed_logs", _DOCS, select=_FILES)
 
+_add(
+    "source_settings", _LINES,
+    select="""SELECT CASE line_number % 3 WHEN 0 THEN 'json' WHEN 1 THEN 'trace' ELSE 'dated' END AS source_id, 'app-' || source_id AS application,
+      CASE line_number % 3 WHEN 0 THEN line WHEN 1 THEN 'job ' || line_number || ' stopped' || chr(10) || '   at step(' || line_number || ')' || chr(10) || '   at main'
+        ELSE line || chr(10) || 'note of ' || line_number END AS record,
+      CASE line_number % 3 WHEN 1 THEN TIMESTAMP '2024-01-31' ELSE CAST(stamp AS TIMESTAMP) END AS event_ts,
+      CASE line_number % 3 WHEN 1 THEN 'UNKNOWN' ELSE level END AS level FROM (SELECT * EXCLUDE (source_id, application) FROM lines)""",
+)
+
 # --- streams -----------------------------------------------------------------------------------------------
 
 _add(
@@ -823,10 +851,12 @@ _add(
     _redacted("parsed", "message"), _mined(), _OBSERVED,
     select="SELECT id, template_id, sanitized_message, level, event_ts, client_id_hash FROM observed",
 )
+ORACLES["stream_duplicates"] = ORACLES["stream_observations"]
 _add(
     "stream_buckets", _obs(), _counts(minutes=60),
     select=f"SELECT template_id || ':' || {_ISO} AS id, template_id, bucket_start, bucket_end, count, error_count FROM counts",
 )
+ORACLES["stream_late"] = ORACLES["stream_buckets"]
 _add(
     "stream_anomalies", *_FOUND,
     select="SELECT id, anomaly_type, template_id, bucket_start, current_count, baseline_count, z_score FROM found",

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lanternlog.functions import redaction
+from lanternlog.functions import masks, redaction
 from lanternlog.operators import buckets as bk
 from lanternlog.operators import clustering, correlation, incidents, kpis, memory, merges, records, retention
 from lanternlog.operators import detection as dt
@@ -19,7 +19,7 @@ from lanternlog.operators import sanitize, templates, triage
 from lanternlog.plans import jobs, views
 from lanternlog.schemas import ANALYSES, FEEDBACK, OBSERVATIONS, conform
 from lanternlog.session import materialize, new_path
-from lanternlog.sources import cloudwatch, containers, envelopes, files, kafka
+from lanternlog.sources import catalog, cloudwatch, containers, envelopes, files, kafka
 from lanternlog.streaming import detection as stream_detection
 from lanternlog.streaming import observations as stream_obs
 from lanternlog.streaming import rollup as stream_rollup
@@ -277,6 +277,22 @@ def sanitize_attributes(spark, sf):
     return clean.select("source_path", "line_number", "client_id_hash", "metadata")
 
 
+def _secret_events(spark: SparkSession, sf: str) -> DataFrame:
+    named = views.secret_lines(spark, sf).withColumn("record", F.col("line")).withColumn("record_part", F.lit(0))
+    return sanitize.sanitize_events(records.fallback_event_time(records.parse_records(named)))
+
+
+@query
+def redact_secrets(spark, sf):
+    """Event lines with values of all kinds that rules remove."""
+    return _secret_events(spark, sf).select("source_path", "line_number", "sanitized_message", "redaction_types", "sample_hash")
+
+
+@query
+def mask_secrets(spark, sf):
+    return templates.mask_templates(_secret_events(spark, sf)).select("source_path", "line_number", "template_text", "template_id")
+
+
 # --- templates ---------------------------------------------------------------------------------------------
 
 
@@ -345,6 +361,35 @@ def mine_documents_drain(spark, sf):
     return mined.groupBy("application", "environment", "template_id", "template_text").agg(F.count(F.lit(1)).alias("rows"))
 
 
+@query
+def mined_across_runs(spark, sf):
+    """Templates of the newer events, mined on top of the dictionary of the older ones.
+
+    Per scope: events, events whose masked line fits their template, and events with an id that earlier runs gave to a
+    template they do not fit.
+    """
+    clean = sanitize.sanitize_events(_events(spark, sf))
+    old = clustering.mine_templates(clean.where(F.col("event_ts") < SPLIT))
+    known = materialize(
+        old.groupBy(F.col("template_id").alias("id"), "application", "environment").agg(
+            F.min("template_text").alias("template_pattern"), F.min("event_ts").alias("first_seen")
+        )
+    )
+    new = clustering.mine_templates(clean.where(F.col("event_ts") >= SPLIT), known=known)
+    words = lambda c: F.filter(F.split(c, " +"), lambda w: w != "")
+    fits = lambda text, pattern: (F.size(words(text)) == F.size(words(pattern))) & F.forall(
+        F.zip_with(words(text), words(pattern), lambda a, b: (b == clustering.WILDCARD) | (a == b)), lambda same: same
+    )
+    masked = masks.with_masks(new, "sanitized_message", "masked").join(
+        F.broadcast(known.select(F.col("id").alias("template_id"), F.col("template_pattern").alias("earlier"))), "template_id", "left"
+    )
+    return masked.groupBy("application", "environment").agg(
+        F.count(F.lit(1)).alias("events"),
+        F.count_if(fits(F.col("masked"), F.col("template_text"))).alias("fitting"),
+        F.count_if(~fits(F.col("earlier"), F.col("template_text"))).alias("misnamed"),
+    )
+
+
 # --- detection ---------------------------------------------------------------------------------------------
 
 
@@ -940,6 +985,28 @@ def read_compressed_logs(spark, sf):
     return _numbered(spark, _written_lines(spark, sf, "gzip"))
 
 
+@query
+def source_settings(spark, sf):
+    """Files of three sources, read at once and cut into events by each source's own rule."""
+    path = new_path(spark, "sources")
+    written = views.configured_lines(spark, sf).select("source", F.col("record").alias("value"))
+    written.write.partitionBy("source").text(path)
+    rules = {
+        "dated": {"multiline": {"pattern": r"^\d{4}-"}},
+        "json": {"format": "json"},
+        "trace": {"multiline": {"continuation": "java"}},
+    }
+    sources = catalog.load_sources(
+        spark,
+        [
+            {"id": name, "application": f"app-{name}", "environment": "production", "path": f"{path}/source={name}/*.txt", **rule}
+            for name, rule in rules.items()
+        ],
+    )
+    events = jobs.lines_to_events(files.read_source_lines(spark, sources, "2024-01-31 00:00:00"))
+    return events.select("source_id", "application", "record", "event_ts", "level")
+
+
 # --- streams -----------------------------------------------------------------------------------------------
 
 
@@ -955,8 +1022,8 @@ def _state_partitions(spark: SparkSession):
         spark.conf.set(name, before)
 
 
-def _event_stream(spark: SparkSession, sf: str, scoped: bool = True) -> DataFrame:
-    """The events as a stream of files, one per five days, in order of time."""
+def _event_stream(spark: SparkSession, sf: str, scoped: bool = True, late: bool = False) -> DataFrame:
+    """The events as a stream of files, one per five days, in order of time; ``late`` sends the first ones again at the end."""
     path = new_path(spark, "events")
     seen = views.event_observations(spark, sf, scoped)
     parts = seen.withColumn("_span", F.floor(F.datediff("event_ts", F.lit("2024-01-01")) / 5))
@@ -965,14 +1032,28 @@ def _event_stream(spark: SparkSession, sf: str, scoped: bool = True) -> DataFram
     for span in spans:
         # Separate writes, so that the file source sees the spans in order of time.
         parts.where(F.col("_span") == span).drop("_span").coalesce(1).write.mode("append").parquet(path)
+    if late:
+        parts.where(F.col("_span") == spans[0]).drop("_span").coalesce(1).write.mode("append").parquet(path)
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
 @query
 def stream_observations(spark, sf):
+    return _streamed_observations(spark, sf)
+
+
+@query
+def stream_duplicates(spark, sf):
+    """Every fifth line is delivered once more, in a later file; each observation is written once."""
+    return _streamed_observations(spark, sf, repeated=True)
+
+
+def _streamed_observations(spark: SparkSession, sf: str, repeated: bool = False) -> DataFrame:
     path, out = new_path(spark, "lines"), new_path(spark, "observations")
     lines = views.event_lines(spark, sf)
     lines.write.parquet(path)
+    if repeated:
+        lines.where(F.col("line_number") % 5 == 0).write.mode("append").parquet(path)
     stream = stream_obs.stream_observations(spark.readStream.schema(lines.schema).parquet(path))
     unique = stream_obs.deduplicate(stream)
     with _state_partitions(spark):
@@ -986,8 +1067,18 @@ def stream_observations(spark, sf):
 
 @query
 def stream_buckets(spark, sf):
+    return _streamed_buckets(spark, sf)
+
+
+@query
+def stream_late(spark, sf):
+    """The first days are delivered once more after the last one: too late to be counted."""
+    return _streamed_buckets(spark, sf, late=True)
+
+
+def _streamed_buckets(spark: SparkSession, sf: str, late: bool = False) -> DataFrame:
     out = new_path(spark, "buckets")
-    totals = stream_rollup.stream_buckets(_event_stream(spark, sf), 60)
+    totals = stream_rollup.stream_buckets(_event_stream(spark, sf, late=late), 60)
     with _state_partitions(spark):
         run = stream_rollup.start_rollup(totals, out, new_path(spark, "checkpoint"), available_now=True)
         run.awaitTermination()

@@ -125,3 +125,38 @@ def multiline_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = F.explode(F.when(failed, trace).otherwise(F.slice(trace, 1, 1))).alias("piece")
     rest = [c for c in lines.columns if c not in ("line", "line_number")]
     return lines.select(*rest, pieces).select(*rest, "piece.line_number", "piece.line")
+
+
+def secret_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text lines of ``event_lines``, each followed by a value that must be redacted or masked, one of ten kinds."""
+    user = F.regexp_extract("line", "user_id=([0-9]+) ", 1)
+    four = F.lpad(F.right(user, F.lit(4)), 4, "0")
+    values = [
+        F.concat(F.lit("token eyJhbGciOiJIUzI1NiJ9.eyJ1aWQi"), user, F.lit(".c2lnbmF0dXJl")),
+        F.concat(F.lit("Authorization: Bearer tok"), user, F.lit(".x")),
+        F.concat(F.lit("api_key=k"), user),
+        F.concat(F.lit("id 123e4567-e89b-12d3-a456-"), F.lpad(user, 12, "0")),
+        F.concat(F.lit("peer 2001:0db8:0000:0000:0000:ff00:0042:"), four),
+        F.concat(F.lit("digest "), F.md5(user)),
+        F.concat(F.lit("GET https://example.com/path/"), user, F.lit("?q=1")),
+        F.concat(F.lit("mac 00:1a:2b:3c:4d:"), F.right(four, F.lit(2))),
+        F.concat(F.lit("open /var/log/app/"), user, F.lit(".log")),
+        F.concat(F.lit("card 4111 1111 1111 "), four),
+    ]
+    lines = event_lines(spark, sf_dir).where(F.col("line_number") % 3 != 0)
+    kind = (F.col("line_number") % len(values)).cast("int")
+    return lines.withColumn("line", F.concat("line", F.lit(" "), F.element_at(F.array(*values), kind + 1)))
+
+
+def configured_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``events`` as records of three sources with rules of their own, continuation lines included: ``source``, ``record``."""
+    number = F.col("line_number").cast("string")
+    note = F.concat(F.lit("\nnote of "), number)
+    trace = F.concat(F.lit("job "), number, F.lit(" stopped\n   at step("), number, F.lit(")\n   at main"))
+    json = F.col("line_number") % 3 == 0
+    traced = F.col("line_number") % 3 == 1
+    return event_lines(spark, sf_dir).select(
+        "line_number",
+        F.when(json, "json").when(traced, "trace").otherwise("dated").alias("source"),
+        F.when(json, F.col("line")).when(traced, trace).otherwise(F.concat("line", note)).alias("record"),
+    )

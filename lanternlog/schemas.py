@@ -51,6 +51,15 @@ RAW_LINES = _schema(
     "source_id string, application string, environment string, source_name string, source_path string,"
     "line_number bigint, line string, ingest_ts timestamp"
 )
+# Raw lines with the settings of their source.
+SETTLED_LINES = T.StructType(
+    [*RAW_LINES.fields, *_schema("format string, multiline_pattern string, multiline_negate boolean").fields]
+)
+# The place of a source's files (the folder before any wildcard, and the whole as a pattern) and what its lines get.
+SOURCE_FILES = _schema(
+    "_root string, _pattern string, source_id string, application string, environment string, source_name string,"
+    "format string, multiline_pattern string, multiline_negate boolean"
+)
 OBSERVATIONS = _schema(
     "id string, source_id string, application string, environment string, template_id string,"
     "template_text string, sanitized_message string, level string, event_ts timestamp, ingest_ts timestamp,"

@@ -6,19 +6,28 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lanternlog.functions.parsing import CONTINUATION_PRESETS, START_PRESETS
 from lanternlog.schemas import SOURCES
 
 
 def normalize_source(definition: dict[str, Any]) -> dict[str, Any]:
-    """One definition with defaults filled and the nested ``multiline`` block flattened."""
+    """One definition with defaults filled and the nested ``multiline`` block flattened.
+
+    A block names its own ``pattern``, or by ``start`` or ``continuation`` a runtime whose records start, or go on, in a known way.
+    """
     row = dict(definition)
     for name in ("id", "application", "environment", "path"):
         if not str(row.get(name) or "").strip():
             raise ValueError(f"source {row.get('id')!r} has no {name}")
     block = row.pop("multiline", None)
     if isinstance(block, dict):
-        row.setdefault("multiline_pattern", block.get("pattern"))
-        row.setdefault("multiline_negate", block.get("negate", True))
+        pattern, negate = block.get("pattern"), block.get("negate", True)
+        if block.get("start"):
+            pattern, negate = START_PRESETS[block["start"]], True
+        elif block.get("continuation"):
+            pattern, negate = CONTINUATION_PRESETS[block["continuation"]], False
+        row.setdefault("multiline_pattern", pattern)
+        row.setdefault("multiline_negate", negate)
     defaults = {"format": "auto", "multiline_negate": True, "enabled": True}
     return {name: row.get(name, defaults.get(name)) for name in SOURCES.fieldNames()}
 

@@ -13,6 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from lanternlog.operators import buckets as bk
 from lanternlog.operators import detection as dt
+from lanternlog.operators.ranking import lookup_join
 from lanternlog.schemas import ANOMALIES, conform
 from lanternlog.session import materialize
 from lanternlog.sources.tables import read_table
@@ -32,10 +33,18 @@ def _write(df: DataFrame, path: str, batch_id: int) -> None:
     df.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
 
+def _next_number(spark: SparkSession, folder: str, new_before: int, spikes_before: int) -> int:
+    """Number after those of the incidents that the detectors reported before the given micro-batches."""
+    new = _before(spark, f"{folder}/new_templates", new_before, "id string").count()
+    return 1 + new + _before(spark, f"{folder}/anomalies", spikes_before, "id string").count()
+
+
 def new_template_batch(batch: DataFrame, batch_id: int, folder: str, limits: dt.Thresholds = dt.Thresholds()) -> None:
     """Report templates that no earlier batch has seen, then remember them."""
     known = _before(batch.sparkSession, f"{folder}/templates", batch_id, "id string")
-    found = materialize(conform(dt.detect_new_templates(batch, known, limits), ANOMALIES))
+    first = dt.detect_new_templates(batch, known, limits)
+    start_at = _next_number(batch.sparkSession, folder, batch_id, batch_id)
+    found = materialize(conform(dt.incident_number(first, start_at), ANOMALIES))
     _write(found, f"{folder}/new_templates", batch_id)
     _write(found.select(F.col("template_id").alias("id")), f"{folder}/templates", batch_id)
 
@@ -60,14 +69,20 @@ def spike_batch(batch: DataFrame, batch_id: int, folder: str, limits: dt.Thresho
         )
         crossed = dt.spike_buckets(total, limits).where(F.col("trigger_count") > F.col("before"))
         wanted = crossed.select(
-            "template_id", "bucket_start", "baseline_mean", "baseline_std", "before", "trigger_count"
+            "template_id", "bucket_start", "baseline_mean", "baseline_std", "before", "trigger_count",
+            (F.col("count") - F.col("before")).alias("_n"),
         )
-        inside = bk.with_bucket(batch, limits.bucket_minutes).join(wanted, ["template_id", "bucket_start"])
+        bucketed = bk.with_bucket(batch, limits.bucket_minutes)
+        inside = lookup_join(bucketed, wanted, ["template_id", "bucket_start"], "_n", ["source_path", "line_number"])
+        inside = materialize(inside)
         counted = bk.running_bucket_count(inside, limits.bucket_minutes)
         triggers = counted.where(F.col("before") + F.col("running_count") == F.col("trigger_count"))
-        found = dt.burst_records(triggers, None, False)
+        # Evidence comes from the newest rows of the spike buckets in this batch.
+        found = dt.burst_records(triggers, bk.samples(inside), False)
         reported = _before(spark, f"{folder}/anomalies", batch_id, "id string").select("id")
-        _write(found.join(reported, "id", "left_anti"), f"{folder}/anomalies", batch_id)
+        fresh = found.join(reported, "id", "left_anti")
+        start_at = _next_number(spark, folder, batch_id + 1, batch_id)
+        _write(conform(dt.incident_number(fresh, start_at), ANOMALIES), f"{folder}/anomalies", batch_id)
     finally:
         batch.unpersist()
 

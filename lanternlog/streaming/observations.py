@@ -32,10 +32,11 @@ def file_batch(
     batch: DataFrame, batch_id: int, source: dict[str, str], folder: str, salt: str = DEFAULT_SALT
 ) -> None:
     """Write the observations of the whole files in a micro-batch, multiline records included."""
-    named = number_lines(batch.select("source_path", "block_start", "line"))
+    changed = batch.groupBy("source_path").agg(F.max("modified").alias("ingest_ts"))
+    named = number_lines(batch.select("source_path", "block_start", "line")).join(changed, "source_path")
     for column in ("source_id", "application", "environment", "source_name"):
         named = named.withColumn(column, F.lit(source.get(column)).cast("string"))
-    lines = drop_blank_lines(named.withColumn("ingest_ts", F.current_timestamp()))
+    lines = drop_blank_lines(named)
     events = fallback_event_time(parse_records(assemble_multiline(lines)))
     rows = build_observations(sanitize_events(events, salt))
     rows.write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")

@@ -6,22 +6,42 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from lanternlog.operators import triage
+from lanternlog.operators import memory, triage
 from lanternlog.operators.detection import cap_batches
-from lanternlog.schemas import EMBEDDINGS
+from lanternlog.schemas import ANALYSES, EMBEDDINGS, conform
 from lanternlog.sources.tables import read_table
 
 
+def recalled(spark: SparkSession, folder: str, batch_id: int) -> DataFrame:
+    """Memory records of earlier micro-batches and of resolutions."""
+    verdicts = read_table(spark, f"{folder}/memory")
+    resolutions = conform(read_table(spark, f"{folder}/resolutions", EMBEDDINGS), EMBEDDINGS)
+    if verdicts is None:
+        return resolutions
+    return conform(verdicts.where(F.col("batch") < batch_id), EMBEDDINGS).unionByName(resolutions)
+
+
+def remember_resolutions(anomalies: DataFrame, feedback: DataFrame, folder: str, run: str) -> None:
+    """Let later batches recall how operators resolved incidents; a repeated ``run`` replaces its own records."""
+    memory.index_resolutions(anomalies, feedback).write.mode("overwrite").parquet(f"{folder}/resolutions/run={run}")
+
+
 def triage_batch(batch: DataFrame, batch_id: int, folder: str, size: int = 10, seconds: int = 60) -> None:
-    """Write the verdicts and statuses of one batch; a repeated batch replaces its own files."""
+    """Write the verdicts, statuses and memory records of one batch; a repeated batch replaces its own files.
+
+    Batches recall the verdicts of earlier ones, and all resolutions that were remembered.
+    """
     spark = batch.sparkSession
     capped = cap_batches(batch, size, seconds)
     accepted = capped.where("in_batch").select(*batch.columns)
     verdicts = triage.heuristic_triage(accepted)
-    memory = read_table(spark, f"{folder}/memory", EMBEDDINGS)
-    if memory.head(1):
-        verdicts = triage.apply_past_resolutions(verdicts, accepted, memory)
+    known = recalled(spark, folder, batch_id)
+    if known.head(1):
+        verdicts = triage.apply_past_resolutions(verdicts, accepted, known)
     verdicts.write.mode("overwrite").parquet(f"{folder}/analyses/batch={batch_id}")
+    written = spark.read.schema(ANALYSES).parquet(f"{folder}/analyses/batch={batch_id}")
+    learned = memory.index_records(accepted, written)
+    learned.write.mode("overwrite").parquet(f"{folder}/memory/batch={batch_id}")
     status = capped.select("id", F.when(F.col("in_batch"), "analyzed").otherwise("failed").alias("status"))
     status.write.mode("overwrite").parquet(f"{folder}/statuses/batch={batch_id}")
 

@@ -175,3 +175,59 @@ def test_network_input_becomes_observations(spark):
     assert len(rows) == 6 == len({r.id for r in rows})
     rows = _observed(kafka.decode_raw(topic.drop("partition", "offset"), "prod"))
     assert len(rows) == 6 == len({r.id for r in rows})
+
+
+def test_sources_with_rules_of_their_own(spark, tmp_path):
+    """One scan for sources that lie apart; a file of two sources is read for both; rules belong to sources."""
+    for folder, name, text in (
+        ("a", "x.log", "2024-01-01 00:00:01 [INFO] one\nnot indented\n2024-01-01 00:00:02 [WARN] two\n"),
+        ("b", "x y.log", "job failed\n   at frame\njob done\n"), ("b", "z.txt", "one\ntwo\n"), ("c", "j.log", '{"msg": "m", "level": "error"}\n{broken\n'),
+    ):
+        (tmp_path / folder).mkdir(exist_ok=True)
+        (tmp_path / folder / name).write_text(text)
+    base = {"application": "app", "environment": "prod"}
+    sources = catalog.load_sources(spark, [
+        {"id": "a", "path": f"{tmp_path}/a/*.log", "multiline": {"pattern": r"^\d{4}-"}, **base},
+        {"id": "b", "path": f"{tmp_path}/b/x*.log", "multiline": {"continuation": "java"}, **base},
+        {"id": "all-b", "path": f"{tmp_path}/b", **base},
+        {"id": "c", "path": f"file:{tmp_path}/c/j.log", "format": "json", **base},
+    ])
+    lines = files.read_source_lines(spark, sources, "2024-01-31 00:00:00")
+    assert sorted((r.source_id, r.line_number) for r in lines.collect()) == sorted(
+        [("a", n) for n in (1, 2, 3)] + [("b", n) for n in (1, 2, 3)] + [("all-b", n) for n in (1, 1, 2, 2, 3)] + [("c", 1), ("c", 2)]
+    )
+    from lanternlog.plans import jobs
+
+    got = sorted((r.source_id, r.record, r.level) for r in jobs.lines_to_events(lines).collect())
+    assert got == sorted([
+        ("a", "2024-01-01 00:00:01 [INFO] one\nnot indented", "INFO"), ("a", "2024-01-01 00:00:02 [WARN] two", "WARN"),
+        ("b", "job failed\n   at frame", "UNKNOWN"), ("b", "job done", "UNKNOWN"),
+        ("all-b", "job failed\n   at frame", "UNKNOWN"), ("all-b", "job done", "UNKNOWN"), ("all-b", "one", "UNKNOWN"), ("all-b", "two", "UNKNOWN"),
+        ("c", '{"msg": "m", "level": "error"}', "ERROR"), ("c", "{broken", "UNKNOWN"),
+    ])
+    assert files._scans(["f:/l/a.log", "f:/l/b.log", "f:/m/*.log", "f:/l/a.log"]) == [["f:/l/a.log", "f:/l/b.log", "f:/m/*.log"]]
+    assert len(files._scans(["f:/l/*.log", "f:/l/a*.log", "f:/l"])) == 3
+    assert files.read_source_lines(spark, sources.where("false"), "2024-01-31 00:00:00").count() == 0
+
+
+def test_stream_triage_recalls_what_was_learned(spark):
+    from lanternlog.operators.memory import RESOLUTION_MARK
+    from lanternlog.schemas import FEEDBACK
+    from lanternlog.streaming import triage
+
+    found = dt.detect_new_templates(conform(views.event_observations(spark, SF), OBSERVATIONS)).limit(3).persist()
+    folder = new_path(spark, "triage")
+    triage.triage_batch(found, 0, folder)
+    assert triage.recalled(spark, folder, 0).count() == 0
+    learned = triage.recalled(spark, folder, 1)
+    assert learned.count() == 3 and not learned.first().text_content.startswith(RESOLUTION_MARK)
+    notes = found.select(
+        F.concat(F.lit("f"), "id").alias("id"), F.col("id").alias("anomaly_id"), F.lit("resolved").alias("action"),
+        F.lit("restart it").alias("comment"), F.col("detected_at").alias("created_at"),
+    )
+    triage.remember_resolutions(found, conform(notes, FEEDBACK), folder, "first")
+    triage.triage_batch(found, 1, folder)
+    rows = spark.read.parquet(f"{folder}/analyses").where("batch = 1").collect()
+    assert len(rows) == 3 and all("restart it" in r.recommended_actions[0] for r in rows)
+    triage.triage_batch(found, 1, folder)
+    assert triage.recalled(spark, folder, 2).count() == 9

@@ -14,6 +14,7 @@ FAST = (
     "bucket_timeline", "bucket_rollup", "baseline_zscore", "recent_samples", "parse_events", "redact_documents", "sanitize_attributes",
     "mask_documents", "observations", "new_templates", "correlated_anomalies", "field_combinations", "template_detail", "merge_templates",
     "upsert_sources", "embed_documents", "similar_vectors", "chat_window", "rejected_envelopes", "decode_kafka_raw", "read_log_files",
+    "redact_secrets", "mask_secrets", "source_settings",
 )
 NAMES = list(entry.queries()) if os.environ.get("LANTERN_ALL") else FAST
 

@@ -152,6 +152,21 @@ def test_clustering(spark):
     assert found[0] == found[1] and len(found[0]) == 150 and {r[3] for r in found[0]} == {"job <*> ended well", "step <*> of <*>"}
 
 
+def test_known_templates_keep_their_ids(spark):
+    schema = "application string, environment string, template_text string, first_seen timestamp"
+    day = lambda texts: spark.createDataFrame([("app", "prod", t, START + timedelta(seconds=i)) for i, t in enumerate(texts)], schema)
+    known = spark.createDataFrame(
+        [("k1", "app", "prod", "user alice logged in", START), ("k2", "app", "prod", "disk full on node", START), ("k3", "app", "test", "user bob logged in", START)],
+        "id string, application string, environment string, template_pattern string, first_seen timestamp",
+    )
+    rows = clustering.cluster_signatures(day(["user bob logged in", "disk full on node", "net down"]), known=known).collect()
+    assert {r.template_text: (r.mined_text, r.template_id) for r in rows} == {
+        "user bob logged in": ("user <*> logged in", "k1"), "disk full on node": ("disk full on node", "k2"), "net down": ("net down", None),
+    }
+    mined = spark.createDataFrame([(r.template_id, r.mined_text) for r in rows], "template_id string, template_text string")
+    assert [tuple(r) for r in clustering.widened_templates(mined, known).collect()] == [("k1", "user alice logged in", "user <*> logged in")]
+
+
 def test_merge_is_additive_and_keeps_the_founder(spark):
     df = observations(spark, [("a", 1, "ERROR", "/f", 1), ("a", 2, "INFO", "/f", 2), ("b", 3, "INFO", "/f", 3)])
     first, second = df.where("line_number = 1"), df.where("line_number > 1")
