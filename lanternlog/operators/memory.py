@@ -152,7 +152,12 @@ def search_resolutions(
     queries: DataFrame, corpus: DataFrame, top_k: int = 3, min_score: float = 0.25, overfetch: int = 2
 ) -> DataFrame:
     """Resolution records among the best ``overfetch * top_k`` matches; ``corpus`` also has ``text_content``."""
-    matches = search_similar(queries, corpus, top_k * overfetch, min_score).drop("rank")
+    return resolutions_among(search_similar(queries, corpus, top_k * overfetch, min_score), corpus, top_k)
+
+
+def resolutions_among(matches: DataFrame, corpus: DataFrame, top_k: int = 3) -> DataFrame:
+    """The best ``top_k`` resolution records among the matches of a search."""
+    matches = matches.drop("rank")
     texts = corpus.select("id", "text_content").where(F.col("text_content").contains(RESOLUTION_MARK))
     return top_rows(matches.join(texts, "id"), ["query_id"], [F.desc("score"), F.col("id")], top_k)
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import date, datetime, timedelta
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SAMPLE_HOURS = 24
@@ -54,6 +54,32 @@ def retain(
     return kept
 
 
+def drop_expired_days(
+    spark: SparkSession, path: str, now: datetime, hours: int = AGGREGATE_MONTHS * MONTH_DAYS * 24, column: str = "day"
+) -> list[str]:
+    """Delete the whole partitions of a table stored by day whose last moment has outlived the window; their days are returned.
+
+    No row is read. A day that the window cuts through stays until all of it has expired. Folders that are not named
+    after a day, and a table that does not exist, are left alone.
+    """
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not system.exists(folder):
+        return []
+    gone = []
+    for status in system.listStatus(folder):
+        name, _, value = status.getPath().getName().partition("=")
+        try:
+            day = date.fromisoformat(value) if name == column else None
+        except ValueError:
+            continue
+        end = None if day is None else datetime(day.year, day.month, day.day) + timedelta(days=1)
+        if status.isDirectory() and end is not None and end <= now - timedelta(hours=hours):
+            system.delete(status.getPath(), True)
+            gone.append(value)
+    return sorted(gone)
+
+
 def retention_report(
     tables: dict[str, DataFrame], now: datetime, sample_hours: int = SAMPLE_HOURS, months: int = AGGREGATE_MONTHS
 ) -> DataFrame:

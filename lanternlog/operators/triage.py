@@ -13,6 +13,7 @@ from lanternlog.functions.parsing import strict_variant
 from lanternlog.operators import incidents, memory
 from lanternlog.operators.ranking import top_rows
 from lanternlog.schemas import ANALYSES, CONFIDENCES, SEVERITIES, conform
+from lanternlog.session import materialize
 
 
 @dataclass(frozen=True)
@@ -261,13 +262,15 @@ def triage_context(
     """Everything known about each anomaly as texts, and all of it in one ``context`` text."""
     texts = corpus.select("id", "text_content")
     queries = template_queries(anomalies)
-    resolved = memory.search_resolutions(queries, corpus).drop("text_content")
+    # One search serves both lists: the best six are looked through for resolutions, the best three are similar incidents.
+    matches = materialize(memory.search_similar(queries, corpus, 6, 0.25))
+    resolved = memory.resolutions_among(matches, corpus).drop("text_content")
     resolutions = _matches_by_template(
         resolved, texts,
         F.concat(F.lit("- [Past Resolution Match, Score: "), F.col("score").cast("string"), F.lit("] "), F.col("text_content")),
     ).withColumnRenamed("lines", "_resolutions")
     similar = _matches_by_template(
-        memory.search_similar(queries, corpus, 3, 0.3), texts,
+        matches.where((F.col("rank") <= 3) & (F.col("score") >= 0.3)), texts,
         F.concat(F.lit("- [Score: "), F.col("score").cast("string"), F.lit("] "), F.col("text_content")),
     ).withColumnRenamed("lines", "_similar")
 

@@ -590,7 +590,7 @@ records_notes AS (
     FROM feedback b JOIN found f ON f.id = b.anomaly_id WHERE b.action = 'resolved')),
 memory AS (SELECT * FROM records_ai UNION ALL SELECT * FROM records_notes)"""
 _OLD_TESTS = {
-    "samples": ("samples", f"created_at < {_RUN} - INTERVAL 24 HOUR OR expires_at < {_RUN}"),
+    "samples": ("samples", f"created_at < {_RUN} - INTERVAL 480 HOUR"),
     "analyses": ("verdicts", f"created_at < {_RUN} - INTERVAL 720 HOUR"),
     "feedback": ("feedback", f"created_at < {_RUN} - INTERVAL 720 HOUR"),
     "embeddings": ("records_ai", f"created_at < {_RUN} - INTERVAL 720 HOUR"),
@@ -609,7 +609,7 @@ _add(
     "retained_rows", *_RETAINED,
     select=" UNION ALL ".join(
         f"SELECT '{n}' AS name, count(*) AS rows FROM {t} WHERE NOT ({test})" for n, (t, test) in _OLD_TESTS.items()
-    ) + " UNION ALL SELECT 'evidence', 0",
+    ) + f" UNION ALL SELECT 'evidence', count(*) FROM found WHERE detected_at >= {_RUN} - INTERVAL 480 HOUR",
 )
 
 # --- memory and triage -------------------------------------------------------------------------------------

@@ -29,6 +29,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 HOURLY = dt.Thresholds(bucket_minutes=60)
 # The end of the provided events, as the time of a retention run.
 NOW = datetime(2024, 1, 31)
+# How long the retention queries keep samples and evidence.
+KEEP_HOURS = 480
 # The event tables are split here into an older and a newer part.
 SPLIT = "2024-01-20"
 
@@ -622,7 +624,7 @@ def _tables(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     found, verdicts, actions = _statuses(spark, sf)
     seen = _dense(spark, sf)
     return {
-        "samples": bk.samples(seen),
+        "samples": bk.samples(seen, hours=KEEP_HOURS),
         "buckets": bk.bucket_counts(seen, 60),
         "anomalies": found,
         "analyses": verdicts,
@@ -634,16 +636,16 @@ def _tables(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
 
 @query
 def retention_report(spark, sf):
-    """A run with a window of half a month, so that part of every table expires."""
+    """A run whose windows end inside the provided events, so that part of every table expires."""
     tables = _tables(spark, sf)
-    report = retention.retention_report(tables, datetime(2024, 2, 12), months=1)
+    report = retention.retention_report(tables, datetime(2024, 2, 12), KEEP_HOURS, months=1)
     return report.drop("id")
 
 
 @query
 def retained_rows(spark, sf):
     """Rows, and rows with evidence or raw text, that each table keeps."""
-    kept = retention.retain(_tables(spark, sf), datetime(2024, 2, 12), months=1)
+    kept = retention.retain(_tables(spark, sf), datetime(2024, 2, 12), KEEP_HOURS, months=1)
     counts = [df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("name"), "rows") for name, df in kept.items()]
     evidence = kept["anomalies"].agg(F.count_if(F.size("sample_evidence") > 0).alias("rows"))
     union = evidence.select(F.lit("evidence").alias("name"), "rows")
@@ -1022,7 +1024,7 @@ def _state_partitions(spark: SparkSession):
         spark.conf.set(name, before)
 
 
-def _event_stream(spark: SparkSession, sf: str, scoped: bool = True, late: bool = False) -> DataFrame:
+def event_stream(spark: SparkSession, sf: str, scoped: bool = True, late: bool = False) -> DataFrame:
     """The events as a stream of files, one per five days, in order of time; ``late`` sends the first ones again at the end."""
     path = new_path(spark, "events")
     seen = views.event_observations(spark, sf, scoped)
@@ -1078,7 +1080,7 @@ def stream_late(spark, sf):
 
 def _streamed_buckets(spark: SparkSession, sf: str, late: bool = False) -> DataFrame:
     out = new_path(spark, "buckets")
-    totals = stream_rollup.stream_buckets(_event_stream(spark, sf, late=late), 60)
+    totals = stream_rollup.stream_buckets(event_stream(spark, sf, late=late), 60)
     with _state_partitions(spark):
         run = stream_rollup.start_rollup(totals, out, new_path(spark, "checkpoint"), available_now=True)
         run.awaitTermination()
@@ -1088,7 +1090,7 @@ def _streamed_buckets(spark: SparkSession, sf: str, late: bool = False) -> DataF
 def _streamed_anomalies(spark: SparkSession, sf: str) -> tuple[DataFrame, str]:
     folder = new_path(spark, "detection")
     run = stream_detection.start_detection(
-        _event_stream(spark, sf, scoped=False), folder, new_path(spark, "checkpoint"), HOURLY, available_now=True
+        event_stream(spark, sf, scoped=False), folder, new_path(spark, "checkpoint"), HOURLY, available_now=True
     )
     run.awaitTermination()
     return stream_detection.found_anomalies(spark, folder), folder

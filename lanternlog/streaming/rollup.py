@@ -39,16 +39,19 @@ def upsert_totals(batch: DataFrame, path: str) -> None:
     Totals only grow, so the larger one is the newer one: delivering a batch twice changes nothing. Only the
     days the batch touches are read and written.
     """
-    spark = batch.sparkSession
-    fresh = batch.withColumn("day", F.to_date("bucket_start"))
-    stored = read_table(spark, path)
-    if stored is not None:
-        days = fresh.select("day").distinct()
-        touched = stored.join(days, "day", "left_semi").select(*fresh.columns)
-        fresh = touched.unionByName(fresh)
-    keys = [c for c in fresh.columns if c not in ("count", "error_count")]
-    totals = fresh.groupBy(*keys).agg(F.max("count").alias("count"), F.max("error_count").alias("error_count"))
-    overwrite_partitions(totals, path, ["day"])
+    batch = batch.persist()  # the stateful plan runs once
+    try:
+        fresh = batch.withColumn("day", F.to_date("bucket_start"))
+        stored = read_table(batch.sparkSession, path)
+        if stored is not None:
+            # As literals the days prune the partitions that are read.
+            days = [row.day for row in fresh.select("day").distinct().collect()]
+            fresh = stored.where(F.col("day").isin(days)).select(*fresh.columns).unionByName(fresh)
+        keys = [c for c in fresh.columns if c not in ("count", "error_count")]
+        totals = fresh.groupBy(*keys).agg(F.max("count").alias("count"), F.max("error_count").alias("error_count"))
+        overwrite_partitions(totals, path, ["day"])
+    finally:
+        batch.unpersist()
 
 
 def start_rollup(

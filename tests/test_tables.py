@@ -197,3 +197,14 @@ def test_feedback_and_retention(spark):
     assert retention.retention_report({"anomalies": found}, now).first().anomalies_deleted == 1
     later = retention.retain({"anomalies": found}, now + timedelta(days=2))["anomalies"].collect()
     assert [len(r.sample_evidence) for r in later] == [0]
+
+
+def test_expired_days_are_deleted(spark):
+    path = new_path(spark, "days")
+    days = F.date_add(F.lit("2024-01-01").cast("date"), F.col("id").cast("int"))
+    spark.range(10).withColumn("day", days).write.partitionBy("day").parquet(path)
+    now = datetime(2024, 1, 9, 12)
+    assert retention.drop_expired_days(spark, path, now, hours=72) == [f"2024-01-0{n}" for n in range(1, 6)]
+    assert sorted(r.id for r in spark.read.parquet(path).collect()) == [5, 6, 7, 8, 9]
+    assert retention.drop_expired_days(spark, path, now, hours=72) == []
+    assert retention.drop_expired_days(spark, path + "-none", now) == []
