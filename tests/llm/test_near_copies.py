@@ -1,0 +1,96 @@
+"""Near copies of whole texts: planted ones with a few edits, against brute force."""
+
+from __future__ import annotations
+
+import random
+
+import numpy as np
+
+import corpus_pipeline
+from lanternlog.llm import near_copies, simhash
+from llm import odd
+from llm.test_near import reach
+
+
+def plain_shingles(text):
+    words = (text or "").lower().encode().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def likeness(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def planted(groups=40, copies=3, seed=3):
+    """Texts, and copies of each with a few words changed."""
+    rng = random.Random(seed)
+    words = [f"w{i}" for i in range(3000)]
+    out = []
+    for _ in range(groups):
+        base = [rng.choice(words) for _ in range(rng.choice((60, 200, 900)))]
+        for n in range(copies + 1):
+            copy = list(base)
+            for _ in range(n * len(base) // 200):
+                copy[rng.randrange(len(copy))] = rng.choice(words)
+            out.append(" ".join(copy))
+    rng.shuffle(out)
+    return [(i + 1000, t) for i, t in enumerate(out)]
+
+
+def brute(rows):
+    sets = {i: plain_shingles(t) for i, t in rows}
+    ids = sorted(sets)
+    return [(a, b) for a in ids for b in ids if a < b and likeness(sets[a], sets[b]) >= 0.8]
+
+
+def test_planted_copies(spark):
+    rows = planted() + [(i, t) for i, t in odd.texts() if i is not None and i != 0]
+    links = brute(rows)
+    prints = {i: simhash.simhash((t or "").encode()) for i, t in rows}
+    assert sum((prints[a] ^ prints[b]).bit_count() > 2 for a, b in links) >= 50
+    found = {r.doc_id: r.component_id for r in near_copies.near_copies(odd.frame(spark, rows)).collect()}
+    assert found == reach([i for i, _ in rows], links)
+
+
+def test_stage_drops_copies_with_a_few_edits(spark):
+    rows = planted(groups=10)
+    docs = odd.frame(spark, rows)
+    out = corpus_pipeline.near_duplicate_stage(spark, docs, "")
+    group = reach([i for i, _ in rows], brute(rows))
+    assert out.columns == docs.columns and {r.doc_id for r in out.collect()} == {i for i in group if group[i] == i}
+
+
+def test_a_large_group(spark):
+    """Copies of one text, most pairs of which are a little too far apart: nearly all reach the group through a few near ones."""
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(500)]
+    base = [rng.choice(words) for _ in range(200)]
+    rows = []
+    for i in range(700):
+        copy = list(base)
+        for _ in range(3):
+            copy[rng.randrange(len(copy))] = rng.choice(words)
+        rows.append((i + 1, " ".join(copy)))
+    found = {r.doc_id: r.component_id for r in near_copies.near_copies(odd.frame(spark, rows)).collect()}
+    expected = reach([i for i, _ in rows], brute(rows))
+    assert sum(found[i] != expected[i] for i in found) <= 0.03 * len(rows) and all(found[i] >= expected[i] for i in found)
+
+
+def test_copies_and_odd_rows(spark):
+    found = near_copies.near_copies(odd.frame(spark)).collect()
+    assert len(found) == len(odd.texts())
+    assert near_copies.near_copies(odd.frame(spark, [])).count() == 0
+    assert near_copies.near_copies(odd.frame(spark, [(None, "a b c d")])).head().component_id is None
+
+
+def test_sketches_estimate_the_similarity():
+    rng = np.random.default_rng(1)
+    errors = []
+    for share in (0.5, 0.8, 0.95):
+        for _ in range(30):
+            both = [b"%d" % x for x in rng.integers(0, 1 << 60, 400)]
+            cut = int(400 * share)
+            a = set(both[:cut]) | {b"a%d" % i for i in range(400 - cut)}
+            b = set(both[:cut]) | {b"b%d" % i for i in range(400 - cut)}
+            errors.append((near_copies.minima(a) == near_copies.minima(b)).mean() - near_copies.jaccard(a, b))
+    assert abs(np.mean(errors)) < 0.02 and np.std(errors) < 0.08
