@@ -1,12 +1,13 @@
 """Closed syncmers: k-mers whose smallest inner s-mer is their first or last, chosen without looking at their surroundings.
 
 The same passage therefore gives the same anchors wherever it stands, and texts can be compared by their anchors. A fingerprint
-keeps the smallest hashes of all anchors of the whole text, which estimates the share of common anchors.
+keeps the hashes of all anchors of the whole text in their order, and two texts are alike as far as anchors match in order.
 """
 
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,8 +19,6 @@ from lanternlog.llm.common import map_batches, shuffle_parts, slices, texts_of
 
 #: Length of the inner strings is fixed at three code points (63 bits); an anchor is three of them long.
 INNER, LENGTH = 3, 9
-#: Hashes in a fingerprint.
-KEPT = 64
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -49,16 +48,45 @@ def anchors(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sketch(hashes: np.ndarray) -> np.ndarray:
-    """The smallest different hashes, cut to 32 bits, ascending."""
-    return np.unique((hashes >> np.uint64(32)).astype(np.uint32))[:KEPT]
+    """The hashes of all anchors in the order of their positions, cut to 32 bits."""
+    return (hashes >> np.uint64(32)).astype(np.uint32)
+
+
+def _occurrences(x: np.ndarray) -> np.ndarray:
+    """Hashes with their number among equal ones, as one key each."""
+    order = np.argsort(x, kind="stable")
+    ranked = x[order]
+    first = np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]])
+    number = np.empty(len(x), np.uint64)
+    number[order] = np.arange(len(x)) - np.repeat(first, np.diff(np.r_[first, len(x)]))
+    return x.astype(np.uint64) << np.uint64(32) | number
+
+
+def matched(a: np.ndarray, b: np.ndarray) -> int:
+    """Most anchors that match in the same order in both: the n-th of a hash with the n-th of that hash."""
+    short = min(len(a), len(b))
+    apart = np.flatnonzero(a[:short] != b[:short])
+    same = int(apart[0]) if len(apart) else short
+    a, b = a[same:], b[same:]
+    if not len(a) or not len(b):
+        return same
+    _, at, to = np.intersect1d(_occurrences(a), _occurrences(b), assume_unique=True, return_indices=True)
+    ends: list[int] = []  # smallest end of an increasing run of each length
+    for place in to[np.argsort(at)].tolist():
+        i = bisect_left(ends, place)
+        if i == len(ends):
+            ends.append(place)
+        else:
+            ends[i] = place
+    return same + len(ends)
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """Share of common anchors of two texts, estimated from their sketches; 1 for two empty ones."""
+    """Share of anchors of two texts that match in order, of all anchors of both; 1 for two empty ones."""
     if not len(a) or not len(b):
         return float(len(a) == len(b))
-    union = np.union1d(a, b)[:KEPT]
-    return float(np.count_nonzero(np.intersect1d(a, b, assume_unique=True) <= union[-1]) / len(union))
+    common = matched(a, b)
+    return common / (len(a) + len(b) - common)
 
 
 def as_text(kept: np.ndarray) -> str:
@@ -68,7 +96,7 @@ def as_text(kept: np.ndarray) -> str:
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_chars, positions, hashes, fingerprint) of every whole text, one row per input row.
 
-    ``positions`` and ``hashes`` list all anchors; ``fingerprint`` is the hexadecimal sketch. Null and empty texts have
+    ``positions`` and ``hashes`` list all anchors; ``fingerprint`` is the hexadecimal sketch, eight digits an anchor. Null and empty texts have
     no anchors and an empty fingerprint.
     """
 
