@@ -118,6 +118,13 @@ def learn_model(
     model = Model(np.log(target / target.sum()) - np.log(raw / raw.sum()))
     if not len(refused):
         return model
+    found = [(r.mean, r.good) for r in _scored(rows, model, chosen, refused).collect()]  # a row for each sampled id at most
+    model.cutoff = _cut(found)
+    return model
+
+
+def _scored(rows: DataFrame, model: Model, chosen: np.ndarray, refused: np.ndarray) -> DataFrame:
+    """(_id, mean, good) of the sampled ids whose texts have words; of an id with several texts, the lowest mean."""
     wanted = np.union1d(chosen, refused)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,13 +134,11 @@ def learn_model(
             n, weight = model.weigh(batch.column(1).filter(mine))
             ids = np.asarray(ids.filter(mine))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(_mean(n, weight)[n > 0]), pa.array(np.isin(ids, chosen)[n > 0])], ["mean", "good"]
+                [pa.array(ids[n > 0]), pa.array(_mean(n, weight)[n > 0]), pa.array(np.isin(ids, chosen)[n > 0])], ["_id", "mean", "good"]
             )
 
-    scored = map_batches(rows, score, "mean double, good boolean")
-    found = [(r.mean, r.good) for r in scored.collect()]  # bounded by the samples
-    model.cutoff = _cut(found)
-    return model
+    scored = map_batches(rows, score, "_id bigint, mean double, good boolean")
+    return scored.groupBy("_id").agg(F.min("mean").alias("mean"), F.first("good").alias("good"))
 
 
 def _cut(scored: list[tuple[float, bool]]) -> float:
