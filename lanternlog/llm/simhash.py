@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lanternlog.llm.common import components, map_batches, min_labels, shuffle_parts, slices, stored
+from lanternlog.llm.merkle import leaf_digest
 
 WORDS, SEED, BITS, BYTES = 3, 42, 2, 8
 #: Postings up to this size compare all their members; larger ones link them through their neighbours' values.
@@ -125,6 +126,16 @@ def posting_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield links(held)
 
 
+def _linked(classes: DataFrame) -> DataFrame:
+    """(node, component) of the representatives of (fp, rep) whose fingerprints have links."""
+    postings = classes.select(
+        F.explode(F.array([F.struct(F.lit(i).cast("bigint").alias("choice"), F.col("fp").bitwiseAND(F.lit(_signed(c))).alias("posting"))
+                           for i, c in enumerate(CHOICES)])).alias("key"), "fp", "rep",
+    ).select("key.choice", "key.posting", "fp", "rep")
+    dealt = postings.repartition(shuffle_parts(classes.sparkSession), "choice", "posting").sortWithinPartitions("choice", "posting", "fp")
+    return components(map_batches(dealt, posting_links, "a bigint, b bigint"), "a", "b")
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp, component_id) of every row: fingerprints that differ in at most two bits are linked.
 
@@ -135,12 +146,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     prints = stored(fingerprints(df.select(F.col(id_col).cast("bigint").alias(id_col), text_col), id_col, text_col), "prints")
     classes = stored(prints.filter(f"`{id_col}` is not null").groupBy("fp").agg(F.min(id_col).alias("rep")), "classes")
-    postings = classes.select(
-        F.explode(F.array([F.struct(F.lit(i).cast("bigint").alias("choice"), F.col("fp").bitwiseAND(F.lit(_signed(c))).alias("posting"))
-                           for i, c in enumerate(CHOICES)])).alias("key"), "fp", "rep",
-    ).select("key.choice", "key.posting", "fp", "rep")
-    dealt = postings.repartition(shuffle_parts(df.sparkSession), "choice", "posting").sortWithinPartitions("choice", "posting", "fp")
-    linked = components(map_batches(dealt, posting_links, "a bigint, b bigint"), "a", "b")
+    linked = _linked(classes)
     found = stored(
         classes.join(linked, classes.rep == linked.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id")),
         "components",
@@ -148,6 +154,29 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return prints.join(found, "fp", "left").select(id_col, "fp", "component_id")
 
 
+def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of ``df`` for each group that ``near_duplicates`` links, with all columns.
+
+    The row with the smallest id stays; null ids come last, and rows that repeat an id are ordered by a digest of all their
+    columns. Decisions are made per row: another text under the id of a row that goes, or stays, is decided by its own
+    group. Of equal rows one stays. Null, empty and blank texts are one group. An empty table gives no rows.
+    """
+    digest = leaf_digest([F.col(f"`{c}`") for c in df.columns])
+    keyed = df.select(F.struct(F.col(id_col).cast("bigint").alias("id"), digest.alias("digest")).alias("key"), text_col)
+    prints = stored(fingerprints(keyed, "key", text_col), "prints")
+    rows = prints.groupBy("fp", "key.id", "key.digest").agg(F.count("*").alias("n"))
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "digest", "n")).alias("first")
+    classes = stored(rows.groupBy("fp").agg(first), "classes")
+    linked = _linked(classes.select("fp", F.col("fp").alias("rep")))
+    grouped = classes.join(linked, classes.fp == linked.node, "left").groupBy(F.coalesce("component", "fp").alias("group"))
+    chosen = stored(grouped.agg(F.min("first").alias("first")).select(F.col("first.digest").alias("_digest"), F.col("first.n").alias("_n")), "chosen")
+    kept = df.withColumn("_digest", digest).join(chosen, "_digest")
+    single = kept.filter("_n = 1").select(*df.columns)
+    if chosen.filter("_n > 1").isEmpty():
+        return single
+    return single.unionByName(kept.filter("_n > 1").select(*df.columns).distinct())
+
+
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
