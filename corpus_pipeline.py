@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lanternlog.llm import language_id, near_copies, packing, quality
+from lanternlog.llm import language_id, packing, quality, simhash
 from lanternlog.llm.common import stored
 
 
@@ -25,13 +25,13 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near-duplicates: five-word shingles, similarity 0.8 or more.
+    """One document of each group whose SimHash values (three-word shingles) are linked by at most two differing bits.
 
-    Documents without id stay.
+    The document with the smallest id stays. Rows that repeat this id keep one of those with the smallest text digest, so
+    copies of one text under one id become one row; another text under the id is a document of its own group or goes with
+    this one. Rows without id stay, as nothing can be said to come before them.
     """
-    found = near_copies.near_copies(docs)
-    gone = found.filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return simhash.keep_first(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
