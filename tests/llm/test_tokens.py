@@ -19,6 +19,7 @@ from lanternlog.llm import bpe, byte_ids, known, packing, token_counts, token_fi
 from lanternlog.session import new_path
 from llm import odd
 
+SF01 = "/root/testdata/sf0.01"
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 
 
@@ -173,7 +174,7 @@ def test_levels_choose_the_smallest_sum_of_squares():
         choices = [0, *(h for h in range(1, 17 - size) if before[h])]
         level = levels.choose(size)
         assert level in choices and after(level) == min(map(after, choices))
-        levels.put((0, 0, np.zeros(size, np.uint32)))
+        levels.put((0, 1, 0, np.zeros(size, np.uint32)))
 
 
 def check_pieces(rows, texts, library, window):
@@ -207,3 +208,26 @@ def test_pack(spark, byte_library):
     assert packing.pack(odd.frame(spark, []), BYTE).count() == 0
     with_crc = packing.pack(odd.frame(spark), BYTE).select("ids", F.crc32("ids").alias("crc")).collect()
     assert all(r.crc == zlib.crc32(bytes(r.ids)) for r in with_crc)
+
+
+def test_small_partitions_still_fill_windows_by_levels(spark, byte_library, monkeypatch):
+    """Over 32 small partitions most ids leave in windows that the level array filled, and nothing is padded but powers of two."""
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF01}/documents.parquet").select("doc_id", "text").collect()]
+    table = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(32)
+    pieces = packing.pack(table, BYTE).collect()
+    check_pieces(pieces, docs, byte_library, 2048)
+    total = sum(r.length for r in pieces)
+    first = sum(r.length for r in pieces if r.sequence_id >> 32 < 32)
+    # What the second pass places: its windows that were cut are the fullest-first rest, with pieces that start inside a document.
+    lengths = defaultdict(int)
+    for r in pieces:
+        lengths[r.sequence_id] += r.length
+    assert sum(n for n in lengths.values() if n == 2048) > 0.99 * total
+    whole = defaultdict(list)
+    for r in pieces:
+        whole[r.sequence_id].append(r)
+    cut = {i for i, rows in whole.items() if i >> 32 >= 32 and any(r.start % 2048 for r in rows)}
+    by_levels = first + sum(lengths[i] for i in whole if i >> 32 >= 32 and i not in cut)
+    assert by_levels > 0.5 * total
+    monkeypatch.setattr(packing, "LEFTOVER_IDS", 100_000)
+    check_pieces(packing.pack(table, BYTE).collect(), docs, byte_library, 2048)
