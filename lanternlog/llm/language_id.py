@@ -6,8 +6,9 @@ profile: every n-gram costs how far out of place it stands, or the profile's siz
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import lru_cache
 
 import numpy as np
@@ -20,6 +21,9 @@ from lanternlog.llm.common import map_batches, slices, texts_of
 #: n-grams of a profile, n-grams of a text, and about how many labelled texts of a language a profile is learned from.
 PROFILE, OWN, SAMPLE = 400, 300, 2000
 UNDETERMINED = "und"
+#: Texts are judged among those with as many different n-grams, in these steps; a step needs ENOUGH labelled texts to have a bound, which
+#: is MARGIN times the lowest score that any of them has in its own language.
+STEPS, ENOUGH, MARGIN = (8, 16, 32, 64, 128, 256), 50, 0.9
 
 
 @lru_cache(1)
@@ -49,12 +53,22 @@ class Profiles:
     grams: np.ndarray
     ranks: np.ndarray
     size: int
+    bounds: tuple[float, ...] = (0.0,) * (len(STEPS) + 1)
 
     def predict(self, text: str) -> tuple[str, float]:
         """Nearest language and how near: 1 less the share of the largest possible distance. Ties go to the first name."""
+        return self.nearest(text)[:2]
+
+    def knows(self, text: str) -> bool:
+        """Whether the text is about as near to a language as texts of its length are to their own."""
+        name, score, step = self.nearest(text)
+        return name != UNDETERMINED and score >= self.bounds[step]
+
+    def nearest(self, text: str) -> tuple[str, float, int]:
+        """The prediction, and the step that the text's number of n-grams belongs to."""
         own, counts = grams(text)
         if not len(own) or not self.names:
-            return UNDETERMINED, 0.0
+            return UNDETERMINED, 0.0, 0
         top = own[np.argsort(-counts, kind="stable")[:OWN]]
         at = np.minimum(np.searchsorted(self.grams, top), len(self.grams) - 1)
         ranks = np.where(self.grams[at] == top, self.ranks[:, at], self.size)
@@ -62,7 +76,7 @@ class Profiles:
         apart[ranks == self.size] = self.size
         total = apart.sum(axis=1)
         best = int(np.argmin(total))
-        return self.names[best], 1.0 - float(total[best]) / (self.size * len(top))
+        return self.names[best], 1.0 - float(total[best]) / (self.size * len(top)), bisect_right(STEPS, len(top))
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -70,15 +84,8 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def learn_profiles(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE,
-    size: int = PROFILE,
-) -> Profiles:
-    """Profiles of all languages in ``lang_col``, from rows that are not held out.
-
-    A language with more rows is learned from about ``sample`` of them, picked by a hash of the id; counts are added up in
-    each task before they are shuffled. The driver gets ``size`` n-grams of each language.
-    """
+def _learning_rows(df: DataFrame, id_col: str, text_col: str, lang_col: str, sample: int) -> DataFrame:
+    """(_id, _text, _lang) of labelled rows that are not held out, about ``sample`` of each language."""
     labelled = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang")).filter(
         F.col("_lang").isNotNull() & F.col("_text").isNotNull()
     )
@@ -91,6 +98,19 @@ def learn_profiles(
         labelled = labelled.filter(
             F.pmod(F.xxhash64("_id"), F.lit(scale)) < F.coalesce(F.try_element_at(share, F.col("_lang")), F.lit(scale))
         )
+    return labelled
+
+
+def learn_profiles(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE,
+    size: int = PROFILE,
+) -> Profiles:
+    """Profiles of all languages in ``lang_col``, from rows that are not held out.
+
+    A language with more rows is learned from about ``sample`` of them, picked by a hash of the id; counts are added up in
+    each task before they are shuffled. The driver gets ``size`` n-grams of each language.
+    """
+    labelled = _learning_rows(df, id_col, text_col, lang_col, sample)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, tuple[np.ndarray, np.ndarray]] = {}
@@ -121,6 +141,28 @@ def learn_profiles(
     return Profiles(names, every, ranks, size)
 
 
+def learn_bounds(
+    df: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE,
+) -> Profiles:
+    """The same profiles with bounds on the score for ``knows``, from labelled rows that are not held out.
+
+    About ``sample`` rows of each language are scored, picked by a hash of the id; the driver gets one row per step. Steps with
+    fewer than ENOUGH texts of a rightly predicted language have no bound, so nothing is rejected there.
+    """
+    labelled = _learning_rows(df, id_col, text_col, lang_col, sample)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 0):
+            found = [profiles.nearest(t) for t in texts_of(batch, 0)]
+            right = [f[0] == lang for f, lang in zip(found, batch.column(1).to_pylist(), strict=True)]
+            columns = [pa.array([f[i] for f, r in zip(found, right, strict=True) if r], t) for i, t in ((1, pa.float64()), (2, pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, ["score", "step"])
+
+    scored = map_batches(labelled.select("_text", F.col("_lang").cast("string").alias("_lang")), score, "score double, step int")
+    low = {r.step: MARGIN * r.low for r in scored.groupBy("step").agg(F.min("score").alias("low"), F.count("*").alias("n")).collect() if r.n >= ENOUGH}
+    return replace(profiles, bounds=tuple(low.get(i, 0.0) for i in range(len(STEPS) + 1)))
+
+
 def predict(df: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, held_out, lang_pred, score) of every whole text, one row per input row.
 
@@ -141,16 +183,15 @@ def predict(df: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_col:
     return map_batches(chosen, work, f"`{id_col}` {kind}, held_out boolean, lang_pred string, score double")
 
 
-def keep_known(df: DataFrame, profiles: Profiles, least: float = 0.02, text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` whose text has a language: not ``und``, and not farther from all profiles than ``least`` allows.
+def keep_known(df: DataFrame, profiles: Profiles, text_col: str = "text") -> DataFrame:
+    """The rows of ``df`` whose text has a known language: not ``und``, and not below the bound of ``learn_bounds``.
 
-    Rows pass through unchanged with all their columns, and nothing is shuffled.
+    Rows pass through unchanged with all their columns, and nothing is shuffled. Without bounds only ``und`` goes.
     """
     place = df.columns.index(text_col)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, place):
-            found = [profiles.predict(t) for t in texts_of(batch, place)]
-            yield batch.filter(pa.array([x != UNDETERMINED and score >= least for x, score in found], pa.bool_()))
+            yield batch.filter(pa.array([profiles.knows(t) for t in texts_of(batch, place)], pa.bool_()))
 
     return map_batches(df, work, df.schema)

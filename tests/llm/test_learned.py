@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import random
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -229,7 +229,9 @@ def test_pipeline_against_brute_force(spark, documents):
         assert out.columns == docs.columns
         before, after = {r.doc_id: r for r in docs.collect()}, {r.doc_id: r for r in out.collect()}
         if name == "language_id":
-            expected = {i for i, r in before.items() if any(c.isalpha() for c in r.text or "")}
+            profiles = language_id.learn_bounds(docs, language_id.learn_profiles(docs))
+            expected = {i for i, r in before.items() if profiles.knows(r.text or "")}
+            assert len(expected) > 0.98 * len(before)
         elif name == "quality":
             model = quality.learn_model(docs, spark.read.parquet(f"{SF}/labels.parquet"))
             means = {i: np.mean(model.ratio[brute_buckets(r.text)]) for i, r in before.items()}
@@ -252,6 +254,107 @@ def test_pipeline_against_brute_force(spark, documents):
     assert {r.doc_id for r in pieces} == {r.doc_id for r in docs.collect()}
 
 
+def test_near_duplicate_stage_decides_per_row(spark):
+    """Repeated ids, repeated rows and null ids: one row of each group stays, whatever other texts share its id."""
+    texts = {"A": "one two three four five six", "B": "seven eight nine ten eleven", "C": "a b c d e f g", "D": "p q r s t"}
+    rows = [(1, "A"), (5, "A"), (5, "B"), (7, "C"), (7, "C"), (None, "A"), (None, "D"), (None, "D"), (9, None), (8, ""), (8, " ")]
+    data = [(i, texts.get(t, t), "en", "web", n) for n, (i, t) in enumerate(rows)]
+    # Rows that are equal in all columns.
+    data[4] = data[3]
+    docs = spark.createDataFrame(data, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    out = dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, SF)
+    assert out.columns == docs.columns
+    got = sorted((r.doc_id or 0, r.text) for r in out.collect())
+    assert [g for g in got if g[1].strip()] == [(0, texts["D"]), (1, texts["A"]), (5, texts["B"]), (7, texts["C"])]
+    assert [g[0] for g in got if not g[1].strip()] == [8]
+    again = dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs.repartition(5), SF)
+    assert sorted(map(tuple, again.collect()), key=repr) == sorted(map(tuple, out.collect()), key=repr)
+
+
+def test_near_duplicate_stage_against_brute_force(spark):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(60)]
+    texts = []
+    for _ in range(60):
+        base = [rng.choice(words) for _ in range(rng.choice([3, 40, 400]))]
+        texts += [" ".join(base)] * rng.choice([1, 1, 3])
+        edited = list(base)
+        edited[rng.randrange(len(edited))] = "edit"
+        texts.append(" ".join(edited))
+    rng.shuffle(texts)
+    docs = spark.createDataFrame([(i, t, None, None, len(t)) for i, t in enumerate(texts)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    kept = {r.doc_id for r in dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, SF).collect()}
+    prints = [simhash.simhash(t.encode()) for t in texts]
+    group = list(range(len(texts)))
+    changed = True
+    while changed:
+        changed = False
+        for a in range(len(texts)):
+            for b in range(len(texts)):
+                if group[a] < group[b] and (prints[a] ^ prints[b]).bit_count() <= 2:
+                    group[b], changed = group[a], True
+    assert kept == {i for i, g in enumerate(group) if i == g} and len(kept) < len(texts) - 30
+
+
+def test_language_bounds(spark, documents):
+    """Learned on rows that are not held out, tried on those that are, on noise, and on languages that were not learned."""
+    big = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    profiles = language_id.learn_bounds(big, language_id.learn_profiles(big))
+    assert max(profiles.bounds) < 0.6 and min(profiles.bounds[-2:]) > 0.3
+    held = [r.text for r in big.filter(language_id.held_out()).collect()]
+    assert sum(profiles.knows(t) for t in held) >= 0.995 * len(held)
+    rng = random.Random(1)
+    noise = lambda n: " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(n))
+    foreign = [
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on "
+        "toimittava toisiaan kohtaan veljeyden hengessä.",
+        "Minden emberi lény szabadon születik és egyenlő méltósága és joga van. Az emberek, ésszel és lelkiismerettel bírván, egymással "
+        "szemben testvéri szellemben kell hogy viseltessenek.",
+    ]
+    for text in [noise(20), noise(80), noise(400), "".join(rng.choice("0123456789abcdef") for _ in range(2000)), *foreign, "", "12 34"]:
+        assert not profiles.knows(text)
+    for text in ("the house and the garden", "the"):
+        assert profiles.knows(text)
+    nothing = language_id.learn_profiles(odd.frame(spark, []))
+    assert not language_id.learn_bounds(odd.frame(spark, []), nothing).knows("the")
+
+
+def test_profiles_and_predictions_against_brute_force(spark, documents):
+    """Counts, ranks and out-of-place distances recomputed from the definition, over a table."""
+    rows = [r for r in documents.collect() if r.text is not None and len(r.text) < 4000][:80]
+    table = spark.createDataFrame(rows, documents.schema)
+
+    def grams(text):
+        marked = "".join(c if c.isalpha() else " " for c in text.lower())
+        marked = " " + " ".join(marked.split()) + " "
+        found = Counter(marked[i : i + n] for n in (1, 2, 3) for i in range(len(marked) - n + 1))
+        del found[" "]
+        return found
+
+    totals = defaultdict(Counter)
+    for r in rows:
+        if zlib.crc32(str(r.doc_id).encode()) % 3 != 1 and r.lang is not None:
+            totals[r.lang].update(grams(r.text))
+    # Ties are broken by the code of an n-gram, read as one number.
+    code = lambda g: sum(({" ": 1}.get(c, ord(c))) << (21 * (len(g) - 1 - i)) for i, c in enumerate(g))
+    order = lambda counter, size: sorted(counter, key=lambda g: (-counter[g], code(g)))[:size]
+    ranks = {lang: {g: i for i, g in enumerate(order(c, 400))} for lang, c in totals.items()}
+    want = {}
+    for r in rows:
+        top = order(grams(r.text), 300)
+        if not any(c.isalpha() for c in r.text):
+            want[r.doc_id] = ("und", 0.0)
+            continue
+        scores = {
+            lang: sum(min(abs(known[g] - i), 400) if g in known else 400 for i, g in enumerate(top)) for lang, known in ranks.items()
+        }
+        best = min(sorted(scores), key=scores.get)
+        want[r.doc_id] = (best, 1 - scores[best] / (400 * len(top)))
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language_id.predict(table, language_id.learn_profiles(table)).collect()}
+    assert got.keys() == want.keys()
+    assert all(got[i][0] == want[i][0] and abs(got[i][1] - want[i][1]) < 1e-12 for i in want)
+
+
 def test_pipeline_stages_survive_odd_rows(spark):
     for rows in (odd.texts(), []):
         docs = odd.frame(spark, rows)
