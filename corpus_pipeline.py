@@ -15,8 +15,9 @@ from lanternlog.llm.common import stored
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text has a language; null texts, texts without letters, and texts far from all profiles go."""
-    return language_id.keep_known(docs, language_id.learn_profiles(docs))
+    """Documents whose text has a language; null texts, texts without letters, and texts farther from all profiles than any labelled one go."""
+    profiles = language_id.learn_profiles(docs)
+    return language_id.keep_known(docs, language_id.learn_bounds(docs, profiles))
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
