@@ -1,8 +1,15 @@
-"""Templates by clustering of similar signatures (Drain: He et al., ICWS 2017)."""
+"""Templates by clustering of similar signatures (Drain: He et al., ICWS 2017).
+
+Signatures of one scope, length and leading words are a leaf. A leaf of any size is cut into pieces of at most ``PIECE`` signatures in
+the order of their texts. A piece is clustered in the order of first sight, with an index of tokens by position: to share enough
+positions with a cluster, a signature must meet it in one of its rarest positions, so only clusters found there are compared. The
+templates of a leaf's pieces are then merged: in one more piece if they fit, else by an index of their rarest positions on
+Spark, whose postings are cut into blocks as well. So no task grows with an application, and nothing similar stays apart.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -10,89 +17,271 @@ from pyspark.sql import functions as F
 
 from lanternlog.functions.ids import template_id
 from lanternlog.functions.masks import with_masks
-from lanternlog.operators.ranking import lookup_join
-from lanternlog.session import materialize
+from lanternlog.operators.ranking import lookup_join, numbered
+from lanternlog.session import ship_package, stored
 
 WILDCARD = "<*>"
+#: Signatures or templates that are clustered together in one task.
+PIECE = 4096
 _SCOPE = ("application", "environment")
 _LEAF = (*_SCOPE, "tokens", "lead")
 
 
+def _words(pattern: str) -> F.Column:
+    return F.filter(F.split(pattern, " +"), lambda t: t != "")
+
+
 def _with_leaf(patterns: DataFrame, depth: int) -> DataFrame:
     """Add the leaf a pattern belongs to: its length and its leading tokens, those with digits as wildcards."""
-    tokens = F.filter(F.split("pattern", " +"), lambda t: t != "")
+    tokens = _words("pattern")
     lead = F.transform(
         F.slice(tokens, 1, max(depth - 3, 0)), lambda t: F.when(t.rlike("[0-9]"), F.lit(WILDCARD)).otherwise(t)
     )
     return patterns.withColumn("tokens", F.size(tokens)).withColumn("lead", F.array_join(lead, " "))
 
 
-def _cluster_leaves(similarity: float):
-    """Function over batches sorted by leaf and first sight that adds to each pattern the template it ends in."""
-    wildcard = WILDCARD
+class _Clusters:
+    """Clusters of one piece, found through the tokens at their positions. Tokens are numbers, 0 is the wildcard."""
+
+    def __init__(self, width: int, similarity: float):
+        import numpy as np
+
+        self.similarity, self.width, self.used = similarity, width, 0
+        self.held = np.zeros((64, width), dtype=np.int32)
+        self.at: dict[tuple[int, int], list[int]] = {}
+        self.same: dict[bytes, int] = {}
+
+    def find(self, row) -> int:
+        """The cluster with most equal tokens, then most wildcards, then the oldest, if it is similar enough; else -1."""
+        import numpy as np
+
+        equal_text = self.same.get(row.tobytes(), -1)
+        need = max(1, int(np.ceil(self.similarity * self.width - 1e-9)))
+        lists = sorted((self.at.get((p, c), ()) for p, c in enumerate(row.tolist()) if c), key=len)
+        # A cluster that shares enough positions is missing from fewer than all of the shortest lists.
+        few = [x for x in lists[: max(len(lists) - need + 1, 0)] if x]
+        if not few:
+            return equal_text
+        near = np.unique(np.concatenate(few))
+        held = self.held[near]
+        equal = ((held == row) & (held != 0)).sum(axis=1)
+        best = int(np.argmax(equal * (self.width + 1) + (held == 0).sum(axis=1)))
+        return int(near[best]) if equal[best] >= need else equal_text
 
-    def cluster(leaf: pd.DataFrame) -> pd.DataFrame:
+    def add(self, row) -> int:
         import numpy as np
 
-        patterns, known = leaf["pattern"].tolist(), leaf["known"].tolist()
-        ids: list[str | None] = []
-
-        codes = {wildcard: 0}
-        clusters = np.zeros((64, sum(1 for w in patterns[0].split(" ") if w)), dtype=np.int32)
-        used = 0
-        member = []
-        for pattern, known_id in zip(patterns, known):
-            row = np.array([codes.setdefault(w, len(codes)) for w in pattern.split(" ") if w], dtype=np.int32)
-            chosen = -1
-            if used and known_id is None:
-                held = clusters[:used]
-                # Most equal words first, then most wildcards, then the older template.
-                equal = ((held == row) & (held != 0)).sum(axis=1)
-                best = int(np.argmax(equal * (len(row) + 1) + (held == 0).sum(axis=1)))
-                if equal[best] / len(row) >= similarity or (held[best] == row).all():
-                    chosen = best
-            if chosen < 0:
-                if used == len(clusters):
-                    clusters = np.concatenate([clusters, np.zeros_like(clusters)])
-                clusters[used] = row
-                ids.append(known_id)
-                chosen = used
-                used += 1
-            else:
-                clusters[chosen] = np.where(clusters[chosen] == row, row, 0)
-            member.append(chosen)
-        names = {code: word for word, code in codes.items()}
-        texts = [" ".join(names[code] for code in clusters[i]) for i in range(used)]
-        merged = leaf.assign(merged=[texts[i] for i in member], template_id=[ids[i] for i in member])
-        return merged[leaf["known"].isna()].drop(columns="known")
+        if self.used == len(self.held):
+            self.held = np.concatenate([self.held, np.zeros_like(self.held)])
+        self.held[self.used] = row
+        for p, c in enumerate(row.tolist()):
+            if c:
+                self.at.setdefault((p, c), []).append(self.used)
+        self.same.setdefault(row.tobytes(), self.used)
+        self.used += 1
+        return self.used - 1
+
+    def widen(self, cluster: int, row) -> None:
+        """Turn the tokens in which ``row`` differs into wildcards; places where they were listed are compared in vain."""
+        held = self.held[cluster]
+        if (held != row).any() and ((held != row) & (held != 0)).any():
+            if self.same.get(held.tobytes()) == cluster:
+                del self.same[held.tobytes()]
+            held[held != row] = 0
+            self.same.setdefault(held.tobytes(), cluster)
+
+
+def _cluster_piece(piece: pd.DataFrame, similarity: float) -> pd.DataFrame:
+    """Add to each pattern of a piece, in order, the text of its cluster and the known id of it."""
+    import numpy as np
+
+    patterns, known = piece["pattern"].tolist(), piece["known"].tolist()
+    codes = {WILDCARD: 0}
+    rows = [np.array([codes.setdefault(w, len(codes)) for w in pattern.split(" ") if w], dtype=np.int32) for pattern in patterns]
+    clusters = _Clusters(len(rows[0]), similarity)
+    ids: list[str | None] = []
+    member = []
+    for row, known_id in zip(rows, known):
+        chosen = clusters.find(row) if known_id is None else -1
+        if chosen < 0:
+            chosen = clusters.add(row)
+            ids.append(known_id)
+        else:
+            clusters.widen(chosen, row)
+        member.append(chosen)
+    names = {code: word for word, code in codes.items()}
+    texts = [" ".join(names[code] for code in cluster) for cluster in clusters.held[: clusters.used].tolist()]
+    return piece.assign(merged=[texts[i] for i in member], template_id=[ids[i] for i in member])
+
+
+def _link_posting(rows: pd.DataFrame, similarity: float) -> pd.DataFrame:
+    """For each template of a posting that has no known id: the most similar of those before it, if similar enough."""
+    import numpy as np
+
+    codes = {WILDCARD: 0}
+    held = np.array([[codes.setdefault(w, len(codes)) for w in text.split(" ")] for text in rows["pattern"]], dtype=np.int32)
+    width = held.shape[1]
+    need = max(1, int(np.ceil(similarity * width - 1e-9)))
+    known = rows["known"].notna().to_numpy()
+    child, parent, shared, wild = [], [], [], []
+    for i in np.flatnonzero(~known[1:]) + 1:
+        before = held[:i]
+        equal = ((before == held[i]) & (before != 0)).sum(axis=1)
+        loose = (before == 0).sum(axis=1)
+        best = int(np.argmax(equal * (width + 1) + loose))
+        if equal[best] >= need and rows["node"].iat[best] != rows["node"].iat[i]:
+            child.append(i), parent.append(best), shared.append(equal[best]), wild.append(loose[best])
+    nodes = rows["node"].to_numpy()
+    return pd.DataFrame({"node": nodes[child], "parent": nodes[parent], "equal": np.array(shared, "int64"), "wild": np.array(wild, "int64")})
+
+
+def _by_group(work: Callable[[pd.DataFrame], pd.DataFrame], key: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Function over batches sorted by ``key`` that applies ``work`` to the rows of one key at a time."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import numpy as np
         import pandas as pd
 
         held: list[pd.DataFrame] = []
-        leaf = None
+        group = None
         for batch in batches:
             if not len(batch):
                 continue
-            keys = batch["leaf"].to_numpy()
+            keys = batch[key].to_numpy()
             cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1), len(keys)]
             done = []
             for low, high in zip(cuts[:-1], cuts[1:]):
-                if held and keys[low] != leaf:
-                    whole = pd.concat(held) if len(held) > 1 else held[0]
-                    done.append(cluster(whole))
+                if held and keys[low] != group:
+                    done.append(work(pd.concat(held) if len(held) > 1 else held[0]))
                     held = []
-                leaf = keys[low]
+                group = keys[low]
                 held.append(batch.iloc[low:high])
             if done:
-                yield pd.concat(done).drop(columns="leaf")
+                yield pd.concat(done)
         if held:
-            yield cluster(pd.concat(held)).drop(columns="leaf")
+            yield work(pd.concat(held))
 
     return run
 
 
+_NODE = "sha2(concat_ws('\x1f', leaf, pattern, coalesce(known, '')), 256)"
+_ORDER = ("first", "first_seen", "pattern", "known")
+
+
+def _clustered(items: DataFrame, similarity: float) -> DataFrame:
+    """(leaf, node, merged, template_id) of items (leaf, piece, pattern, first_seen, known), clustered piece by piece."""
+    ship_package(items.sparkSession)
+    keyed = items.select(
+        F.concat_ws("\x1f", "leaf", F.col("piece").cast("string")).alias("group"), "leaf", F.expr(_NODE).alias("node"), "pattern",
+        F.col("known").isNotNull().alias("late"), "first_seen", "known",
+    )
+    ordered = keyed.repartition("group").sortWithinPartitions("group", F.desc("late"), "first_seen", "pattern", "known")
+
+    def work(piece: pd.DataFrame) -> pd.DataFrame:
+        return _cluster_piece(piece, similarity)[["leaf", "node", "first_seen", "merged", "template_id"]]
+
+    schema = "leaf string, node string, first_seen timestamp, merged string, template_id string"
+    return stored(ordered.mapInPandas(_by_group(work, "group"), schema), "clustered")
+
+
+def _links(nodes: DataFrame, similarity: float) -> DataFrame:
+    """(node, parent): the most similar earlier template of each one that has any, in leaves of any number of templates.
+
+    A template is listed at its rarest positions, as many as it needs to meet all that share enough of them. Long postings are cut into
+    slots, and pairs of slots are compared by tasks of their own; each hands on one link per member.
+    """
+    words = nodes.withColumn("words", F.split("pattern", " ")).withColumn("width", F.size("words"))
+    spots = words.select("leaf", "node", "width", F.posexplode("words").alias("pos", "word")).where(F.col("word") != WILDCARD)
+    often = spots.groupBy("leaf", "pos", "word").agg(F.count(F.lit(1)).alias("often"))
+    lists = spots.join(often, ["leaf", "pos", "word"]).groupBy("leaf", "node", "width").agg(
+        F.array_sort(F.collect_list(F.struct("often", "pos", "word"))).alias("spots")
+    )
+    need = F.greatest(F.ceil(F.col("width") * similarity - 1e-9), F.lit(1))
+    rarest = F.slice("spots", F.lit(1), F.greatest(F.size("spots") - need + 1, F.lit(0)).cast("int"))
+    slots = F.ceil(F.col("spot.often") / PIECE)
+    own = F.pmod(F.xxhash64("node"), slots)
+    listed = (
+        lists.select("leaf", "node", F.explode(rarest).alias("spot")).where("spot.often > 1")
+        .withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), slots - 1)))
+    )
+    posting = F.concat_ws(
+        "\x1f", "leaf", "spot.pos", "spot.word", F.least("own", "other").cast("string"), F.greatest("own", "other").cast("string")
+    )
+    members = listed.select(posting.alias("posting"), "node").join(nodes, "node").withColumn("first", F.col("known").isNull())
+    ordered = members.select("posting", "node", *_ORDER).repartition("posting").sortWithinPartitions("posting", *_ORDER)
+    work = lambda rows: _link_posting(rows, similarity)
+    found = ordered.mapInPandas(_by_group(work, "posting"), "node string, parent string, equal long, wild long")
+    earlier = nodes.select(F.col("node").alias("parent"), *[F.col(c).alias(f"p_{c}") for c in ("first_seen", "pattern", "known")])
+    ranked = found.join(earlier, "parent").groupBy("node").agg(F.min(F.struct(
+        (-F.col("equal")).alias("less"), (-F.col("wild")).alias("tighter"), F.col("p_known").isNull().alias("first"),
+        "p_first_seen", "p_pattern", "p_known", "parent",
+    )).alias("best"))
+    return stored(ranked.select("node", "best.parent", "best.less"), "links")
+
+
+def _merge_linked(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, merged, template_id) of templates that change: each root takes its best child and all that fit the result.
+
+    Roots have no link to an earlier template. Children that do not fit, and those of templates that are children
+    themselves, wait for the next round, where the first of them are roots.
+    """
+    roots = links.join(links.select(F.col("node").alias("parent")), "parent", "left_anti")
+    pairs = roots.join(nodes, "node").join(nodes.select(
+        F.col("node").alias("parent"), F.col("pattern").alias("root_pattern"), F.col("known").alias("root_known")
+    ), "parent")
+    split = lambda c: F.split(c, " ")
+    joined = F.array_join(F.zip_with(split("root_pattern"), split("pattern"), lambda a, b: F.when(a == b, a).otherwise(WILDCARD)), " ")
+    best = pairs.withColumn("joined", joined).groupBy("parent").agg(
+        F.min(F.struct("less", "first_seen", "pattern", "joined")).alias("one")
+    ).select("parent", F.col("one.joined").alias("merged"))
+    with_best = stored(pairs.join(best, "parent"), "merging")
+    fits = F.forall(F.zip_with(split("merged"), split("pattern"), lambda m, c: (m == WILDCARD) | (m == c)), lambda ok: ok)
+    children = with_best.where(fits).select("node", "merged", F.col("root_known").alias("template_id"))
+    return children.unionByName(
+        with_best.select(F.col("parent").alias("node"), "merged", F.col("root_known").alias("template_id")).distinct()
+    )
+
+
+def _nodes(mapping: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``mapping`` (item, leaf, first_seen, merged, template_id) with the node of each item, and the nodes.
+
+    Templates of equal text are one; if earlier runs know the text, it takes the smallest of their ids.
+    """
+    ids = mapping.groupBy("leaf", "merged").agg(F.min("template_id").alias("_id"))
+    keyed = mapping.join(ids, ["leaf", "merged"]).withColumn("template_id", F.coalesce("template_id", "_id")).drop("_id")
+    node = F.expr(_NODE.replace("pattern", "merged").replace("known", "template_id"))
+    keyed = stored(keyed.withColumn("node", node), "mapping")
+    nodes = keyed.groupBy("leaf", "node").agg(
+        F.min("merged").alias("pattern"), F.min("template_id").alias("known"), F.min("first_seen").alias("first_seen")
+    )
+    return keyed, stored(nodes, "templates")
+
+
+def _merge_pieces(mapping: DataFrame, similarity: float) -> DataFrame:
+    """Items (item, leaf, first_seen, merged, template_id) of leaves that were cut, with the templates of whole leaves."""
+    done = None
+    while True:
+        mapping, nodes = _nodes(mapping)
+        sizes = nodes.groupBy("leaf").agg(F.count(F.lit(1)).alias("_templates"))
+        sized = nodes.join(sizes, "leaf")
+        fitting = sized.where(F.col("_templates") <= PIECE).drop("_templates", "node").withColumn("piece", F.lit(0))
+        last = _clustered(fitting, similarity).select("node", F.col("merged").alias("_text"), F.col("template_id").alias("_id"))
+        settled = mapping.join(last, "node").select("item", "leaf", "first_seen", F.col("_text").alias("merged"), F.col("_id").alias("template_id"))
+        done = settled if done is None else done.unionByName(settled)
+        large = stored(sized.where(F.col("_templates") > PIECE).drop("_templates"), "large")
+        links = _links(large, similarity)
+        moved = _merge_linked(large, links).select("node", F.col("merged").alias("_text"), F.col("template_id").alias("_id"))
+        moving = links.join(large.select("node", "leaf"), "node").select("leaf").distinct()
+        left = mapping.join(large.select("leaf").distinct(), "leaf", "left_semi")
+        done = done.unionByName(left.join(moving, "leaf", "left_anti").drop("node"))
+        if links.isEmpty():
+            return done
+        mapping = left.join(moving, "leaf", "left_semi").join(moved, "node", "left").select(
+            "item", "leaf", "first_seen", F.coalesce("_text", "merged").alias("merged"),
+            F.when(F.col("_text").isNotNull(), F.col("_id")).otherwise(F.col("template_id")).alias("template_id"),
+        )
+
+
 def cluster_signatures(
     signatures: DataFrame, similarity: float = 0.5, depth: int = 4, known: DataFrame | None = None
 ) -> DataFrame:
@@ -101,8 +290,9 @@ def cluster_signatures(
     The templates of earlier runs, ``known``, are clusters from the start: a signature that fits one gets its ``template_id``, also
     where it widens the pattern. ``template_id`` is null for templates that are new.
 
-    Leaves are independent, so they are spread over the tasks. ``depth`` routes signatures by their first ``depth - 3`` words at
-    every size of the input: a larger one makes smaller leaves. The result does not depend on partitions or volume.
+    ``depth`` routes signatures by their first ``depth - 3`` words at every size of the input; leaves above ``PIECE`` signatures
+    are cut in the order of their texts. A leaf within that size is clustered as one, in the order of first sight. The result
+    depends on the signatures alone, not on partitions.
     """
     patterns = signatures.select(
         *_SCOPE, F.col("template_text").alias("pattern"), "first_seen", F.lit(None).cast("string").alias("known")
@@ -111,17 +301,28 @@ def cluster_signatures(
         patterns = patterns.unionByName(
             known.select(*_SCOPE, F.col("template_pattern").alias("pattern"), "first_seen", F.col("id").alias("known"))
         )
-    leaves = _with_leaf(patterns, depth)
-    keyed = leaves.select(
-        F.concat_ws("\x1f", *[F.col(c).cast("string") for c in _LEAF]).alias("leaf"), *_SCOPE, "pattern", "first_seen", "known"
-    )
-    order = [F.col("leaf"), F.col("known").isNull(), F.col("first_seen"), F.col("pattern"), F.col("known")]
-    sorted_leaves = keyed.repartition("leaf").sortWithinPartitions(*order)
-    schema = (
-        "application string, environment string, pattern string, first_seen timestamp, merged string, template_id string"
+    leaf = F.concat_ws("\x1f", *[F.col(c).cast("string") for c in _LEAF])
+    keyed = _with_leaf(patterns, depth).select(leaf.alias("leaf"), *_SCOPE, "pattern", "first_seen", "known")
+    items = stored(keyed.withColumn("node", F.expr(_NODE)), "signatures")
+    sizes = stored(items.groupBy("leaf").agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > PIECE), "leaf-sizes")
+    cut = not sizes.isEmpty()
+    if cut:
+        placed = numbered(items.join(sizes.drop("_rows"), "leaf", "left_semi"), ["leaf"], ["pattern", "known", "first_seen"])
+        large = placed.withColumn("piece", F.floor(F.col("number") / PIECE)).drop("number")
+        pieces = items.join(sizes.drop("_rows"), "leaf", "left_anti").withColumn("piece", F.lit(0).cast("bigint")).unionByName(large)
+    else:
+        pieces = items.withColumn("piece", F.lit(0))
+    merged = _clustered(pieces, similarity)
+    if cut:
+        whole = merged.join(sizes, "leaf", "left_anti").select("node", "merged", "template_id")
+        parts = merged.join(sizes, "leaf", "left_semi").select(F.col("node").alias("item"), "leaf", "first_seen", "merged", "template_id")
+        merged = stored(
+            whole.unionByName(_merge_pieces(parts, similarity).select(F.col("item").alias("node"), "merged", "template_id")), "merged"
+        )
+    new = items.where(F.col("known").isNull())
+    return new.join(merged.select("node", "merged", "template_id"), "node").select(
+        *_SCOPE, F.col("pattern").alias("template_text"), F.col("merged").alias("mined_text"), "template_id"
     )
-    merged = materialize(sorted_leaves.mapInPandas(_cluster_leaves(similarity), schema))
-    return merged.select(*_SCOPE, F.col("pattern").alias("template_text"), F.col("merged").alias("mined_text"), "template_id")
 
 
 def mine_templates(
@@ -138,10 +339,10 @@ def mine_templates(
     Rows are first reduced to distinct signatures; only those are clustered, and the result is joined back.
     The masked rows are read twice and stored in between.
     """
-    masked = materialize(with_masks(events, message, "template_text"))
+    masked = stored(with_masks(events, message, "template_text"), "masked")
     key = [*_SCOPE, "template_text"]
-    signatures = materialize(
-        masked.groupBy(*key).agg(F.min("event_ts").alias("first_seen"), F.count(F.lit(1)).alias("_rows"))
+    signatures = stored(
+        masked.groupBy(*key).agg(F.min("event_ts").alias("first_seen"), F.count(F.lit(1)).alias("_rows")), "distinct"
     )
     mapping = cluster_signatures(signatures, similarity, depth, known).withColumnRenamed("template_id", "_known_id")
     mined = lookup_join(

@@ -127,11 +127,8 @@ def anomaly_record(triggers: DataFrame, data_loss: bool = False) -> DataFrame:
     return conform(rows, ANOMALIES)
 
 
-def detect_new_templates(
-    observations: DataFrame, known: DataFrame | None = None, limits: Thresholds = Thresholds(), data_loss: bool = False
-) -> DataFrame:
-    """One anomaly at the first sight of each unknown template."""
-    first = bk.with_bucket(flag_new_templates(observations, known), limits.bucket_minutes)
+def new_template_records(first: DataFrame, data_loss: bool = False) -> DataFrame:
+    """First observations of templates, with their buckets, to anomalies."""
     triggers = (
         first.withColumn("anomaly_type", F.lit("new_template"))
         .withColumn("current_count", F.lit(1))
@@ -142,6 +139,13 @@ def detect_new_templates(
     return anomaly_record(triggers, data_loss)
 
 
+def detect_new_templates(
+    observations: DataFrame, known: DataFrame | None = None, limits: Thresholds = Thresholds(), data_loss: bool = False
+) -> DataFrame:
+    """One anomaly at the first sight of each unknown template."""
+    return new_template_records(bk.with_bucket(flag_new_templates(observations, known), limits.bucket_minutes), data_loss)
+
+
 def with_evidence(triggers: DataFrame, samples: DataFrame | None, newest: int = EVIDENCE_SAMPLES) -> DataFrame:
     """Add ``sample_evidence``: the newest samples of the template, else the trigger's own message."""
     own = F.array("sanitized_message")

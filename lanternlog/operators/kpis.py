@@ -17,10 +17,14 @@ def telemetry_kpis(
     sources: DataFrame,
     analyses: DataFrame | None = None,
     quarantined: DataFrame | None = None,
-    dropped_events: int = 0,
-    consumer_lag: int = 0,
+    metrics: DataFrame | None = None,
+    progress: DataFrame | None = None,
 ) -> DataFrame:
-    """Counts and rate; each table is read once, the counts meet as labelled rows."""
+    """Counts and rate; each table is read once, the counts meet as labelled rows.
+
+    ``metrics`` has one row per micro-batch with ``late_rows``, the events that came too late to be counted; ``progress`` the reports
+    of running queries with ``reported`` and ``consumer_lag``, of which the newest counts.
+    """
 
     def count(df: DataFrame, **values: Column) -> DataFrame:
         pairs = [F.struct(F.lit(label).alias("label"), F.col(label).alias("value")) for label in values]
@@ -38,6 +42,10 @@ def telemetry_kpis(
         rows.append(count(analyses, errors=F.count("error")))
     if quarantined is not None:
         rows.append(count(quarantined, warnings=F.count(F.lit(1))))
+    if metrics is not None:
+        rows.append(count(metrics, dropped=F.sum("late_rows")))
+    if progress is not None:
+        rows.append(count(progress, lag=F.max_by("consumer_lag", "reported")))
     table = reduce(DataFrame.unionByName, rows)
 
     def pick(label: str) -> Column:
@@ -46,12 +54,12 @@ def telemetry_kpis(
     return table.agg(
         F.round(pick("lines") / pick("seconds"), 2).alias("ingestion_rate_lps"),
         pick("lines").cast("bigint").alias("total_lines_read"),
-        F.lit(dropped_events).cast("bigint").alias("dropped_events"),
-        F.lit(consumer_lag).cast("bigint").alias("consumer_lag"),
+        pick("dropped").cast("bigint").alias("dropped_events"),
+        pick("lag").cast("bigint").alias("consumer_lag"),
         pick("active").cast("bigint").alias("active_anomalies_count"),
         pick("templates").cast("bigint").alias("templates_count"),
         pick("sources").cast("bigint").alias("sources_count"),
         pick("errors").cast("bigint").alias("analysis_error_count"),
-        F.lit(dropped_events > 0).alias("data_loss_warning"),
+        (pick("dropped") > 0).alias("data_loss_warning"),
         pick("warnings").cast("bigint").alias("parsing_warnings_count"),
     )

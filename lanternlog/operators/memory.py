@@ -11,15 +11,13 @@ from pyspark.sql import types as T
 
 from lanternlog.functions.binding import bind
 from lanternlog.functions.ids import row_id
-from lanternlog.functions.vectors import DIMENSIONS, cosine_similarity, norm, token_bucket
-from lanternlog.operators.ranking import top_rows
+from lanternlog.functions.vectors import DIMENSIONS, norm, token_bucket
+from lanternlog.operators.ranking import small_table, top_rows
 from lanternlog.schemas import EMBEDDINGS, conform
 from lanternlog.session import materialize
 
-# Queries that are sent to every task at once; more queries take the blocked way.
+# Queries that are sent to every task at once; more queries meet inverted lists.
 QUERY_BLOCK = 4_096
-# Stored vectors that meet one block of queries in one task on the blocked way.
-CORPUS_BLOCK = 65_536
 # Marks of a resolution record and of the notes inside it.
 RESOLUTION_MARK = "[Resolution Knowledge"
 NOTES_MARK = "Resolution Notes & Steps:"
@@ -104,14 +102,13 @@ def search_similar(
     min_score: float = 0.2,
     self_match: bool = True,
     query_block: int = QUERY_BLOCK,
-    corpus_block: int = CORPUS_BLOCK,
 ) -> DataFrame:
     """The ``top_k`` stored vectors with the highest cosine per query, at least ``min_score``.
 
     ``queries`` has ``query_id`` and ``embedding``, ``corpus`` has ``id`` and ``embedding``. Exact: every
     vector is scored, but a task hands on only its best ``top_k`` rows per query. Up to ``query_block``
-    queries go to all tasks, so the corpus is not shuffled. Beyond that both sides are cut into blocks by
-    hash and each pair of blocks is one task of bounded size.
+    queries of bounded size go to all tasks, so the corpus is not shuffled. Beyond that the corpus is listed by centroids,
+    and queries meet only lists that may hold a match (``vector_lists``).
     """
     wanted = materialize(queries.select("query_id", "embedding").where(F.col("embedding").isNotNull()))
     stored = corpus.select("id", "embedding")
@@ -122,29 +119,11 @@ def search_similar(
             T.StructField("score", T.DoubleType()),
         ]
     )
-    total = wanted.count()
-    if total <= query_block:
-        block = wanted.toPandas()
-        partial = stored.mapInPandas(_partial_search(block, top_k, min_score, self_match), schema)
-    else:
-        stored = materialize(stored)
-        query_blocks = -(-total // query_block)
-        shards = max(1, -(-stored.count() // corpus_block))
-        left = wanted.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).cast("int"))
-        left = left.withColumn("_shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-        right = stored.withColumn("_shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
-        right = right.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
-        make = _partial_search
-
-        def meet(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-            import pandas as pd
-
-            found = list(make(asked, top_k, min_score, self_match)(iter([held])))
-            return pd.concat(found) if found else pd.DataFrame({"query_id": [], "id": [], "score": []})
-
-        partial = left.groupBy("_block", "_shard").cogroup(right.groupBy("_block", "_shard")).applyInPandas(
-            meet, schema
-        )
+    if not small_table(wanted, query_block):
+        from lanternlog.operators.vector_lists import build_lists, search_exact
+
+        return search_exact(wanted, build_lists(stored), top_k, min_score, self_match)
+    partial = stored.mapInPandas(_partial_search(wanted.toPandas(), top_k, min_score, self_match), schema)
     return top_rows(partial, ["query_id"], [F.desc("score"), F.col("id")], top_k)
 
 
@@ -163,45 +142,13 @@ def resolutions_among(matches: DataFrame, corpus: DataFrame, top_k: int = 3) ->
 
 
 def search_similar_approx(
-    queries: DataFrame,
-    corpus: DataFrame,
-    top_k: int = 5,
-    min_score: float = 0.2,
-    bucket_length: float = 0.2,
-    tables: int = 6,
-    seed: int = 42,
+    queries: DataFrame, corpus: DataFrame, top_k: int = 5, min_score: float = 0.2, self_match: bool = True, recall: float = 0.95
 ) -> DataFrame:
-    """Like ``search_similar`` over hash buckets of random projections: fewer comparisons, may miss matches.
+    """Like ``search_similar``, comparing each query with the nearest lists only; an audit sets how many, for ``recall``."""
+    from lanternlog.operators.vector_lists import audited, build_lists, search_lists
 
-    Projections of unit vectors lie close to zero, so buckets must be much narrower than 1 to split them.
-    """
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    dimensions = queries.agg(F.max(F.size("embedding"))).first()[0] or 0
-
-    def unit(df: DataFrame, name: str) -> DataFrame:
-        # Vectors of another size are cut or filled here and rejected by the exact score below.
-        length = norm(F.col("embedding"))
-        scaled = F.transform(
-            F.sequence(F.lit(0), F.lit(dimensions - 1)),
-            lambda i: F.coalesce(F.try_divide(F.get("embedding", i).cast("double"), length), F.lit(0.0)),
-        )
-        return df.select(name, "embedding", array_to_vector(scaled).alias("features"))
-
-    left, right = unit(queries, "query_id"), unit(corpus, "id")
-    lsh = BucketedRandomProjectionLSH(
-        inputCol="features", outputCol="hashes", bucketLength=bucket_length, numHashTables=tables, seed=seed
-    )
-    # For unit vectors the squared distance is two minus twice the cosine.
-    pairs = lsh.fit(right).approxSimilarityJoin(left, right, (2 - 2 * min_score) ** 0.5 + 1e-9, "distance")
-    exact = pairs.select(
-        F.col("datasetA.query_id").alias("query_id"),
-        F.col("datasetB.id").alias("id"),
-        cosine_similarity(F.col("datasetA.embedding"), F.col("datasetB.embedding")).alias("score"),
-    ).where(F.col("score") >= min_score)
-    rounded = exact.withColumn("score", F.round("score", 4))
-    return top_rows(rounded, ["query_id"], [F.desc("score"), F.col("id")], top_k)
+    lists = audited(queries, build_lists(corpus), top_k, min_score, self_match, recall)
+    return search_lists(queries, lists, top_k, min_score, self_match)
 
 
 def _records(rows: DataFrame, created: Column) -> DataFrame:

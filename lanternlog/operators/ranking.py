@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lanternlog.session import materialize
+from lanternlog.session import materialize, stored
 
 # A slot with more rows than this is cut again before it is sorted.
 HOT_SLOT_ROWS = 1_000_000
@@ -52,8 +52,8 @@ def exact_rank(
     hot = counted.where(F.col("_rows") > limit).select(*by_slot, F.lit(True).alias("_hot"))
     together = by_slot
     if fine and hot.head(1):
-        # Not more than HOT_KEYS slots can be above the limit.
-        cut = cut.join(F.broadcast(hot), by_slot, "left")
+        # Not more than HOT_KEYS slots can be above the limit, but their keys may be long.
+        cut = cut.join(F.broadcast(hot) if small_table(hot) else hot, by_slot, "left")
         cut = cut.withColumn("_part", F.when(F.col("_hot"), F.struct(*fine))).drop("_hot")
         cut = cut.withColumn("_part_key", F.coalesce(F.to_json("_part"), F.lit("")))
         together = [*by_slot, "_part_key"]
@@ -93,7 +93,7 @@ def lookup_join(
     copies = F.ceil(F.col(rows) / share).cast("int")
     hot = small.where(F.col(rows) > share).select(*keys, copies.alias("_copies"))
     dealt = F.pmod(F.xxhash64(*spread_by), F.col("_copies")).cast("int")
-    salted = big.join(F.broadcast(hot), list(keys), "left").withColumn("_salt", F.coalesce(dealt, F.lit(0)))
+    salted = big.join(F.broadcast(hot) if small_table(hot) else hot, list(keys), "left").withColumn("_salt", F.coalesce(dealt, F.lit(0)))
     numbers = F.sequence(F.lit(0), F.greatest(F.when(F.col(rows) > share, copies), F.lit(1)) - 1)
     copied = small.withColumn("_salt", F.explode(numbers)).drop(rows)
     return salted.drop("_copies").join(copied, [*keys, "_salt"]).drop("_salt")
@@ -119,3 +119,21 @@ def top_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int
     """The first ``k`` rows of each group; Spark cuts each map task to ``k`` rows before the shuffle."""
     window = W.partitionBy(*keys).orderBy(*order)
     return df.withColumn(rank, F.row_number().over(window)).where(F.col(rank) <= k)
+
+
+def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "number") -> DataFrame:
+    """Add the 0-based place of each row in its key group; ``order`` must tell apart rows that are not equal.
+
+    Rows are dealt out by ranges of the keys and ``order``, so no task holds a group of any size; the place of a range's first row is
+    a prefix sum over one row per range and group. The rows are stored, so a range stays what it was if an executor is lost.
+    """
+    keys = list(keys)
+    spark = df.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    dealt = df.repartitionByRange(parts, *keys, *order).sortWithinPartitions(*keys, *order)
+    placed = stored(dealt.withColumn("_at", F.monotonically_increasing_id()), "numbered").withColumn("_range", F.shiftright("_at", 33))
+    earlier = W.partitionBy(*keys).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    bases = placed.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_rows"), F.min("_at").alias("_low")).select(
+        *keys, "_range", (F.coalesce(F.sum("_rows").over(earlier), F.lit(0)) - F.col("_low")).alias("_base")
+    )
+    return placed.join(bases, [*keys, "_range"]).withColumn(name, F.col("_at") + F.col("_base")).drop("_at", "_range", "_base")

@@ -102,6 +102,8 @@ DEFAULT_RULE = TriageRule(
 # Texts that verdicts and contexts carry.
 MODEL = "heuristic-sre-engine"
 PROMPT_VERSION = "v2.0"
+#: How long a triage run may hold its work.
+LEASE_SECONDS = 300
 LIMITATION = "Judged by fixed rules of this engine; no language model was asked."
 EVIDENCE_REASON = "Deterministic anomaly detector evidence"
 RECALL_NOTE = " Note: A similar issue occurred in the past and was resolved."
@@ -392,20 +394,51 @@ def validate_verdicts(answers: DataFrame, anomalies: DataFrame) -> DataFrame:
     return conform(good, ANALYSES).unionByName(conform(fallback, ANALYSES))
 
 
-def status_lifecycle(anomalies: DataFrame, analyses: DataFrame, feedback: DataFrame) -> DataFrame:
-    """Current status: dismissed by feedback, else failed or analyzed by the newest verdict, else unchanged."""
+def take_leases(anomalies: DataFrame, now: Column, seconds: int = LEASE_SECONDS) -> DataFrame:
+    """(anomaly_id, taken_at, lease_until): claims of a triage run on its work, to be written before it begins."""
+    return anomalies.select(
+        F.col("id").alias("anomaly_id"), now.cast("timestamp").alias("taken_at"),
+        (now.cast("timestamp") + F.make_dt_interval(secs=F.lit(seconds))).alias("lease_until"),
+    )
+
+
+def _newest_lease(leases: DataFrame) -> DataFrame:
+    return leases.groupBy(F.col("anomaly_id").alias("id")).agg(F.max(F.struct("taken_at", "lease_until")).alias("_lease"))
+
+
+def unfinished(anomalies: DataFrame, analyses: DataFrame, leases: DataFrame, now: Column) -> DataFrame:
+    """Anomalies without a verdict that no running lease holds: work whose run never ended is handed out again."""
+    held = _newest_lease(leases).where(F.col("_lease.lease_until") > now.cast("timestamp")).select("id")
+    judged = analyses.select(F.col("anomaly_id").alias("id")).distinct()
+    waiting = anomalies.where(F.col("status").isin("active", "analyzing"))
+    return waiting.join(held, "id", "left_anti").join(judged, "id", "left_anti")
+
+
+def status_lifecycle(
+    anomalies: DataFrame, analyses: DataFrame, feedback: DataFrame, leases: DataFrame | None = None, now: Column | None = None
+) -> DataFrame:
+    """Current status: dismissed by feedback, else analyzing under a running lease, else by the newest verdict, else unchanged.
+
+    A lease counts until it ends or a verdict follows it; once it has ended, what was being analyzed is as it was before:
+    active, or what the last verdict made of it.
+    """
     from lanternlog.operators.merges import apply_feedback
 
     newest = analyses.groupBy(F.col("anomaly_id").alias("id")).agg(
-        F.max_by(F.struct(F.col("error")), F.struct("created_at", "id")).alias("_newest")
+        F.max_by(F.struct("created_at", "error"), F.struct("created_at", "id")).alias("_newest")
     )
     judged = anomalies.join(newest, "id", "left")
     status = (
-        F.when(F.col("_newest").isNull(), F.col("status"))
+        F.when(F.col("_newest").isNull(), F.when(F.col("status") == "analyzing", "active").otherwise(F.col("status")))
         .when(F.col("_newest.error").isNotNull(), F.lit("failed"))
         .otherwise(F.lit("analyzed"))
     )
-    return apply_feedback(judged.withColumn("status", status).drop("_newest"), feedback)
+    if leases is not None:
+        judged = judged.join(_newest_lease(leases), "id", "left")
+        open_after = F.col("_newest").isNull() | (F.col("_lease.taken_at") > F.col("_newest.created_at"))
+        running = (F.col("_lease.lease_until") > now.cast("timestamp")) & open_after
+        status = F.when(running, F.lit("analyzing")).otherwise(status)
+    return apply_feedback(judged.withColumn("status", status).select(*anomalies.columns), feedback)
 
 
 def ask_context(

@@ -5,9 +5,6 @@ They are written apart from the Spark code: brute-force windows, joins and regul
 
 from __future__ import annotations
 
-from lanternlog.functions import masks, redaction
-from lanternlog.functions.ids import DEFAULT_SALT
-from lanternlog.functions.vectors import DIMENSIONS
 from lanternlog.operators import triage
 
 ORACLES: dict[str, str] = {}
@@ -227,29 +224,42 @@ _REPLACE = {
     "CREDIT_CARD": "<CARD_NUM>", "UUID": "<UUID>", "IPV6": "<IPV6>", "HEX_HASH": "<HEX_HASH>",
 }
 _HASHED = {"EMAIL": "EMAIL", "IPV4": "IP"}
+_SALT = "lantern"
+# Fixed values, written out here once more so that a slip in the package's own table shows.
+_SECRET_RULES = (
+    ("JWT", r"\beyJ[A-Za-z0-9_=-]+\.[A-Za-z0-9_=-]+\.?[A-Za-z0-9_.+/=-]*\b"),
+    ("BEARER_TOKEN", r"(?i)\bbearer\s+([a-z0-9._~+/-]+=*)"),
+    ("SECRET_KEY", r"""(?i)((?:api_key|api-key|apikey|secret|access_token|access-token|accesstoken|password|auth_token|auth-token|authtoken)\s*[:=]\s*["']?)([^"'\s,;]+)(["']?)"""),
+    ("CREDIT_CARD", r"\b[0-9]{4}[- ]?[0-9]{4}[- ]?[0-9]{4}[- ]?[0-9]{4}\b"),
+    ("EMAIL", r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z|]{2,}\b"),
+    ("UUID", r"\b[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}\b"),
+    ("IPV4", r"\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b"),
+    ("IPV6", r"\b(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}\b"),
+    ("HEX_HASH", r"\b[0-9a-fA-F]{32,64}\b"),
+)
 
 
 def _redacted(source: str, column: str, name: str = "clean") -> str:
     """Rules one after the other; adds ``sanitized_message`` and ``redaction_types``."""
     steps = [f"{name}_0 AS (SELECT *, {column} AS t FROM {source})"]
-    for index, rule in enumerate(redaction.RULES):
-        pattern = _text(rule.pattern)
-        if rule.tag in _HASHED:
+    for index, (tag, expression) in enumerate(_SECRET_RULES):
+        pattern = _text(expression)
+        if tag in _HASHED:
             new = (
                 f"array_to_string(list_transform(list_zip(regexp_split_to_array(t, {pattern}), regexp_extract_all(t, {pattern})), "
-                f"lambda m: m[1] || CASE WHEN m[2] IS NULL THEN '' ELSE '<{_HASHED[rule.tag]}:' || "
-                f"substr(sha256('{DEFAULT_SALT}' || m[2]), 1, 8) || '>' END), '')"
+                f"lambda m: m[1] || CASE WHEN m[2] IS NULL THEN '' ELSE '<{_HASHED[tag]}:' || "
+                f"substr(sha256('{_SALT}' || m[2]), 1, 8) || '>' END), '')"
             )
             new = f"CASE WHEN regexp_matches(t, {pattern}) THEN {new} ELSE t END"
         else:
-            new = f"regexp_replace(t, {pattern}, {_text(_REPLACE[rule.tag])}, 'g')"
+            new = f"regexp_replace(t, {pattern}, {_text(_REPLACE[tag])}, 'g')"
         steps.append(
-            f"{name}_{index + 1} AS (SELECT * REPLACE ({new} AS t), regexp_matches(t, {pattern}) AS h_{rule.tag} FROM {name}_{index})"
+            f"{name}_{index + 1} AS (SELECT * REPLACE ({new} AS t), regexp_matches(t, {pattern}) AS h_{tag} FROM {name}_{index})"
         )
-    tags = ", ".join(f"CASE WHEN h_{tag} THEN '{tag}' END" for tag in sorted(r.tag for r in redaction.RULES))
+    tags = ", ".join(f"CASE WHEN h_{tag} THEN '{tag}' END" for tag in sorted(tag for tag, _ in _SECRET_RULES))
     steps.append(
         f"{name} AS (SELECT * EXCLUDE (t), t AS sanitized_message, array_to_string(list_filter([{tags}], "
-        f"lambda x: x IS NOT NULL), ' | ') AS redaction_types, sha256(t) AS sample_hash FROM {name}_{len(redaction.RULES)})"
+        f"lambda x: x IS NOT NULL), ' | ') AS redaction_types, sha256(t) AS sample_hash FROM {name}_{len(_SECRET_RULES)})"
     )
     return ",\n".join(steps)
 
@@ -280,7 +290,31 @@ _add(
 # --- templates ---------------------------------------------------------------------------------------------
 
 _EDGE = "[^A-Za-z0-9]"
-_LOOKBEHIND, _LOOKAHEAD = "(?<![A-Za-z0-9])(?:", ")(?![A-Za-z0-9])"
+_DATE, _CLOCK = r"[0-9]{4}[-/.][0-9]{1,2}[-/.][0-9]{1,2}", r"[0-9]{2}:[0-9]{2}:[0-9]{2}(?:[.,][0-9]+)?"
+_MONTH = "(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)"
+# Fixed values, written out here once more: masks in their order, each with its name and whether neighbours may be letters or digits.
+_MASKS = (
+    ("<EMAIL:[^>]+>", "EMAIL", True), ("<IP:[^>]+>", "IP", True), ("<CARD_NUM>", "CARD", True), ("<JWT_TOKEN>", "JWT", True),
+    ("<BEARER_TOKEN>", "TOKEN", True), ("<REDACTED_SECRET>", "SECRET", True), ("<UUID>", "UUID", True), ("<IPV6>", "IP", True),
+    ("<HEX_HASH>", "HASH", True),
+    (rf"\[?{_DATE}[T ]{_CLOCK}(?:Z|[+-][0-9]{{2}}:?[0-9]{{2}})?\]?", "TIMESTAMP", True),
+    (rf"\[?[0-9]{{1,2}}/{_MONTH}/[0-9]{{4}}:[0-9]{{2}}:[0-9]{{2}}:[0-9]{{2}}(?:\s+[+-][0-9]{{4}})?\]?", "TIMESTAMP", True),
+    (rf"\[?{_MONTH}\s+[0-9]{{1,2}}\s+{_CLOCK}\]?", "TIMESTAMP", True),
+    (rf"\[?\b{_DATE}\b\]?", "TIMESTAMP", True),
+    (rf"\[?\b{_CLOCK}\b\]?", "TIMESTAMP", True),
+    (r"""https?://[^\s"'<>]+""", "URL", True),
+    ("(?:[0-9a-fA-F]{2}[:-]){5}[0-9a-fA-F]{2}", "MAC", False),
+    (r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}(?::[0-9]{1,5})?", "IP", False),
+    ("(?:[0-9a-fA-F]{0,4}:){2,7}[0-9a-fA-F]{1,4}|::1", "IP", False),
+    ("0x[a-fA-F0-9]+", "HEX", False),
+    ("[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}", "UUID", True),
+    ("[0-9a-fA-F]{32,64}", "HASH", False),
+    (r"[0-9]+(?:\.[0-9]+)?\s*(?:µs|us|ns|ms|s|sec|min|m)", "DURATION", False),
+    (r"[0-9]+(?:\.[0-9]+)?\s*(?:B|KB|MB|GB|TB|bytes|kb|mb|gb)", "BYTES", False),
+    (r"/(?:[a-zA-Z0-9_.-]+/)*[a-zA-Z0-9_.-]+|[a-zA-Z]:(?:\\[a-zA-Z0-9_.-]+)+", "PATH", False),
+    (r"[-+]?[0-9]+\.[0-9]+", "NUM", False),
+    ("[-+]?[0-9]+", "NUM", False),
+)
 
 
 def _masked(column: str) -> str:
@@ -289,18 +323,17 @@ def _masked(column: str) -> str:
     A sign after a letter or digit is kept apart from its number by a mark that is removed at the end.
     """
     sql = f"trim(string_split({column}, chr(10))[1], E' \\t\\r\\n\\f' || chr(11))"
-    for _, group in masks.GROUPS:
-        for pattern, name in group:
-            if pattern == masks.NUMBER_MASKS[0][0]:
-                for _ in range(2):
-                    sql = f"regexp_replace({sql}, '([A-Za-z0-9])([-+])([0-9])', '\\1\\2' || chr(1) || '\\3', 'g')"
-            if pattern.startswith(_LOOKBEHIND):
-                core = pattern[len(_LOOKBEHIND) : -len(_LOOKAHEAD)]
-                bounded = _text(f"(^|{_EDGE})(?:{core})($|{_EDGE})")
-                for _ in range(2):
-                    sql = f"regexp_replace({sql}, {bounded}, '\\1<{name}>\\2', 'g')"
-            else:
-                sql = f"regexp_replace({sql}, {_text(pattern)}, '<{name}>', 'g')"
+    signed = False
+    for pattern, name, free in _MASKS:
+        if name == "NUM" and not signed:
+            signed = True
+            for _ in range(2):
+                sql = f"regexp_replace({sql}, '([A-Za-z0-9])([-+])([0-9])', '\\1\\2' || chr(1) || '\\3', 'g')"
+        if free:
+            sql = f"regexp_replace({sql}, {_text(pattern)}, '<{name}>', 'g')"
+        else:
+            for _ in range(2):
+                sql = f"regexp_replace({sql}, {_text(f'(^|{_EDGE})(?:{pattern})($|{_EDGE})')}, '\\1<{name}>\\2', 'g')"
     return f"replace({sql}, chr(1), '')"
 
 
@@ -310,7 +343,7 @@ def _mined(name: str = "mined", source: str = "clean") -> str:
 
 
 _MINED = "SELECT source_path, line_number, template_text, template_id FROM mined"
-_SECRETS = """parsed AS (SELECT * EXCLUDE (line), line || ' ' || CASE line_number % 10
+_SECRETS = """parsed AS (SELECT * EXCLUDE (line), CASE WHEN line_number % 3 = 0 THEN json_extract_string(line, '$.message') ELSE line END || ' ' || CASE line_number % 10
     WHEN 0 THEN 'token eyJhbGciOiJIUzI1NiJ9.eyJ1aWQi' || user_id || '.c2lnbmF0dXJl'
     WHEN 1 THEN 'Authorization: Bearer tok' || user_id || '.x'
     WHEN 2 THEN 'api_key=k' || user_id
@@ -321,7 +354,7 @@ _SECRETS = """parsed AS (SELECT * EXCLUDE (line), line || ' ' || CASE line_numbe
     WHEN 7 THEN 'mac 00:1a:2b:3c:4d:' || right(four, 2)
     WHEN 8 THEN 'open /var/log/app/' || user_id || '.log'
     ELSE 'card 4111 1111 1111 ' || four END AS message
-  FROM (SELECT *, lpad(right(CAST(user_id AS VARCHAR), 4), 4, '0') AS four FROM lines WHERE line_number % 3 <> 0))"""
+  FROM (SELECT *, lpad(right(CAST(user_id AS VARCHAR), 4), 4, '0') AS four FROM lines))"""
 _add("redact_secrets", _LINES, _SECRETS, _redacted("parsed", "message"), select=_CLEAN)
 _add("mask_secrets", _LINES, _SECRETS, _redacted("parsed", "message"), _mined(), select=_MINED)
 _add(
@@ -458,6 +491,34 @@ _add(
       WHERE buckets / total <= 0.05 AND templates >= 2""",
 )
 
+_PAIR_CLASSES = (
+    _obs(),
+    """seen AS (SELECT environment, time_bucket(INTERVAL 60 MINUTE, event_ts) AS bucket, template_id || '-' || substr(sample_hash, 1, 1) AS t,
+      min(source_id) AS low, max(source_id) AS high FROM obs GROUP BY ALL)""",
+    "totals AS (SELECT environment, count(DISTINCT bucket) AS total FROM seen GROUP BY ALL)",
+    """counted AS (SELECT environment, t, count(*) AS n, string_agg(epoch_us(bucket) || low || high, ';' ORDER BY bucket) AS places
+      FROM seen GROUP BY ALL)""",
+    """classes AS (SELECT *, min(t) OVER (PARTITION BY environment, places) AS class FROM counted JOIN totals USING (environment)
+      WHERE n >= 3 AND 4 * n <= total)""",
+)
+_add(
+    "template_pair_classes", *_PAIR_CLASSES,
+    select="SELECT 'all' AS application, environment, t AS template_id, class AS class_id, n AS buckets, total FROM classes",
+)
+_add(
+    "template_pairs", *_PAIR_CLASSES,
+    """members AS (SELECT environment, class, total, n, count(*) AS templates FROM classes GROUP BY ALL)""",
+    """pairs AS (SELECT environment, a.t AS left_id, b.t AS right_id, count(*) FILTER (WHERE NOT (a.low = a.high AND b.low = b.high AND a.low = b.low)) AS together
+      FROM seen a JOIN seen b USING (environment, bucket)
+      WHERE a.t < b.t OR (a.t = b.t AND EXISTS (FROM members m WHERE m.class = a.t AND m.environment = a.environment AND m.templates > 1))
+      GROUP BY ALL)""",
+    select="""SELECT 'all' AS application, environment, left_id, right_id, x.total, x.n AS left_buckets, y.n AS right_buckets,
+      x.templates AS left_templates, y.templates AS right_templates, together, round(together * x.total / (x.n * y.n), 8) AS lift
+      FROM pairs JOIN members x ON x.class = left_id AND x.environment = pairs.environment
+      JOIN members y ON y.class = right_id AND y.environment = pairs.environment
+      WHERE together >= 3 AND together * x.total >= 4 * x.n * y.n""".replace("environment, left_id", "pairs.environment AS environment, left_id"),
+)
+
 # --- incidents, verdicts, feedback -------------------------------------------------------------------------
 
 _DIGIT = "(strpos('0123456789abcdef', substr(id, 1, 1)) - 1)"
@@ -480,6 +541,13 @@ _LATEST = """latest AS (SELECT * FROM verdicts QUALIFY row_number() OVER (PARTIT
 _CASES = (*_FOUND, _VERDICTS, _FEEDBACK, _STATUSES)
 _INCIDENT = "s.id, s.incident_number, s.application, s.status, s.template_text, s.detected_at, s.current_count"
 _OPEN = "s.status IN ('active', 'analyzing', 'analyzed', 'failed')"
+_add(
+    "status_leased", *_CASES,
+    """held AS (SELECT *, ascii(right(id, 1)) % 4 AS kind,
+      (SELECT max(created_at) FROM verdicts v WHERE v.anomaly_id = statuses.id) AS judged FROM statuses)""",
+    select="""SELECT id, CASE WHEN status = 'dismissed' THEN status WHEN kind = 0 AND (judged IS NULL OR judged < TIMESTAMP '2024-01-30 23:59:00')
+      THEN 'analyzing' ELSE status END AS status, judged IS NULL AND kind <> 0 AS waiting FROM held""",
+)
 _add("status_lifecycle", *_CASES, select="SELECT id, incident_number, status FROM statuses")
 _add(
     "active_incidents", *_CASES,
@@ -618,7 +686,7 @@ _add(
 def _embedded(source: str, key: str, text: str, name: str) -> str:
     """Sparse unit vectors: one row per key and filled dimension."""
     return f"""{name}_counts AS (
-  SELECT {key}, CAST(('0x' || substr(md5(token), 1, 8)) AS BIGINT) % {DIMENSIONS} AS place, count(*) AS n FROM (
+  SELECT {key}, CAST(('0x' || substr(md5(token), 1, 8)) AS BIGINT) % 128 AS place, count(*) AS n FROM (
     SELECT {key}, unnest(regexp_split_to_array(lower({text}), '\\s+')) AS token FROM {source}) WHERE token <> '' GROUP BY ALL),
 {name} AS (SELECT {key}, place, CAST(CAST(n / sqrt(sum(n * n) OVER (PARTITION BY {key})) AS FLOAT) AS DOUBLE) AS w FROM {name}_counts)"""
 
@@ -644,13 +712,14 @@ _add(
     select="""SELECT doc_id, coalesce(dimensions, 0) AS dimensions, round(coalesce(largest, 0.0), 5) AS largest,
       coalesce(largest_at, 0) AS largest_at FROM documents LEFT JOIN best USING (doc_id)""",
 )
-_add(
-    "similar_vectors",
-    "v AS (SELECT vec_id, label, unnest(generate_series(0, len(embedding) - 1)) AS place, CAST(unnest(embedding) AS DOUBLE) AS w FROM embeddings)",
-    "m AS (SELECT label, place, avg(w) AS w FROM v GROUP BY ALL)",
-    _scores("m", "label", "v", "vec_id", "s"), _best("s", 5, 0.2, "best"),
-    select="SELECT query_id, id, score, rank FROM best",
+_VECTOR_PAIRS = (
+    """s AS (SELECT q.vec_id AS query_id, v.vec_id AS id, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])) AS raw
+      FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id WHERE q.vec_id % 20 = 0)""",
+    _best("s", 5, 0.2, "best"),
 )
+_add("similar_vectors", *_VECTOR_PAIRS, select="SELECT query_id, id, score, rank FROM best")
+ORACLES["similar_vectors_pruned"] = ORACLES["similar_vectors"]
+_add("similar_vectors_recall", *_VECTOR_PAIRS, select="SELECT count(*) AS matches, true AS recall_reached, true AS fewer_pairs FROM best")
 _RECORD_COLUMNS = "SELECT id, template_id, anomaly_id, text_content, created_at FROM "
 _add("index_records", *_CASES, _MEMORY, select=_RECORD_COLUMNS + "records_ai")
 _add("index_resolutions", *_CASES, _MEMORY, select="SELECT id, anomaly_id, text_content, created_at FROM records_notes")
@@ -857,10 +926,52 @@ _add(
     select=f"SELECT template_id || ':' || {_ISO} AS id, template_id, bucket_start, bucket_end, count, error_count FROM counts",
 )
 ORACLES["stream_late"] = ORACLES["stream_buckets"]
+_SPANS = "spans AS (SELECT *, date_diff('day', DATE '2024-01-01', CAST(event_ts AS DATE)) // 5 AS span FROM obs)"
+_SENT = "sent AS (FROM spans UNION ALL FROM spans WHERE span = (SELECT min(span) FROM spans))"
+_TOTALS = f"SELECT template_id || ':' || {_ISO} AS id, template_id, bucket_start, bucket_end, count, error_count FROM counts"
+_add("stream_late_repair", _obs(), _SPANS, _SENT, _counts("sent", 60), select=_TOTALS)
+_add("stream_compacted", _obs(), _SPANS, _SENT, _counts("sent", 60), select=_TOTALS + " WHERE bucket_start >= TIMESTAMP '2024-01-21'")
+# The batches: each span, then the first one again; late is what lies a day behind the latest event of earlier batches.
+_DELIVERED = (
+    _SPANS,
+    """batches AS (SELECT span, row_number() OVER (ORDER BY again, span) - 1 AS batch, max(latest) OVER (ORDER BY again, span) AS seen_until,
+      max(latest) OVER (ORDER BY again, span ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - INTERVAL 24 HOUR AS watermark FROM (
+        SELECT span, 0 AS again, max(event_ts) AS latest FROM spans GROUP BY ALL
+        UNION ALL SELECT span, 1, max(event_ts) FROM spans WHERE span = (SELECT min(span) FROM spans) GROUP BY ALL))""",
+    f"""delivered AS (SELECT spans.*, batch, watermark, seen_until, coalesce({_bucket(60)} + INTERVAL 60 MINUTE <= watermark, false) AS late
+      FROM spans JOIN batches USING (span))""",
+)
+_add("stream_late_rows", _obs(), *_DELIVERED, select="SELECT batch, id, template_id, level, event_ts FROM delivered WHERE late")
+_add(
+    "stream_metrics", _obs(), *_DELIVERED,
+    select="""SELECT batch, watermark, seen_until, count(*) AS rows, count(*) FILTER (WHERE late) AS late_rows FROM delivered GROUP BY ALL""",
+)
+_add(
+    "stream_clients", _DENSE,
+    select=f"""SELECT template_id || ':' || {_ISO} AS id, count(DISTINCT client) AS clients, true AS close
+      FROM (SELECT *, {_bucket(60)} AS bucket_start FROM obs) GROUP BY template_id, bucket_start""",
+)
+_add(
+    "telemetry_stream", _obs(), *_DELIVERED,
+    select="""SELECT (SELECT count(*) FROM obs) AS total_lines_read, (SELECT count(*) FROM delivered WHERE late) AS dropped_events,
+      0 AS consumer_lag, (SELECT count(DISTINCT template_id) FROM obs) AS active_anomalies_count,
+      (SELECT count(DISTINCT template_id) FROM obs) AS templates_count, (SELECT count(DISTINCT source_id) FROM obs) AS sources_count,
+      (SELECT bool_or(late) FROM delivered) AS data_loss_warning""",
+)
 _add(
     "stream_anomalies", *_FOUND,
     select="SELECT id, anomaly_type, template_id, bucket_start, current_count, baseline_count, z_score FROM found",
 )
+_add(
+    "stream_incident_numbers", *_FOUND,
+    select="SELECT count(*) AS incidents, count(DISTINCT id) AS numbers, 1 AS lowest, count(*) AS highest FROM found",
+)
+_add(
+    "stream_loss", *_FOUND, *_DELIVERED,
+    f"lost AS (SELECT DISTINCT application, environment, {_bucket(60)} AS bucket_start FROM delivered WHERE late)",
+    select="""SELECT id, anomaly_type, lost.bucket_start IS NOT NULL AS data_loss_warning
+      FROM found LEFT JOIN lost ON lost.bucket_start = found.bucket_start""",
+)
 _add("stream_new_templates", _DENSE, _new(minutes=60), select="SELECT id, template_id, detected_at FROM fresh")
 _add(
     "pipeline_anomalies", *_EVENT_MINED, _OBSERVED,

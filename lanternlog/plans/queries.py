@@ -15,12 +15,13 @@ from lanternlog.functions import masks, redaction
 from lanternlog.operators import buckets as bk
 from lanternlog.operators import clustering, correlation, incidents, kpis, memory, merges, records, retention
 from lanternlog.operators import detection as dt
-from lanternlog.operators import sanitize, templates, triage
+from lanternlog.operators import sanitize, templates, triage, vector_lists
 from lanternlog.plans import jobs, views
 from lanternlog.schemas import ANALYSES, FEEDBACK, OBSERVATIONS, conform
 from lanternlog.session import materialize, new_path
 from lanternlog.sources import catalog, cloudwatch, containers, envelopes, files, kafka
 from lanternlog.streaming import detection as stream_detection
+from lanternlog.streaming import metrics as stream_metrics_of
 from lanternlog.streaming import observations as stream_obs
 from lanternlog.streaming import rollup as stream_rollup
 from lanternlog.streaming import triage as triage_stream
@@ -383,7 +384,7 @@ def mined_across_runs(spark, sf):
         F.zip_with(words(text), words(pattern), lambda a, b: (b == clustering.WILDCARD) | (a == b)), lambda same: same
     )
     masked = masks.with_masks(new, "sanitized_message", "masked").join(
-        F.broadcast(known.select(F.col("id").alias("template_id"), F.col("template_pattern").alias("earlier"))), "template_id", "left"
+        known.select(F.col("id").alias("template_id"), F.col("template_pattern").alias("earlier")), "template_id", "left"
     )
     return masked.groupBy("application", "environment").agg(
         F.count(F.lit(1)).alias("events"),
@@ -472,12 +473,38 @@ def template_combinations(spark, sf):
     return found.withColumn("share", F.round("share", 8))
 
 
+@query
+def template_pairs(spark, sf):
+    """Classes of templates that appear together in hours of the same environment, from different files."""
+    found = correlation.unusual_template_pairs(_by_file(spark, sf), minutes=60, min_together=3, min_lift=4.0)
+    return found.withColumn("lift", F.round("lift", 8))
+
+
+@query
+def template_pair_classes(spark, sf):
+    return correlation.template_classes(_by_file(spark, sf), minutes=60, min_together=3, min_lift=4.0)
+
+
 # --- dashboards --------------------------------------------------------------------------------------------
 
 
 _INCIDENT = ("id", "incident_number", "application", "status", "template_text", "detected_at", "current_count")
 
 
+@query
+def status_leased(spark, sf):
+    """Statuses while triage runs: some incidents are held, some leases have ended, some were followed by a verdict."""
+    found = _incidents(spark, sf)
+    kind = F.ascii(F.right("id", F.lit(1))) % 4
+    now = F.lit(NOW).cast("timestamp")
+    runs = [(0, now - F.expr("INTERVAL 1 MINUTE")), (1, now - F.expr("INTERVAL 10 MINUTES")), (2, F.lit("2023-12-01"))]
+    leases = [triage.take_leases(found.where(kind == k), taken) for k, taken in runs]
+    held = leases[0].unionByName(leases[1]).unionByName(leases[2])
+    current = triage.status_lifecycle(found, _verdicts(found), _feedback(spark, sf, found), held, now)
+    waiting = triage.unfinished(found, _verdicts(found), held, now).select("id", F.lit(True).alias("waiting"))
+    return current.join(waiting, "id", "left").select("id", "status", F.coalesce("waiting", F.lit(False)).alias("waiting"))
+
+
 def _statuses(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     found = _incidents(spark, sf)
     verdicts, actions = _verdicts(found), _feedback(spark, sf, found)
@@ -669,30 +696,46 @@ def embed_documents(spark, sf):
     )
 
 
-def _label_means(vectors: DataFrame) -> DataFrame:
-    """Mean vector of every label, as an example set to search with."""
-    return (
-        vectors.select("label", F.posexplode("embedding").alias("place", "weight"))
-        .groupBy("label", "place")
-        .agg(F.avg("weight").alias("weight"))
-        .groupBy("label")
-        .agg(F.array_sort(F.collect_list(F.struct("place", "weight"))).alias("_v"))
-        .select(F.col("label").alias("query_id"), F.transform("_v", lambda p: p["weight"]).alias("embedding"))
-    )
+def _vector_queries(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Every row whose id is divisible by 20, and all rows."""
+    corpus = views.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    return corpus.where(F.col("id") % 20 == 0).withColumnRenamed("id", "query_id"), corpus
 
 
 @query
 def similar_vectors(spark, sf):
-    vectors = views.table(spark, sf, "embeddings")
-    corpus = vectors.select(F.col("vec_id").alias("id"), "embedding")
-    return memory.search_similar(_label_means(vectors), corpus)
+    asked, corpus = _vector_queries(spark, sf)
+    return memory.search_similar(asked, corpus, self_match=False)
+
+
+@query
+def similar_vectors_pruned(spark, sf):
+    """The same through inverted lists, leaving out those that cannot hold a match."""
+    asked, corpus = _vector_queries(spark, sf)
+    return vector_lists.search_exact(asked, vector_lists.build_lists(corpus), self_match=False)
 
 
 @query
 def similar_vectors_lsh(spark, sf):
-    vectors = views.table(spark, sf, "embeddings")
-    corpus = vectors.select(F.col("vec_id").alias("id"), "embedding")
-    return memory.search_similar_approx(_label_means(vectors), corpus)
+    """The approximate search, by lists whose probes an audit has set."""
+    asked, corpus = _vector_queries(spark, sf)
+    lists = vector_lists.audited(asked, vector_lists.build_lists(corpus), self_match=False)
+    return vector_lists.search_lists(asked, lists, self_match=False)
+
+
+@query
+def similar_vectors_recall(spark, sf):
+    """Whether the approximate search finds nine tenths of the exact matches of all queries, and compares fewer pairs."""
+    asked, corpus = _vector_queries(spark, sf)
+    lists = vector_lists.audited(asked, vector_lists.build_lists(corpus), self_match=False)
+    exact = memory.search_similar(asked, corpus, self_match=False).select("query_id", "id", F.lit(1).alias("exact"))
+    found = vector_lists.search_lists(asked, lists, self_match=False).select("query_id", "id", F.lit(1).alias("found"))
+    both = exact.join(found, ["query_id", "id"], "left")
+    every = asked.count() * corpus.count()
+    return both.agg(
+        F.sum("exact").alias("matches"), (F.sum("found") >= 0.9 * F.sum("exact")).alias("recall_reached"),
+        F.lit(vector_lists.compared_pairs(asked, lists) < every).alias("fewer_pairs"),
+    )
 
 
 def _memory(found: DataFrame, verdicts: DataFrame, actions: DataFrame) -> DataFrame:
@@ -1024,19 +1067,28 @@ def _state_partitions(spark: SparkSession):
         spark.conf.set(name, before)
 
 
-def event_stream(spark: SparkSession, sf: str, scoped: bool = True, late: bool = False) -> DataFrame:
-    """The events as a stream of files, one per five days, in order of time; ``late`` sends the first ones again at the end."""
+def event_files(spark: SparkSession, sf: str, scoped: bool = True, late: bool = False) -> tuple[str, T.StructType, int]:
+    """The events in files of five days each, written in order of time by all tasks; ``late`` sends the first days again at the end.
+
+    Returns the folder, the schema and the number of files of each span, so that a micro-batch is one span.
+    """
     path = new_path(spark, "events")
     seen = views.event_observations(spark, sf, scoped)
-    parts = seen.withColumn("_span", F.floor(F.datediff("event_ts", F.lit("2024-01-01")) / 5))
-    schema = seen.schema
-    spans = [row[0] for row in parts.select("_span").distinct().orderBy("_span").collect()]
-    for span in spans:
-        # Separate writes, so that the file source sees the spans in order of time.
-        parts.where(F.col("_span") == span).drop("_span").coalesce(1).write.mode("append").parquet(path)
-    if late:
-        parts.where(F.col("_span") == spans[0]).drop("_span").coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    parts = materialize(seen.withColumn("_span", F.floor(F.datediff("event_ts", F.lit("2024-01-01")) / 5)))
+    sizes = {row["_span"]: row["count"] for row in parts.groupBy("_span").count().collect()}
+    wanted = max(spark.sparkContext.defaultParallelism, -(-max(sizes.values()) // 250_000))
+    files_each = min(wanted, *sizes.values())
+    spans = sorted(sizes)
+    for span in [*spans, *spans[:1]] if late else spans:
+        # Separate writes, so that the file source sees the spans in order of time. Rows are dealt out one by one: no file is empty.
+        part = parts.where(F.col("_span") == span).drop("_span").coalesce(files_each).repartition(files_each)
+        part.write.mode("append").parquet(path)
+    return path, seen.schema, files_each
+
+
+def event_stream(spark: SparkSession, files: tuple[str, T.StructType, int]) -> DataFrame:
+    path, schema, files_each = files
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_each).parquet(path)
 
 
 @query
@@ -1069,45 +1121,132 @@ def _streamed_observations(spark: SparkSession, sf: str, repeated: bool = False)
 
 @query
 def stream_buckets(spark, sf):
-    return _streamed_buckets(spark, sf)
+    return stream_rollup.bucket_totals(spark, _streamed_buckets(spark, sf)).select(*_BUCKET)
 
 
 @query
 def stream_late(spark, sf):
     """The first days are delivered once more after the last one: too late to be counted."""
-    return _streamed_buckets(spark, sf, late=True)
+    return stream_rollup.bucket_totals(spark, _streamed_buckets(spark, sf, late=True)).select(*_BUCKET)
 
 
-def _streamed_buckets(spark: SparkSession, sf: str, late: bool = False) -> DataFrame:
-    out = new_path(spark, "buckets")
-    totals = stream_rollup.stream_buckets(event_stream(spark, sf, late=late), 60)
-    with _state_partitions(spark):
-        run = stream_rollup.start_rollup(totals, out, new_path(spark, "checkpoint"), available_now=True)
-        run.awaitTermination()
-    return spark.read.parquet(out).select("id", "template_id", "bucket_start", "bucket_end", "count", "error_count")
+@query
+def stream_late_repair(spark, sf):
+    """The same with late events folded into their old buckets."""
+    return stream_rollup.bucket_totals(spark, _streamed_buckets(spark, sf, late=True), late=True).select(*_BUCKET)
 
 
-def _streamed_anomalies(spark: SparkSession, sf: str) -> tuple[DataFrame, str]:
-    folder = new_path(spark, "detection")
-    run = stream_detection.start_detection(
-        event_stream(spark, sf, scoped=False), folder, new_path(spark, "checkpoint"), HOURLY, available_now=True
+@query
+def stream_late_rows(spark, sf):
+    """The observations that came too late, as they were kept."""
+    late = spark.read.parquet(f"{_streamed_buckets(spark, sf, late=True)}/late")
+    return late.select("batch", "id", "template_id", "level", "event_ts")
+
+
+@query
+def stream_metrics(spark, sf):
+    """What each micro-batch met."""
+    return stream_rollup.batch_metrics(spark, _streamed_buckets(spark, sf, late=True))
+
+
+@query
+def stream_compacted(spark, sf):
+    """Totals after the deltas were folded into days, the last batch was delivered again, and old days were dropped."""
+    folder = _streamed_buckets(spark, sf, late=True)
+    stream_rollup.compact(spark, folder)
+    path = new_path(spark, "again")
+    spark.read.parquet(f"{folder}/late").drop("batch").write.parquet(path)
+    last = stream_rollup.batch_metrics(spark, folder).agg(F.max("batch")).first()[0]
+    stream_rollup.bucket_batch(spark.read.parquet(path), last, folder, 60)
+    stream_rollup.compact(spark, folder, NOW, 240)
+    return stream_rollup.bucket_totals(spark, folder, late=True).select(*_BUCKET)
+
+
+@query
+def stream_clients(spark, sf):
+    """Distinct clients per bucket, and whether the estimate of the merged sketches is within five percent, or one, of them."""
+    totals = stream_rollup.bucket_totals(spark, _streamed_buckets(spark, sf, scoped=False))
+    exact = bk.bucket_client_cardinality(views.event_observations(spark, sf, False), 60)
+    both = totals.withColumn("estimate", stream_rollup.client_estimate()).drop("clients").join(
+        exact, ["template_id", "application", "environment", "bucket_start"]
     )
-    run.awaitTermination()
-    return stream_detection.found_anomalies(spark, folder), folder
+    off = F.abs(F.col("estimate") - F.col("clients"))
+    return both.select("id", "clients", (off <= F.greatest(F.lit(1.0), 0.05 * F.col("clients"))).alias("close"))
+
+
+_BUCKET = ("id", "template_id", "bucket_start", "bucket_end", "count", "error_count")
+
+
+def _streamed_buckets(spark: SparkSession, sf: str, late: bool = False, scoped: bool = True) -> str:
+    folder = new_path(spark, "buckets")
+    stream = event_stream(spark, event_files(spark, sf, scoped, late))
+    stream_rollup.start_rollup(stream, folder, new_path(spark, "checkpoint"), 60, available_now=True).awaitTermination()
+    return folder
+
+
+def _streamed_anomalies(spark: SparkSession, sf: str) -> DataFrame:
+    folder = new_path(spark, "detection")
+    files = event_files(spark, sf, scoped=False)
+    path, schema, _ = files
+    with _state_partitions(spark):
+        run = stream_detection.start_detection(
+            event_stream(spark, files), lambda: spark.read.schema(schema).parquet(path), folder, new_path(spark, "checkpoint"),
+            HOURLY, available_now=True,
+        )
+        run.awaitTermination()
+    return stream_detection.found_anomalies(spark, folder)
 
 
 @query
 def stream_anomalies(spark, sf):
-    found, _ = _streamed_anomalies(spark, sf)
+    found = _streamed_anomalies(spark, sf)
     return found.select("id", "anomaly_type", "template_id", "bucket_start", "current_count", "baseline_count", "z_score")
 
 
 @query
 def stream_new_templates(spark, sf):
-    found, _ = _streamed_anomalies(spark, sf)
+    found = _streamed_anomalies(spark, sf)
     return found.where(F.col("anomaly_type") == "new_template").select("id", "template_id", "detected_at")
 
 
+@query
+def stream_incident_numbers(spark, sf):
+    """How many incidents there are, and the first and last of their numbers: no gap and no repeat across micro-batches."""
+    found = _streamed_anomalies(spark, sf)
+    number = F.substring("incident_number", 4, 7).cast("bigint")
+    return found.agg(
+        F.count(F.lit(1)).alias("incidents"), F.count_distinct(number).alias("numbers"), F.min(number).alias("lowest"),
+        F.max(number).alias("highest"),
+    )
+
+
+@query
+def stream_loss(spark, sf):
+    """Anomalies that a stream found, marked where late events were lost from their bucket."""
+    lost = stream_rollup.ledger_rows(spark, _streamed_buckets(spark, sf, late=True, scoped=False))
+    return stream_rollup.with_loss(_streamed_anomalies(spark, sf), lost).select("id", "anomaly_type", "data_loss_warning")
+
+
+@query
+def telemetry_stream(spark, sf):
+    """Telemetry of a streamed run: events that came too late, and what the query was behind at its last report."""
+    folder = new_path(spark, "buckets")
+    stream = event_stream(spark, event_files(spark, sf, late=True))
+    run = stream_rollup.start_rollup(stream, folder, new_path(spark, "checkpoint"), 60, available_now=True)
+    run.awaitTermination()
+    for report in stream_metrics_of.query_metrics(run):
+        stream_metrics_of.store_progress(spark, folder, str(run.id), report)
+    seen = views.event_observations(spark, sf)
+    found = dt.detect_new_templates(seen)
+    rows = kpis.telemetry_kpis(
+        seen, found, templates.template_catalog(seen), seen.select("source_id").distinct(),
+        metrics=stream_rollup.batch_metrics(spark, folder), progress=stream_metrics_of.progress_table(spark, folder),
+    )
+    return rows.select(
+        "total_lines_read", "dropped_events", "consumer_lag", "active_anomalies_count", "templates_count", "sources_count", "data_loss_warning"
+    )
+
+
 @query
 def stream_triage(spark, sf):
     path, folder = new_path(spark, "anomalies"), new_path(spark, "triage")

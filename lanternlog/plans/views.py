@@ -128,8 +128,8 @@ def multiline_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def secret_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The text lines of ``event_lines``, each followed by a value that must be redacted or masked, one of ten kinds."""
-    user = F.regexp_extract("line", "user_id=([0-9]+) ", 1)
+    """``event_lines``, each with a value that must be redacted or masked at the end of its message, one of ten kinds."""
+    user = F.regexp_extract("line", r'(?:user_id=|"client_id": ")([0-9]+)', 1)
     four = F.lpad(F.right(user, F.lit(4)), 4, "0")
     values = [
         F.concat(F.lit("token eyJhbGciOiJIUzI1NiJ9.eyJ1aWQi"), user, F.lit(".c2lnbmF0dXJl")),
@@ -143,9 +143,11 @@ def secret_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("open /var/log/app/"), user, F.lit(".log")),
         F.concat(F.lit("card 4111 1111 1111 "), four),
     ]
-    lines = event_lines(spark, sf_dir).where(F.col("line_number") % 3 != 0)
+    lines = event_lines(spark, sf_dir)
     kind = (F.col("line_number") % len(values)).cast("int")
-    return lines.withColumn("line", F.concat("line", F.lit(" "), F.element_at(F.array(*values), kind + 1)))
+    value = F.concat(F.lit(" "), F.element_at(F.array(*values), kind + 1))
+    inside = F.concat(F.expr("left(line, length(line) - 2)"), value, F.lit('"}'))
+    return lines.withColumn("line", F.when(F.col("line_number") % 3 == 0, inside).otherwise(F.concat("line", value)))
 
 
 def configured_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,6 +21,7 @@ _TYPES = {
     "bigint": T.LongType(),
     "double": T.DoubleType(),
     "boolean": T.BooleanType(),
+    "binary": T.BinaryType(),
     "timestamp": T.TimestampType(),
     "strings": T.ArrayType(T.StringType()),
     "floats": T.ArrayType(T.FloatType()),
@@ -110,6 +111,15 @@ RETENTION_RUNS = _schema(
 OBSERVATION_ORDER = ("event_ts", "source_path", "line_number", "id")
 
 
+# A stream's tables: sums per bucket with a sketch of clients, what each micro-batch met, and leases of triage runs.
+BUCKET_LEDGER = _schema(
+    "template_id string, application string, environment string, bucket_start timestamp, bucket_end timestamp, late boolean,"
+    "count bigint, error_count bigint, clients binary"
+)
+BATCH_METRICS = _schema("batch bigint, watermark timestamp, seen_until timestamp, rows bigint, late_rows bigint")
+LEASES = _schema("anomaly_id string, taken_at timestamp, lease_until timestamp")
+
+
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     """Select the schema's columns in contract order; columns the input lacks become typed nulls."""
     have = set(df.columns)

@@ -30,24 +30,33 @@ def _line_columns() -> list[Column]:
     ]
 
 
-def number_lines(lines: DataFrame) -> DataFrame:
-    """Number the lines of a text scan (``source_path``, ``block_start``, ``line``) without sorting any file.
+def split_index(lines: DataFrame) -> DataFrame:
+    """One row per split of a text scan: file, block, lines, row id of the first, and lines of the file before it.
 
-    Each split counts its lines; the counts of the splits before give a split its first number. The table of
-    splits has one row per block of a file and goes to all tasks if it is small, so that no line is shuffled. ``lines``
-    must be in the order and partitions of the scan.
+    Stored once; it numbers the lines and lists the files, so the text is read once more and no further time.
     """
-    tagged = lines.withColumn("_row", F.monotonically_increasing_id())
     before = W.partitionBy("source_path").orderBy("block_start").rowsBetween(W.unboundedPreceding, -1)
-    blocks = (
-        tagged.groupBy("source_path", "block_start")
+    index = (
+        lines.withColumn("_row", F.monotonically_increasing_id())
+        .groupBy("source_path", "block_start")
         .agg(F.count(F.lit(1)).alias("_lines"), F.min("_row").alias("_first"))
         .withColumn("_before", F.coalesce(F.sum("_lines").over(before), F.lit(0)))
     )
+    return index if lines.isStreaming else materialize(index)
+
+
+def number_lines(lines: DataFrame, index: DataFrame | None = None) -> DataFrame:
+    """Number the lines of a text scan (``source_path``, ``block_start``, ``line``) without sorting any file.
+
+    Each split counts its lines; the counts of the splits before give a split its first number. The table of
+    splits has one row per block of a file and goes to all tasks if it is small, so that no line is shuffled. ``lines``
+    must be in the order and partitions of the scan, and ``index`` its ``split_index``.
+    """
+    blocks = split_index(lines) if index is None else index
     if not lines.isStreaming:
-        blocks = materialize(blocks)
         blocks = F.broadcast(blocks) if small_table(blocks) else blocks
     number = F.col("_before") + F.col("_row") - F.col("_first") + 1
+    tagged = lines.withColumn("_row", F.monotonically_increasing_id())
     return tagged.join(blocks, ["source_path", "block_start"]).select(
         "source_path", number.alias("line_number"), "line"
     )
@@ -129,8 +138,9 @@ def read_source_lines(spark: SparkSession, sources: DataFrame, ingest_ts: str) -
         ]
         owners = spark.createDataFrame(rows, SOURCE_FILES)
         owners = F.broadcast(owners) if small_table(owners) else owners
-        lines = read_log_files(spark, paths)
-        scans.append(_owned(lines, owners))
+        text = spark.read.text(paths).select(*_line_columns())
+        index = split_index(text)
+        scans.append(_owned(number_lines(text, index), index.select("source_path").distinct(), owners))
     if not scans:
         return conform(spark.createDataFrame([], RAW_LINES), SETTLED_LINES)
     union = scans[0]
@@ -139,15 +149,14 @@ def read_source_lines(spark: SparkSession, sources: DataFrame, ingest_ts: str) -
     return conform(union.withColumn("ingest_ts", F.lit(ingest_ts).cast("timestamp")), SETTLED_LINES)
 
 
-def _owned(lines: DataFrame, owners: DataFrame) -> DataFrame:
-    """Lines with the columns of the sources that their file belongs to."""
+def _owned(lines: DataFrame, files: DataFrame, owners: DataFrame) -> DataFrame:
+    """Lines with the columns of the sources that their file belongs to; ``files`` are the paths that occur."""
     plain = F.regexp_replace("source_path", "^file:/+", "file:/")
     file = F.url_decode(F.replace(plain, F.lit("+"), F.lit("%2B")))
     names = F.split("_file", "/")
     # The file and all its folders: a source names one of them, or one stands before its first wildcard.
     folders = F.transform(F.sequence(F.lit(1), F.size(names)), lambda n: F.array_join(F.slice(names, 1, n), "/"))
-    files = lines.select("source_path").distinct().withColumn("_file", file)
-    reached = files.select("source_path", "_file", F.explode(folders).alias("_root")).join(owners, "_root")
+    reached = files.withColumn("_file", file).select("source_path", "_file", F.explode(folders).alias("_root")).join(owners, "_root")
     # Wildcards and folders reach the files named, or those directly inside a folder named.
     folder = F.regexp_replace("_file", "/[^/]*$", "")
     whole = F.concat(F.lit("^"), F.col("_pattern"), F.lit("$"))

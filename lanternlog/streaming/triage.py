@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from datetime import UTC, datetime
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from lanternlog.operators import memory, triage
 from lanternlog.operators.detection import cap_batches
-from lanternlog.schemas import ANALYSES, EMBEDDINGS, conform
+from lanternlog.schemas import ANALYSES, EMBEDDINGS, LEASES, conform
 from lanternlog.sources.tables import read_table
 
 
@@ -34,6 +36,8 @@ def triage_batch(batch: DataFrame, batch_id: int, folder: str, size: int = 10, s
     spark = batch.sparkSession
     capped = cap_batches(batch, size, seconds)
     accepted = capped.where("in_batch").select(*batch.columns)
+    # Written first: until the verdicts are there, or the lease ends, the incidents are being analyzed.
+    triage.take_leases(accepted, F.lit(datetime.now(UTC))).write.mode("overwrite").parquet(f"{folder}/leases/batch={batch_id}")
     verdicts = triage.heuristic_triage(accepted)
     known = recalled(spark, folder, batch_id)
     if known.head(1):
@@ -46,6 +50,18 @@ def triage_batch(batch: DataFrame, batch_id: int, folder: str, size: int = 10, s
     status.write.mode("overwrite").parquet(f"{folder}/statuses/batch={batch_id}")
 
 
+def current_statuses(spark: SparkSession, folder: str, anomalies: DataFrame, feedback: DataFrame, now: datetime) -> DataFrame:
+    """Anomalies with their status at ``now``, from the leases and verdicts of the stream; those over the cap are failed."""
+    leases = conform(read_table(spark, f"{folder}/leases", LEASES), LEASES)
+    verdicts = conform(read_table(spark, f"{folder}/analyses", ANALYSES), ANALYSES)
+    over = read_table(spark, f"{folder}/statuses")
+    if over is not None:
+        failed = over.where(F.col("status") == "failed").select("id", F.lit(True).alias("_over")).distinct()
+        status = F.when(F.col("_over"), "failed").otherwise(F.col("status"))
+        anomalies = anomalies.join(failed, "id", "left").withColumn("status", status).drop("_over")
+    return triage.status_lifecycle(anomalies, verdicts, feedback, leases, F.lit(now))
+
+
 def start_triage(
     anomalies: DataFrame, folder: str, checkpoint: str, seconds: int = 60, available_now: bool = False
 ) -> StreamingQuery:

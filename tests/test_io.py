@@ -5,17 +5,19 @@ from __future__ import annotations
 import base64
 import gzip
 import json
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
+from lanternlog.operators import buckets as bk
 from lanternlog.operators import detection as dt
 from lanternlog.plans import views
 from lanternlog.schemas import ANOMALIES, OBSERVATIONS, conform
 from lanternlog.session import new_path
 from lanternlog.sources import catalog, cloudwatch, containers, envelopes, files, kafka
 from lanternlog.streaming import detection as stream_detection
-from lanternlog.streaming import metrics, observations, rollup
+from lanternlog.streaming import ledger, metrics, observations, rollup
 
 SF = "/root/testdata/sf0.001"
 
@@ -98,36 +100,142 @@ def test_messages_round_trip(spark):
     assert back.schema == ANOMALIES and back.count() == found.count() and bad.count() == 2
 
 
+def test_sources_scan_their_text_once_besides_the_index(spark, tmp_path):
+    for name in ("a", "b"):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "x.log").write_text("one\ntwo\n")
+    rows = [(n, n, "prod", n, f"{tmp_path}/{n}/*.log", None, None, None) for n in ("a", "b")]
+    sources = spark.createDataFrame(
+        rows, "id string, application string, environment string, source_name string, path string, format string, multiline_pattern string, multiline_negate boolean"
+    )
+    lines = files.read_source_lines(spark, sources, "2024-01-31 00:00:00")
+    plan = lines._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan text") == 1
+    assert sorted((r.source_id, r.line_number, r.line) for r in lines.collect()) == [(s, i + 1, t) for s in "ab" for i, t in enumerate(("one", "two"))]
+
+
 def test_containers(spark):
     df = spark.createDataFrame([("2024-01-01T00:00:00.5Z stdout F hello world",), ("junk",)], "line string")
     rows = containers.parse_container_lines(df, "cri").collect()
     assert (rows[0].log, rows[0].stream, rows[0].event_ts is not None) == ("hello world", "stdout", True) and not rows[1].matched
 
 
-def test_streams_equal_batch_and_repeat_safely(spark):
-    seen = views.event_observations(spark, SF, scoped=False)
-    path = new_path(spark, "events")
-    day = F.floor(F.datediff("event_ts", F.lit("2024-01-01")) / 16)
+def spans(spark, seen, path, days=16, files=3):
+    span = F.floor(F.datediff("event_ts", F.lit("2024-01-01")) / days)
     for part in range(2):
-        seen.where(day == part).coalesce(1).write.mode("append").parquet(path)
+        seen.where(span == part).coalesce(files).repartition(files).write.mode("append").parquet(path)
+    return lambda: spark.readStream.schema(seen.schema).option("maxFilesPerTrigger", files).parquet(path)
+
+
+def test_detection_stream_equals_batch(spark):
+    seen = views.event_observations(spark, SF, scoped=False)
+    path, folder = new_path(spark, "events"), new_path(spark, "detection")
+    read = spans(spark, seen, path)
     limits = dt.Thresholds(min_count=2, z_score=1.0, bucket_minutes=60)
-    read = lambda: spark.readStream.schema(seen.schema).option("maxFilesPerTrigger", 1).parquet(path)
-    folder = new_path(spark, "detection")
-    run = stream_detection.start_detection(read(), folder, new_path(spark, "cp"), limits, available_now=True)
+    table = lambda: spark.read.schema(seen.schema).parquet(path)
+    run = stream_detection.start_detection(read(), table, folder, new_path(spark, "cp"), limits, available_now=True)
     run.awaitTermination()
     assert len(metrics.query_metrics(run)) >= 2
     key = lambda df: {(r.id, r.current_count, r.z_score) for r in df.collect()}
     want = key(dt.union_anomalies(dt.detect_new_templates(seen, limits=limits), dt.detect_spikes(seen, limits=limits)))
-    assert key(stream_detection.found_anomalies(spark, folder)) == want and len(want) > 5
-    stream_detection.spike_batch(seen.where(day == 1), 1, folder, limits)
-    assert key(stream_detection.found_anomalies(spark, folder)) == want
-
-    out = new_path(spark, "buckets")
-    rollup.start_rollup(rollup.stream_buckets(read(), 60), out, new_path(spark, "cp"), available_now=True).awaitTermination()
-    stored = spark.read.parquet(out)
-    assert stored.agg(F.sum("count")).first()[0] == seen.count()
-    rollup.upsert_totals(stored.drop("day"), out)
-    assert spark.read.parquet(out).agg(F.sum("count")).first()[0] == seen.count()
+    found = stream_detection.found_anomalies(spark, folder)
+    assert key(found) == want and len(want) > 5
+    numbers = sorted(r.incident_number for r in found.collect())
+    assert numbers == [f"INC{i + 1:07d}" for i in range(len(want))]
+    # The state holds one row per template, however many events and batches there were.
+    rows = [sum(s["numRowsTotal"] for s in p["stateOperators"]) for p in map(lambda p: json.loads(p.json), run.recentProgress)]
+    assert rows and max(rows) <= 4 * seen.select("template_id").distinct().count()
+
+
+def test_known_templates_and_expiry_of_the_state(spark):
+    def rows(day, texts):
+        return [(f"{day}-{i}", "s", "app", "prod", t, t, f"{t} {i}", "INFO", datetime(2024, 1, day, 1, i), "/f", i, f"h{day}{i}", "c") for i, t in enumerate(texts)]
+
+    names = "id, source_id, application, environment, template_id, template_text, sanitized_message, level, event_ts, source_path, line_number, sample_hash, client_id_hash"
+    types = {"event_ts": "timestamp", "line_number": "bigint"}
+    schema = ", ".join(f"{n} {types.get(n, 'string')}" for n in names.split(", "))
+    path, folder = new_path(spark, "events"), new_path(spark, "detection")
+    for day, texts in ((1, ["a", "b"]), (2, ["a"]), (20, ["c"]), (21, ["c"]), (22, ["b", "k"])):
+        spark.createDataFrame(rows(day, texts), schema).coalesce(1).write.mode("append").parquet(path)
+    known = spark.createDataFrame(
+        [("k", "app", "prod", datetime(2024, 1, 1))], "id string, application string, environment string, last_seen timestamp"
+    )
+    full = spark.read.parquet(path).schema
+    stream = spark.readStream.schema(full).option("maxFilesPerTrigger", 1).parquet(path)
+    table = lambda: spark.read.schema(full).parquet(path)
+    run = stream_detection.start_detection(
+        stream, table, folder, new_path(spark, "cp"), known=known, keep_hours=24 * 30, available_now=True
+    )
+    run.awaitTermination()
+    assert sorted(r.template_id for r in stream_detection.found_anomalies(spark, folder).collect()) == ["a", "b", "c"]
+    again = new_path(spark, "detection")
+    stream = spark.readStream.schema(full).option("maxFilesPerTrigger", 1).parquet(path)
+    run = stream_detection.start_detection(stream, table, again, new_path(spark, "cp"), keep_hours=24 * 5, available_now=True)
+    run.awaitTermination()
+    # Forgotten after five days without an event, b is new once more.
+    days = sorted((r.template_id, r.detected_at.day) for r in spark.read.parquet(f"{again}/anomalies").collect())
+    assert days == [("a", 1), ("b", 1), ("b", 22), ("c", 20), ("k", 22)]
+
+
+def test_rollup_counts_late_rows_once_and_compacts(spark):
+    seen = views.event_observations(spark, SF)
+    path, folder = new_path(spark, "events"), new_path(spark, "buckets")
+    read = spans(spark, seen, path)
+    rollup.start_rollup(read(), folder, new_path(spark, "cp"), 60, available_now=True).awaitTermination()
+    rows = lambda df: {(r.id, r["count"], r.error_count) for r in df.collect()}
+    want = {(r.template_id, r.bucket_start, r["count"]) for r in bk.bucket_counts(seen, 60).collect()}
+    first = rollup.bucket_totals(spark, folder)
+    assert {(r.template_id, r.bucket_start, r["count"]) for r in first.collect()} == want
+    whole = rows(first)
+    # Late rows of a third batch, delivered twice.
+    late = seen.where(F.to_date("event_ts") <= "2024-01-03")
+    for _ in range(2):
+        rollup.bucket_batch(late, 2, folder, 60)
+    metric = {r.batch: (r.rows, r.late_rows) for r in rollup.batch_metrics(spark, folder).collect()}
+    assert metric[2] == (late.count(),) * 2 and metric[0][1] == metric[1][1] == 0
+    assert sum(r for r, _ in metric.values()) == seen.count() + late.count()
+    assert rows(rollup.bucket_totals(spark, folder)) == whole
+    repaired = rows(rollup.bucket_totals(spark, folder, late=True))
+    assert sum(n for _, n, _ in repaired) == seen.count() + late.count()
+    assert spark.read.parquet(f"{folder}/late").count() == late.count()
+    # A reader that began before a compaction sees its version; afterwards the sums are the same and the folders bounded.
+    before = rollup.bucket_totals(spark, folder, late=True)
+    for _ in range(2):
+        rollup.compact(spark, folder)
+    assert rows(before) == repaired == rows(rollup.bucket_totals(spark, folder, late=True))
+    rollup.bucket_batch(late, 2, folder, 60)
+    assert rows(rollup.bucket_totals(spark, folder, late=True)) == repaired
+    for batch in (3, 4, 5):
+        rollup.bucket_batch(late.limit(5), batch, folder, 60)
+        rollup.compact(spark, folder)
+    files = ledger.Files(spark, f"{folder}/buckets")
+    assert len(files.names("deltas")) <= 3 and len(files.names("manifests")) == ledger.KEPT_VERSIONS
+    assert not [n for n in files.names(".") if n.startswith("writing-")]
+    # Expired days go, without a trace in the sums.
+    kept = rollup.compact(spark, folder, datetime(2024, 1, 31), 240)
+    assert min(kept["buckets"]) == "2024-01-21"
+    left = {(r.bucket_start, r["count"]) for r in rollup.bucket_totals(spark, folder).collect()}
+    assert left == {(start, n) for _, start, n in want if start >= datetime(2024, 1, 21)}
+    assert not any(s.startswith("batch=") for s in ledger.Files(spark, f"{folder}/late").names("."))
+
+
+def test_manifest_of_a_version_is_written_once(spark):
+    files = ledger.Files(spark, new_path(spark, "ledger"))
+    files.put("manifests/000000000001.json", {"version": 1, "through": 0, "days": {}})
+    with pytest.raises(FileExistsError):
+        files.put("manifests/000000000001.json", {"version": 1, "through": 9, "days": {}})
+    assert ledger.newest(files)["through"] == 0
+
+
+def test_progress_table(spark):
+    folder = new_path(spark, "progress")
+    assert metrics.progress_table(spark, folder).count() == 0
+    report = {"batchId": 4, "timestamp": "2024-01-01T00:00:00Z", "numInputRows": 9, "sources": [{"metrics": {"maxOffsetsBehindLatest": "7"}}],
+              "stateOperators": [{"numRowsDroppedByWatermark": 2}]}
+    for _ in range(2):
+        metrics.store_progress(spark, folder, "q", metrics.progress_metrics(report))
+    row = metrics.progress_table(spark, folder).collect()
+    assert [(r.query, r.batch, r.rows, r.consumer_lag, r.dropped_events, r.data_loss_warning) for r in row] == [("q", 4, 9, 7, 2, True)]
 
 
 def test_file_stream(spark, tmp_path):

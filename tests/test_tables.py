@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lanternlog.operators import buckets as bk
-from lanternlog.operators import clustering, incidents, memory, merges, retention
+from lanternlog.operators import clustering, incidents, memory, merges, retention, triage, vector_lists
 from lanternlog.operators import detection as dt
 from lanternlog.operators.ranking import exact_rank, first_rows, lookup_join
 from lanternlog.schemas import OBSERVATION_ORDER, OBSERVATIONS
@@ -110,7 +110,7 @@ def test_cap_and_related(spark):
     assert all(len(r.related) == 10 and r.id not in [o.id for o in r.related] for r in related)
 
 
-def test_search_paths_agree_with_numpy(spark):
+def test_search_paths_agree_with_numpy(spark, monkeypatch):
     rng = np.random.default_rng(7)
     vectors = rng.normal(size=(300, 8)).astype(np.float32)
     vectors[5] = 0
@@ -124,11 +124,47 @@ def test_search_paths_agree_with_numpy(spark):
     for q in range(300):
         order = sorted((i for i in range(300) if i != q and scores[q, i] >= 0.3), key=lambda i: (-round(scores[q, i], 4), i))
         want |= {(q, i, n + 1) for n, i in enumerate(order[:5])}
-    for block, shard in ((4096, 65536), (64, 50)):
-        got = memory.search_similar(queries, corpus, 5, 0.3, self_match=False, query_block=block, corpus_block=shard).collect()
-        assert {(r.query_id, r.id, r["rank"]) for r in got} == want
-    near = memory.search_similar_approx(queries, corpus.where("id < 300"), 5, 0.3).collect()
-    assert near and all(abs(r.score - scores[r.query_id, r.id]) < 1e-4 for r in near)
+    key = lambda df: {(r.query_id, r.id, r["rank"]) for r in df.collect()}
+    assert key(memory.search_similar(queries, corpus, 5, 0.3, self_match=False)) == want
+    for block in (vector_lists.LIST_BLOCK, 20):
+        monkeypatch.setattr(vector_lists, "LIST_BLOCK", block)
+        monkeypatch.setattr(vector_lists, "QUERY_BLOCK", block)
+        assert key(memory.search_similar(queries, corpus, 5, 0.3, self_match=False, query_block=64)) == want
+    lists = vector_lists.audited(queries, vector_lists.build_lists(corpus), 5, 0.3, self_match=False, recall=0.9)
+    near = vector_lists.search_lists(queries, lists, 5, 0.3, self_match=False).collect()
+    assert len({(r.query_id, r.id) for r in near} & {(q, i) for q, i, _ in want}) >= 0.8 * len(want)
+    assert all(abs(r.score - scores[r.query_id, r.id]) < 1e-4 for r in near)
+    assert sum(n.sum() for n in lists.sizes.values()) == 301
+    assert memory.search_similar_approx(queries, corpus.where("id < 0")).count() == 0
+
+
+def test_pruned_search_visits_few_lists_of_clustered_vectors(spark):
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(20, 16))
+    vectors = (centres[np.arange(1000) % 20] + 0.05 * rng.normal(size=(1000, 16))).astype(np.float32)
+    corpus = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "id long, embedding array<float>")
+    queries = corpus.where("id % 20 = 0").withColumnRenamed("id", "query_id")
+    lists = vector_lists.audited(queries, vector_lists.build_lists(corpus, 20), 5, 0.5)
+    assert vector_lists.compared_pairs(queries, lists) < 50 * 1000 / 4
+    key = lambda df: {(r.query_id, r.id, r.score) for r in df.collect()}
+    assert key(vector_lists.search_exact(queries, lists, 5, 0.5)) == key(memory.search_similar(queries, corpus, 5, 0.5))
+
+
+def test_leases_end(spark):
+    now = F.lit(datetime(2024, 1, 31)).cast("timestamp")
+    at = lambda minutes: F.lit(datetime(2024, 1, 31) + timedelta(minutes=minutes))
+    found = dt.detect_new_templates(observations(spark, [(f"t{i}", i, "INFO", "/f", i) for i in range(4)])).orderBy("template_id")
+    ids = [r.id for r in found.collect()]
+    one = lambda i: found.where(F.col("id") == ids[i])
+    leases = triage.take_leases(one(0), at(-1)).unionByName(triage.take_leases(one(1), at(-9))).unionByName(triage.take_leases(one(2), at(-2)))
+    verdicts = triage.heuristic_triage(one(2)).withColumn("created_at", at(-1).cast("timestamp"))
+    feedback = spark.createDataFrame([], "anomaly_id string, action string")
+    status = lambda moment: {r.id: r.status for r in triage.status_lifecycle(found, verdicts, feedback, leases, moment).collect()}
+    assert [status(now)[i] for i in ids] == ["analyzing", "active", "analyzed", "active"]
+    later = now + F.expr("INTERVAL 10 MINUTES")
+    assert [status(later)[i] for i in ids] == ["active", "active", "analyzed", "active"]
+    waiting = lambda moment: {r.id for r in triage.unfinished(found, verdicts, leases, moment).collect()}
+    assert waiting(now) == {ids[1], ids[3]} and waiting(later) == {ids[0], ids[1], ids[3]}
 
 
 def test_embedding(spark):
