@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -63,9 +64,8 @@ def crossings(rows: DataFrame, limits: dt.Thresholds) -> DataFrame:
     return found.where(F.col("trigger_count") > F.col("before"))
 
 
-def crossing_records(crossed: DataFrame, observations: DataFrame, limits: dt.Thresholds) -> DataFrame:
-    """Anomalies of crossed buckets, from the observations of these buckets alone."""
-    low, high = crossed.agg(F.min("bucket_start"), F.max("bucket_end")).first()
+def crossing_records(crossed: DataFrame, observations: DataFrame, limits: dt.Thresholds, low: datetime, high: datetime) -> DataFrame:
+    """Anomalies of crossed buckets, all between ``low`` and ``high``, from the observations of these buckets alone."""
     near = observations.where(F.col("event_ts").between(F.lit(low), F.lit(high)))
     wanted = crossed.select(
         "template_id", "bucket_start", "baseline_mean", "baseline_std", "trigger_count", F.col("count").alias("_n")
@@ -86,13 +86,14 @@ def detection_batch(
         end = F.col("bucket_start") + F.make_dt_interval(mins=F.lit(limits.bucket_minutes))
         found = dt.new_template_records(rows.where("first").withColumn("bucket_end", end))
         crossed = materialize(crossings(rows, limits))
-        if not crossed.isEmpty():
-            found = dt.union_anomalies(found, crossing_records(crossed, observations(), limits))
+        low, high = crossed.agg(F.min("bucket_start"), F.max("bucket_end")).first()
+        if low is not None:
+            found = dt.union_anomalies(found, crossing_records(crossed, observations(), limits, low, high))
         files = Files(rows.sparkSession, folder)
         number = _next_number(files, batch_id)
-        numbered = materialize(conform(dt.incident_number(found, number), ANOMALIES))
-        numbered.write.mode("overwrite").parquet(f"{folder}/anomalies/batch={batch_id}")
-        _note_number(files, batch_id, number + numbered.count())
+        path = f"{folder}/anomalies/batch={batch_id}"
+        conform(dt.incident_number(found, number), ANOMALIES).write.mode("overwrite").parquet(path)
+        _note_number(files, batch_id, number + rows.sparkSession.read.schema(ANOMALIES).parquet(path).count())
     finally:
         rows.unpersist()
 

@@ -74,6 +74,9 @@ class Files:
         self._system.delete(self._path(self.path(name)), True)
 
 
+_NOTHING: dict[str, Any] = {"version": 0, "through": -1, "days": {}}
+
+
 def append(df: DataFrame, folder: str, batch_id: int) -> None:
     """Add the sums of a micro-batch, in place of what an earlier delivery of it wrote."""
     df.write.mode("overwrite").parquet(f"{folder}/deltas/batch={batch_id}")
@@ -81,7 +84,7 @@ def append(df: DataFrame, folder: str, batch_id: int) -> None:
 
 def newest(files: Files) -> dict[str, Any]:
     versions = [n for n in files.names("manifests") if n.endswith(".json")]
-    return files.read(f"manifests/{versions[-1]}") if versions else {"version": 0, "through": -1, "days": {}}
+    return files.read(f"manifests/{versions[-1]}") if versions else _NOTHING
 
 
 def _batches(files: Files) -> list[int]:
@@ -157,7 +160,8 @@ def compact(
 def _vacuum(files: Files) -> None:
     """Delete what none of the newest manifests needs."""
     versions = [n for n in files.names("manifests") if n.endswith(".json")]
-    alive = [files.read(f"manifests/{n}") for n in versions[-KEPT_VERSIONS:]]
+    # Before the first manifests, readers have the deltas alone.
+    alive = [_NOTHING] * (KEPT_VERSIONS - len(versions)) + [files.read(f"manifests/{n}") for n in versions[-KEPT_VERSIONS:]]
     named = {p for m in alive for p in m["days"].values()}
     for version in files.names("base"):
         # A folder of a later version may be one that is being written.
