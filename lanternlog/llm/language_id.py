@@ -23,7 +23,7 @@ PROFILE, OWN, SAMPLE = 400, 300, 2000
 UNDETERMINED = "und"
 #: Texts are judged among those with as many different n-grams, in these steps; a step needs ENOUGH labelled texts to have a bound, which
 #: is MARGIN times the lowest score that any of them has in its own language.
-STEPS, ENOUGH, MARGIN = (8, 16, 32, 64, 128, 256), 50, 0.9
+STEPS, ENOUGH, MARGIN = (8, 16, 32, 64, 128, 256), 50, 0.8
 
 
 @lru_cache(1)

@@ -61,7 +61,7 @@ def test_language_odd_rows(spark, documents):
     assert len(rows) == len(odd.texts())
     und = {r.doc_id for r in rows if r.lang_pred == "und"}
     assert {100, 101, 102, 103, 104} <= und and all(r.score == 0 for r in rows if r.lang_pred == "und")
-    kept = language_id.keep_known(odd.frame(spark), profiles, least=0.0)
+    kept = language_id.keep_known(odd.frame(spark), profiles)
     assert kept.columns == odd.frame(spark).columns and kept.count() == sum(r.lang_pred != "und" for r in rows)
     assert language_id.predict(odd.frame(spark, []), profiles).count() == 0
     nothing = language_id.learn_profiles(odd.frame(spark, []))
@@ -298,7 +298,7 @@ def test_near_duplicate_stage_against_brute_force(spark):
 
 def test_language_bounds(spark, documents):
     """Learned on rows that are not held out, tried on those that are, on noise, and on languages that were not learned."""
-    big = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    big = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     profiles = language_id.learn_bounds(big, language_id.learn_profiles(big))
     assert max(profiles.bounds) < 0.6 and min(profiles.bounds[-2:]) > 0.3
     held = [r.text for r in big.filter(language_id.held_out()).collect()]
