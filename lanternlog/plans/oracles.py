@@ -362,6 +362,10 @@ _add(
     select=f"""SELECT application, environment, count(*) AS events, count(*) AS fitting, 0 AS misnamed FROM parsed
       WHERE event_ts >= {SPLIT} GROUP BY ALL""",
 )
+_add(
+    "mined_documents_fit", _DOCS,
+    select="""SELECT application, environment, count(*) AS lines, count(*) AS fitting, 0 AS ids_over_texts FROM doc_lines GROUP BY ALL""",
+)
 _EVENT_MINED = (*_CHAIN, _redacted("parsed", "message"), _mined())
 _add("mask_events", *_EVENT_MINED, select=_MINED)
 _add("mask_documents", _DOCS, _redacted("doc_lines", "message"), _mined(), select=_MINED)

@@ -364,6 +364,24 @@ def mine_documents_drain(spark, sf):
     return mined.groupBy("application", "environment", "template_id", "template_text").agg(F.count(F.lit(1)).alias("rows"))
 
 
+def _fits(text: Column | str, pattern: Column | str) -> Column:
+    """Whether a masked line has the words of a template, wherever that has no wildcard."""
+    words = lambda c: F.filter(F.split(c, " +"), lambda w: w != "")
+    same = F.zip_with(words(text), words(pattern), lambda a, b: (b == clustering.WILDCARD) | (a == b))
+    return (F.size(words(text)) == F.size(words(pattern))) & F.forall(same, lambda ok: ok)
+
+
+@query
+def mined_documents_fit(spark, sf):
+    """Per scope: lines, lines whose masked text fits their template, and template ids beyond one per template text."""
+    clean = sanitize.sanitize_events(_document_events(spark, sf))
+    mined = masks.with_masks(clustering.mine_templates(clean), "sanitized_message", "masked")
+    return mined.groupBy("application", "environment").agg(
+        F.count(F.lit(1)).alias("lines"), F.count_if(_fits("masked", "template_text")).alias("fitting"),
+        (F.count_distinct("template_id") - F.count_distinct("template_text")).alias("ids_over_texts"),
+    )
+
+
 @query
 def mined_across_runs(spark, sf):
     """Templates of the newer events, mined on top of the dictionary of the older ones.
@@ -379,17 +397,13 @@ def mined_across_runs(spark, sf):
         )
     )
     new = clustering.mine_templates(clean.where(F.col("event_ts") >= SPLIT), known=known)
-    words = lambda c: F.filter(F.split(c, " +"), lambda w: w != "")
-    fits = lambda text, pattern: (F.size(words(text)) == F.size(words(pattern))) & F.forall(
-        F.zip_with(words(text), words(pattern), lambda a, b: (b == clustering.WILDCARD) | (a == b)), lambda same: same
-    )
     masked = masks.with_masks(new, "sanitized_message", "masked").join(
         known.select(F.col("id").alias("template_id"), F.col("template_pattern").alias("earlier")), "template_id", "left"
     )
     return masked.groupBy("application", "environment").agg(
         F.count(F.lit(1)).alias("events"),
-        F.count_if(fits(F.col("masked"), F.col("template_text"))).alias("fitting"),
-        F.count_if(~fits(F.col("earlier"), F.col("template_text"))).alias("misnamed"),
+        F.count_if(_fits("masked", "template_text")).alias("fitting"),
+        F.count_if(~_fits("earlier", "template_text")).alias("misnamed"),
     )
 
 
