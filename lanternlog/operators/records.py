@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -40,9 +42,9 @@ def assemble_multiline(
 ) -> DataFrame:
     """Join continuation lines to the line that starts their record.
 
-    Files are cut into chunks of line numbers, so one huge file is spread over many tasks. A chunk finds the
-    start of its lines by itself, except for lines before its first start: those take the last start of the
-    chunks before, which comes from a table with one row per chunk. A record is one row however long it is; its
+    Files are cut into chunks of line numbers, so one huge file is spread over many tasks. Lines before the first start of
+    their chunk belong to a record of an earlier one and are sent there at once, so text is shuffled a single time. Where they
+    go comes from a table with one row for each chunk that begins inside a record. A record is one row however long it is; its
     other columns are those of its first line.
     """
     keys = list(keys)
@@ -51,23 +53,14 @@ def assemble_multiline(
     by_chunk = [*keys, "_chunk"]
     start = F.when(F.col("is_start"), F.col("line_number"))
 
-    chunks = chunked.groupBy(*by_chunk).agg(F.max(start).alias("_last"), F.min("line_number").alias("_low"))
-    before = W.partitionBy(*keys).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
-    through = W.partitionBy(*keys).orderBy("_chunk").rowsBetween(W.unboundedPreceding, 0)
-    carried = chunks.select(
-        *by_chunk,
-        F.coalesce(F.max("_last").over(before), F.min("_low").over(through)).alias("_carried"),
-    )
-
-    so_far = W.partitionBy(*by_chunk).orderBy("line_number").rowsBetween(W.unboundedPreceding, 0)
-    placed = (
-        chunked.join(carried, by_chunk)
-        .withColumn("_start", F.coalesce(F.max(start).over(so_far), F.col("_carried")))
-    )
+    homed = _with_home(chunked, chunk_lines, by_chunk, start)
+    so_far = W.partitionBy(*keys, "_home").orderBy("line_number").rowsBetween(W.unboundedPreceding, 0)
+    # Lines before the first start of a file are a record of their own.
+    placed = homed.withColumn("_start", F.coalesce(F.max(start).over(so_far), F.min("line_number").over(so_far)))
     rest = [c for c in lines.columns if c not in (*keys, "line", "line_number")]
     pieces = F.array_sort(F.collect_list(F.struct("line_number", "line")))
     head = [F.min_by(F.struct(*rest), "line_number").alias("_head")] if rest else []
-    joined = placed.groupBy(*keys, "_start").agg(
+    joined = placed.groupBy(*keys, "_home", "_start").agg(
         F.array_join(F.transform(pieces, lambda piece: piece["line"]), "\n").alias("record"),
         F.count(F.lit(1)).alias("line_count"),
         *head,
@@ -78,6 +71,31 @@ def assemble_multiline(
     )
 
 
+def _with_home(chunked: DataFrame, chunk_lines: int, by_chunk: Sequence[str], start: Column) -> DataFrame:
+    """Add ``_home``, the chunk in which the record of each line starts.
+
+    The table of chunks that begin inside a record holds nothing of files of one chunk. It goes to all tasks if it is small.
+    """
+    *keys, _ = by_chunk
+    chunks = chunked.groupBy(*by_chunk).agg(
+        F.min(start).alias("_first"), F.max(start).alias("_last"), F.min("line_number").alias("_low")
+    )
+    before = W.partitionBy(*keys).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
+    # Without a start before, the record is that of the file's first line.
+    begun = F.coalesce(F.max("_last").over(before), F.min("_low").over(before))
+    inside = chunks.select(*by_chunk, "_first", "_low", F.floor(begun / chunk_lines).alias("_begun")).where(
+        F.col("_begun").isNotNull() & (F.col("_first").isNull() | (F.col("_first") > F.col("_low")))
+    )
+    inside = materialize(inside.select(*[F.col(c).alias(f"_of_{c}") for c in by_chunk], "_first", "_begun"))
+    if inside.isEmpty():
+        return chunked.withColumnRenamed("_chunk", "_home")
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in by_chunk])
+    found = chunked.join(F.broadcast(inside) if small_table(inside) else inside, same, "left")
+    leads = F.col("_first").isNull() | (F.col("line_number") < F.col("_first"))
+    home = F.coalesce(F.when(leads, F.col("_begun")), F.col("_chunk"))
+    return found.withColumn("_home", home).drop("_chunk", "_first", "_begun", *[f"_of_{c}" for c in by_chunk])
+
+
 def parse_records(records: DataFrame, record: str = "record", log_format: str | None = None) -> DataFrame:
     """Add ``event_ts`` (null if the record has no time), ``level``, ``message`` and ``attributes``."""
     fmt = F.col(log_format) if log_format else None

@@ -169,6 +169,34 @@ def test_multiline_in_chunks(spark):
         assert {(r.line_number, r.record) for r in got} == want
 
 
+def test_records_across_chunks_of_several_files(spark):
+    """Lines before a file's first start, gaps in the numbers, chunks without a start, and null names of files."""
+    files = {
+        "a": [(n, f"start {n}" if n in (9, 10, 31) else f" more {n}") for n in range(2, 40) if n % 5],
+        "b": [(n, f" more {n}") for n in range(1, 25)],
+        "c": [(n, f"start {n}") for n in range(1, 12)],
+        None: [(1, " more"), (2, "start"), (3, " more"), (4, " more"), (5, "start")],
+    }
+    rows = [("s", f, n, t, n * 10) for f, lines in files.items() for n, t in lines]
+    schema = "source_id string, source_path string, line_number long, line string, extra long"
+    df = spark.createDataFrame(rows, schema).repartition(5)
+    want = {(f, n, t) for f, lines in files.items() for n, t in _assemble(lines, lambda t: t.startswith("start"))}
+    for chunk in (1, 2, 4, 7, 100):
+        got = records.assemble_multiline(df, pattern="^start", chunk_lines=chunk).collect()
+        assert {(r.source_path, r.line_number, r.record) for r in got} == want and len(got) == len(want)
+        assert all(r.extra == 10 * r.line_number and r.line_count == r.record.count("\n") + 1 for r in got)
+
+
+def test_assembly_shuffles_text_once(spark, tmp_path):
+    rows = [("s", "f", n, "start" if n % 6 == 1 else " more") for n in range(1, 60)]
+    spark.createDataFrame(rows, "source_id string, source_path string, line_number long, line string").write.parquet(str(tmp_path / "x"))
+    df = spark.read.parquet(str(tmp_path / "x"))
+    for chunk in (4, 1000):
+        plan = records.assemble_multiline(df, pattern="^start", chunk_lines=chunk)._jdf.queryExecution().sparkPlan().toString()
+        prepared = records.assemble_multiline(df, pattern="^start", chunk_lines=chunk)._jdf.queryExecution().executedPlan().toString()
+        assert prepared.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" not in plan
+
+
 def test_a_record_of_any_length_is_one_event(spark):
     lines = spark.range(2, 150_001).select(F.col("id").alias("line_number"), F.concat(F.lit("  at frame "), F.col("id").cast("string")).alias("line"))
     head = spark.createDataFrame([(1, "2024-01-01 00:00:09 ERROR broken")], "line_number long, line string")
