@@ -20,6 +20,8 @@ from lanternlog.llm.common import bounded_batches, components, min_labels, store
 SHARD, LOW, HIGH, BUILD_BEAM, DOWN_BEAM, BEAM = 4096, 32, 16, 64, 16, 64
 #: Queries whose true links are counted in each audit, share of them that a search must find, and rows worked on at once.
 AUDIT, RECALL, BLOCK = 64, 0.99, 256
+#: Beams are widened up to one in so many of a graph's members.
+CROWD = 16
 #: What 32-bit walking may lose of a cosine; candidates within it are verified in double precision.
 SLACK = 1e-4
 
@@ -158,7 +160,11 @@ class Graph:
         return np.where(entries < limit, entries, -1)
 
     def near(self, queries: np.ndarray, least: float, beam: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs (query, member) of cosine ``least`` or more that searches meet. A beam that is full of such members is widened."""
+        """Pairs (query, member) of cosine ``least`` or more that searches meet. A beam that is full of such members is widened.
+
+        Walking with a beam of a good part of the graph costs far more than its members' cosines, so a query whose beam is still
+        full then is compared with all of them.
+        """
         for a in range(0, len(queries), BLOCK):
             todo = np.arange(a, min(a + BLOCK, len(queries)))
             entries = self._down(self.layers[:-1], queries[todo], len(self.vectors))
@@ -176,6 +182,16 @@ class Graph:
                     yield some[q], ids[q, j]
                 again = np.concatenate(full)
                 todo, entries, width = todo[again], entries[again], min(2 * width, len(self.vectors))
+                if CROWD * width > len(self.vectors):
+                    yield from self._all_near(queries, todo, least)
+                    break
+
+    def _all_near(self, queries: np.ndarray, some: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs as in ``near`` of the queries ``some``, which lie in a crowd, by comparison with every member."""
+        for a in range(0, len(some), BLOCK):
+            part = some[a : a + BLOCK]
+            q, m = np.nonzero(queries[part] @ self.vectors.T >= least)
+            yield part[q], m
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
