@@ -5,8 +5,6 @@ They are written apart from the Spark code: brute-force windows, joins and regul
 
 from __future__ import annotations
 
-from lanternlog.operators import triage
-
 ORACLES: dict[str, str] = {}
 SPLIT = "TIMESTAMP '2024-01-20'"
 
@@ -744,22 +742,39 @@ def _search(records: str = "memory", k: int = 6) -> tuple[str, ...]:
 _add("similar_resolutions", *_search(k=120), select="SELECT query_id AS template_text, id, score, rank FROM solved")
 
 
-def _verdict_of(text: str) -> str:
-    """Number of the first rule whose keyword occurs in ``text``."""
-    cases = " ".join(
-        "WHEN " + " OR ".join(f"contains({text}, {_text(k)})" for k in rule.keywords) + f" THEN {i}"
-        for i, rule in enumerate(triage.RULES)
-    )
-    return f"CASE {cases} ELSE {len(triage.RULES)} END"
-
-
-_RULES = "rules(rule, severity, confidence, possible_causes, recommended_actions, template) AS (VALUES " + ", ".join(
-    f"({i}, {_text(r.severity)}, {_text(r.confidence)}, {_text(' | '.join(r.causes))}, {_text(' | '.join(r.actions))}, {_text(r.summary)})"
-    for i, r in enumerate((*triage.RULES, triage.DEFAULT_RULE))
-) + ")"
+# Keywords of the rules in order, then what a verdict of each rule says; the last one is for texts without a keyword.
+_KEYWORDS = """keywords(rule, keyword) AS (VALUES
+  (0, 'fatal'), (0, 'outage'), (0, 'corrupt'), (0, 'panic'), (0, 'segmentation fault'), (0, 'deadlock'),
+  (1, 'database'), (1, 'connection refused'), (1, '500 internal'), (1, 'timeout'), (1, 'circuit breaker'), (1, 'auth failure'),
+  (1, 'failed to connect'),
+  (2, 'error'), (2, 'exception'), (2, 'failed'), (2, 'nullpointer'), (2, 'keyerror'), (2, 'typeerror'), (2, 'cannot parse'),
+  (3, 'warn'), (3, 'warning'), (3, 'retry'), (3, 'slow query'), (3, 'deprecated'))"""
+_RULES = """rules(rule, severity, confidence, possible_causes, recommended_actions, template) AS (VALUES
+  (0, 'Sev-0', 'high',
+   'Critical process crash or unhandled kernel/system panic. | Severe data corruption or resource deadlock.',
+   'Restart the failing service instance immediately. | Inspect memory/disk diagnostics and database connectivity.',
+   'Critical fatal failure detected in {application} requiring immediate SRE intervention.'),
+  (1, 'Sev-1', 'high',
+   'Downstream database or dependency service outage/unavailability. | Network partition or connection pool exhaustion.',
+   'Check health of backing database and message brokers. | Verify connection pool limits and service credentials.',
+   'Major service degradation detected: frequent connectivity or internal server errors in {application}.'),
+  (2, 'Sev-2', 'medium',
+   'Unhandled runtime application exception or invalid incoming payload. | Regression introduced in recent deployment.',
+   'Inspect application stack traces for source line references. | Verify recent deployment changelog.',
+   'Moderate anomaly in {application}: new exception pattern or error spike observed.'),
+  (3, 'Sev-3', 'medium',
+   'Transient network latency triggering retries. | Non-critical resource approaching warning threshold.',
+   'Monitor metrics over next 15 minutes. | Review query execution plans and cache hit ratios.',
+   'Minor anomaly in {application}: elevated warning rate or transient retries.'),
+  (4, 'Sev-4', 'high',
+   'New template detected during normal operation or background task. | Benign routine operational message.',
+   'No immediate action needed; dismiss if expected behavior.',
+   'Informational anomaly: newly registered template pattern in {application}.'))"""
 # A separator of the evidence texts is as good as a blank here: no keyword holds one.
-_JUDGED = f"""judged AS (SELECT found.*, rules.* EXCLUDE (rule, template), replace(template, '{{application}}', application) AS summary
-  FROM found JOIN rules ON rules.rule = {_verdict_of("lower(found.template_text || ' ' || replace(found.sample_evidence, ' | ', ' '))")})"""
+_JUDGED = f"""{_KEYWORDS},
+judged AS (SELECT found.*, rules.* EXCLUDE (rule, template), replace(template, '{{application}}', application) AS summary
+  FROM found JOIN rules ON rules.rule = coalesce((SELECT min(rule) FROM keywords
+    WHERE contains(lower(found.template_text || ' ' || replace(found.sample_evidence, ' | ', ' ')), keyword)), 4))"""
 _add(
     "heuristic_triage", *_FOUND, _RULES, _JUDGED,
     select="""SELECT id AS anomaly_id, severity, confidence, severity <> 'Sev-4' AS investigate, summary, possible_causes,
@@ -770,11 +785,11 @@ _add(
     select="""SELECT id AS anomaly_id, severity, confidence, summary FROM judged QUALIFY row_number() OVER (PARTITION BY application,
       environment, time_bucket(INTERVAL 60 SECOND, detected_at) ORDER BY detected_at, id) <= 10""",
 )
-_STEPS = f"""steps AS (SELECT query_id AS template_text, string_agg({_text(triage.RECALL_STEP)} ||
+_STEPS = f"""steps AS (SELECT query_id AS template_text, string_agg('Previously taken resolution step: ' ||
   trim(string_split(text_content, 'Resolution Notes & Steps:')[2]), ' | ' ORDER BY rank) AS steps FROM solved GROUP BY ALL)"""
 _add(
     "recalled_triage", *_search("records_notes"), _RULES, _JUDGED, _STEPS,
-    select=f"""SELECT id AS anomaly_id, severity, CASE WHEN steps IS NULL THEN summary ELSE summary || {_text(triage.RECALL_NOTE)} END AS summary,
+    select=f"""SELECT id AS anomaly_id, severity, CASE WHEN steps IS NULL THEN summary ELSE summary || ' Note: A similar issue occurred in the past and was resolved.' END AS summary,
       CASE WHEN steps IS NULL THEN recommended_actions ELSE steps || ' | ' || recommended_actions END AS recommended_actions
       FROM judged LEFT JOIN steps USING (template_text)""",
 )
@@ -789,22 +804,22 @@ _add(
     """lines_batch AS (SELECT id, string_agg('- ' || anomaly_type || ': ' || template_text || ' (count=' || current_count || ', source='
       || source_paths || ')', chr(10) ORDER BY place) AS t FROM pairs WHERE place <= 10 GROUP BY ALL)""",
     select=f"""SELECT found.id, 'Line: ' || replace(sample_evidence, ' | ', chr(10) || 'Line: ') AS evidence,
-      coalesce(a.t, {_text(triage.NO_RESOLUTIONS)}) AS past_resolutions, coalesce(b.t, {_text(triage.NO_SIMILAR)}) AS similar,
-      coalesce((SELECT t FROM lines_feedback), {_text(triage.NO_FEEDBACK)}) AS feedback,
-      coalesce(c.t, {_text(triage.NO_RELATED)}) AS batch FROM found LEFT JOIN lines_solved a USING (template_text)
+      coalesce(a.t, 'No past incident resolution notes matched for this anomaly pattern.') AS past_resolutions, coalesce(b.t, 'No previous similar incidents found.') AS similar,
+      coalesce((SELECT t FROM lines_feedback), 'No recent user feedback.') AS feedback,
+      coalesce(c.t, 'No related candidate anomalies in this batch.') AS batch FROM found LEFT JOIN lines_solved a USING (template_text)
       LEFT JOIN lines_alike b USING (template_text) LEFT JOIN lines_batch c ON c.id = found.id""",
 )
 _add(
     "validate_verdicts", *_FOUND, _RULES, _JUDGED,
     f"shaped AS (SELECT *, {_DIGIT} % 8 AS d FROM judged)",
-    select=f"""SELECT id AS anomaly_id, CASE WHEN d IN (2, 3, 5) THEN '{triage.MODEL}' ELSE 'model-b' END AS model,
+    select=f"""SELECT id AS anomaly_id, CASE WHEN d IN (2, 3, 5) THEN 'heuristic-sre-engine' ELSE 'model-b' END AS model,
       CASE WHEN d IN (2, 3, 5) THEN severity WHEN d = 4 THEN 'Sev-3' ELSE 'Sev-' || (d % 5) END AS severity,
       CASE WHEN d IN (2, 3, 5) THEN confidence WHEN d = 0 THEN 'high' WHEN d = 7 THEN 'low' ELSE 'medium' END AS confidence,
       CASE WHEN d IN (2, 3, 5) THEN severity <> 'Sev-4' WHEN d IN (0, 6) THEN false ELSE true END AS investigate,
-      CASE WHEN d IN (2, 3, 5) THEN summary WHEN d = 4 THEN {_text(triage.DEFAULT_SUMMARY)} ELSE template_text END AS summary,
+      CASE WHEN d IN (2, 3, 5) THEN summary WHEN d = 4 THEN 'Anomaly detected in log streams.' ELSE template_text END AS summary,
       1 AS evidence, CASE WHEN d IN (2, 3, 5) THEN possible_causes WHEN d = 0 THEN 'x' ELSE '' END AS possible_causes,
       CASE WHEN d IN (2, 3, 5) THEN recommended_actions WHEN d = 0 THEN 'y | z' ELSE '' END AS recommended_actions,
-      CASE WHEN d IN (2, 3, 5) THEN {_text(triage.LIMITATION)} WHEN d = 0 THEN 'none' WHEN d = 1 THEN 'l1 | l2' ELSE '' END AS limitations,
+      CASE WHEN d IN (2, 3, 5) THEN 'Judged by fixed rules of this engine; no language model was asked.' WHEN d = 0 THEN 'none' WHEN d = 1 THEN 'l1 | l2' ELSE '' END AS limitations,
       CASE WHEN d IN (2, 3, 5) THEN 'model-b: unreadable answer' END AS error, d IN (2, 3, 5) AS is_retryable FROM shaped""",
 )
 _add(
