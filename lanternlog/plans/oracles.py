@@ -203,10 +203,16 @@ _add(
       FROM doc_lines""",
 )
 _add(
-    "parse_quality", *_CHAIN,
-    select="""SELECT application, environment, count(*) AS records, count(*) FILTER (WHERE is_json) AS json_records,
-      0 AS malformed_json, 0 AS without_time, 0 AS without_level,
-      count(*) FILTER (WHERE contains(record, chr(10))) AS multiline_records FROM parsed GROUP BY ALL""",
+    "parse_quality", *_CHAIN, _DOCS,
+    f"""read AS (
+  SELECT application, environment, is_json, NOT is_json AND record LIKE '{{%}}' AS malformed, event_ts IS NULL AS timeless, level = '' AS levelless,
+    contains(record, chr(10)) AS multiline FROM parsed
+  UNION ALL SELECT application, environment, is_json AND NOT cut, is_json AND cut, is_json AND cut, is_json AND cut, false
+  FROM (SELECT *, line LIKE '{{%}}' AS is_json, line_number % 5 = 0 AS cut FROM lines)
+  UNION ALL SELECT application, environment, false, message LIKE '{{%}}', true, {_DOC_LEVEL} = 'UNKNOWN', false FROM doc_lines)""",
+    select="""SELECT application, environment, count(*) AS records, count(*) FILTER (is_json) AS json_records,
+      count(*) FILTER (malformed) AS malformed_json, count(*) FILTER (timeless) AS without_time,
+      count(*) FILTER (levelless) AS without_level, count(*) FILTER (multiline) AS multiline_records FROM read GROUP BY ALL""",
 )
 _add(
     "quarantine", _LINES,
@@ -778,7 +784,7 @@ judged AS (SELECT found.*, rules.* EXCLUDE (rule, template), replace(template, '
 _add(
     "heuristic_triage", *_FOUND, _RULES, _JUDGED,
     select="""SELECT id AS anomaly_id, severity, confidence, severity <> 'Sev-4' AS investigate, summary, possible_causes,
-      recommended_actions, 1 AS evidence FROM judged""",
+      recommended_actions, concat_ws(' ', template_id, source_id, source_paths, line_number) AS evidence FROM judged""",
 )
 _add(
     "stream_triage", *_FOUND, _RULES, _JUDGED,
@@ -899,6 +905,20 @@ _add(
     "encode_messages", _obs(),
     select="SELECT application || '::' || environment AS key, count(*) AS messages, count(*) AS with_hash FROM obs GROUP BY ALL",
 )
+_add(
+    "anomalies_through_topic", *_FOUND,
+    select=_SLIM.replace("line_number", "line_number, application, environment, incident_number, status") + "found",
+)
+_add(
+    "analyses_through_topic", *_FOUND, _VERDICTS,
+    select="""SELECT id, anomaly_id, 'model-a' AS model, 'v2.0' AS prompt_version, severity, 'medium' AS confidence, investigate, summary,
+      'cause' AS possible_causes, recommended_actions, ai_error, is_retryable, created_at FROM verdicts""",
+)
+_add(
+    "unreadable_messages", *_FOUND, _VERDICTS,
+    select="""SELECT 'anomalies' AS topic, 'invalid_message' AS reason, 3 * count(*) AS messages, count(*) AS cut_short FROM found
+      UNION ALL SELECT 'analyses', 'invalid_message', 3 * count(*), count(*) FROM verdicts HAVING count(*) > 0""",
+)
 _add(
     "container_lines", _LINES,
     select="""SELECT line_number, 'cri' AS fmt, true AS matched, strftime(ingest_ts, '%Y-%m-%dT%H:%M:%S.%g') || '+00:00' AS time_text, 'stdout' AS stream,

@@ -233,15 +233,23 @@ def parse_documents(spark, sf):
 
 @query
 def parse_quality(spark, sf):
-    return records.parse_quality(_events(spark, sf))
+    """Event records, event lines of which every fifth is broken, and document lines, which have no time."""
+    broken = records.fallback_event_time(records.parse_records(_broken_lines(spark, sf)))
+    keep = ("application", "environment", "record", "attributes", "has_time", "level")
+    events, broken, texts = (df.select(*keep) for df in (_events(spark, sf), broken, _document_events(spark, sf)))
+    return records.parse_quality(events.unionByName(broken).unionByName(texts))
+
+
+def _broken_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Event lines as records, every fifth one cut short."""
+    cut = F.when(F.col("line_number") % 5 == 0, F.concat(F.substring_index("line", ":", 3), F.lit("}"))).otherwise(F.col("line"))
+    return views.event_lines(spark, sf).withColumn("record", cut)
 
 
 @query
 def quarantine(spark, sf):
-    """Event lines cut short by one character on every fifth event: broken JSON must be set aside."""
-    lines = views.event_lines(spark, sf)
-    cut = F.when(F.col("line_number") % 5 == 0, F.concat(F.substring_index("line", ":", 3), F.lit("}"))).otherwise(F.col("line"))
-    return records.quarantine(lines.withColumn("record", cut)).select("source_path", "line_number", "record", "reason")
+    """Event lines of which every fifth is cut short: broken JSON must be set aside."""
+    return records.quarantine(_broken_lines(spark, sf)).select("source_path", "line_number", "record", "reason")
 
 
 # --- redaction ---------------------------------------------------------------------------------------------
@@ -780,11 +788,12 @@ def similar_resolutions(spark, sf):
 
 @query
 def heuristic_triage(spark, sf):
-    """Verdicts on every distinct document line that looks like a problem report."""
+    """Verdicts on every incident, with the places that their evidence names."""
     rows = triage.heuristic_triage(_incidents(spark, sf))
+    place = lambda m: F.concat_ws(" ", m["template_id"], m["source_id"], m["source_path"], m["line_number"])
     return rows.select(
         "anomaly_id", "severity", "confidence", "investigate", "summary", "possible_causes", "recommended_actions",
-        F.size("evidence").alias("evidence"),
+        F.array_join(F.transform("evidence", place), " | ").alias("evidence"),
     )
 
 
@@ -954,6 +963,45 @@ def encode_messages(spark, sf):
     )
 
 
+def _with_broken(messages: DataFrame) -> DataFrame:
+    """Values of a topic, each followed by a copy cut short, a copy without what is required, and one that is no object."""
+    value = F.col("value")
+    cut = F.substring(value, F.lit(1), F.length(value) - 1)
+    return messages.select(F.explode(F.array(value, cut, F.lit("{}"), F.lit("[]"))).alias("value"))
+
+
+@query
+def anomalies_through_topic(spark, sf):
+    """Incidents sent to a topic and read from it, between messages that cannot be read."""
+    back, _ = kafka.decode_anomalies(_with_broken(kafka.encode_anomalies(_incidents(spark, sf))))
+    line = F.col("evidence_references")[0]["line_number"].alias("line_number")
+    return back.select(
+        "id", "anomaly_type", "template_id", "bucket_start", "detected_at", "current_count", "baseline_count", "z_score", "template_text",
+        "sample_evidence", "source_paths", line, "application", "environment", "incident_number", "status",
+    )
+
+
+@query
+def analyses_through_topic(spark, sf):
+    """Verdicts sent to a topic and read from it, between messages that cannot be read."""
+    sent = kafka.encode_analyses(_verdicts(_incidents(spark, sf)))
+    back, _ = kafka.decode_analyses(_with_broken(sent))
+    return back.select(
+        "id", "anomaly_id", "model", "prompt_version", "severity", "confidence", "investigate", "summary", "possible_causes",
+        "recommended_actions", F.col("error").alias("ai_error"), "is_retryable", "created_at",
+    )
+
+
+@query
+def unreadable_messages(spark, sf):
+    """Messages of the two topics that were set aside, by topic and reason."""
+    found = _incidents(spark, sf)
+    _, anomalies_bad = kafka.decode_anomalies(_with_broken(kafka.encode_anomalies(found)))
+    _, analyses_bad = kafka.decode_analyses(_with_broken(kafka.encode_analyses(_verdicts(found))))
+    bad = anomalies_bad.withColumn("topic", F.lit("anomalies")).unionByName(analyses_bad.withColumn("topic", F.lit("analyses")))
+    return bad.groupBy("topic", "reason").agg(F.count(F.lit(1)).alias("messages"), F.count_if(F.length("value") > 2).alias("cut_short"))
+
+
 @query
 def container_lines(spark, sf):
     """Event lines in the three collector formats, parsed again."""

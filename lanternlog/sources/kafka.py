@@ -102,6 +102,11 @@ def decode_anomalies(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     return decode_typed(records, ANOMALIES, required)
 
 
+def decode_analyses(records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    required = ("anomaly_id", "model", "prompt_version", "severity", "confidence", "created_at")
+    return decode_typed(records, ANALYSES, required)
+
+
 def _message(df: DataFrame, key: Column, schema: T.StructType) -> DataFrame:
     return df.select(key.alias("key"), F.to_json(F.struct(*schema.fieldNames()), TIME_FORMAT).alias("value"))
 

@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from lanternlog.operators import buckets as bk
 from lanternlog.operators import detection as dt
+from lanternlog.operators import triage
 from lanternlog.plans import views
-from lanternlog.schemas import ANOMALIES, OBSERVATIONS, conform
+from lanternlog.schemas import ANALYSES, ANOMALIES, OBSERVATIONS, conform
 from lanternlog.session import new_path
 from lanternlog.sources import catalog, cloudwatch, containers, envelopes, files, kafka
 from lanternlog.streaming import detection as stream_detection
@@ -98,6 +99,11 @@ def test_messages_round_trip(spark):
     assert sent.first().key == "::".join(found.select("application", "environment").first())
     back, bad = kafka.decode_anomalies(sent.select("value").union(spark.createDataFrame([("{}",), ("x",)], "value string")))
     assert back.schema == ANOMALIES and back.count() == found.count() and bad.count() == 2
+    judged = triage.heuristic_triage(found)
+    sent = kafka.encode_analyses(judged)
+    assert {r.key for r in sent.collect()} == {r.id for r in found.collect()}
+    back, bad = kafka.decode_analyses(sent.select("value").union(spark.createDataFrame([('{"anomaly_id": "a"}',), (None,)], "value string")))
+    assert back.schema == ANALYSES and sorted(back.collect(), key=repr) == sorted(judged.collect(), key=repr) and bad.count() == 2
 
 
 def test_sources_scan_their_text_once_besides_the_index(spark, tmp_path):
