@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lanternlog.functions.ids import DEFAULT_SALT, row_id
 from lanternlog.operators import buckets as bk
-from lanternlog.operators import clustering, detection, records, sanitize, templates, triage
+from lanternlog.operators import clustering, detection, records, sanitize, templates, triage, versions
 from lanternlog.operators.templates import extract_parameters
 from lanternlog.schemas import OBSERVATIONS, conform
 from lanternlog.session import materialize, stored
@@ -25,6 +25,8 @@ class PipelineTables:
     samples: DataFrame
     anomalies: DataFrame
     analyses: DataFrame
+    #: Rows to append to the table of template versions.
+    changes: DataFrame
 
 
 def lines_to_events(lines: DataFrame, multiline: bool = True, log_format: str | None = None) -> DataFrame:
@@ -74,8 +76,9 @@ def run_pipeline(
     limits: detection.Thresholds = detection.Thresholds(),
     multiline: bool = True,
     mode: str = "masked",
+    history: DataFrame | None = None,
 ) -> PipelineTables:
-    """All tables that follow from raw lines.
+    """All tables that follow from raw lines; ``history`` is the table of template versions of earlier runs.
 
     The observations are stored once as Parquet, so that each of the other tables reads only the columns it needs; bucket
     counts are made once.
@@ -85,11 +88,13 @@ def run_pipeline(
     samples = bk.samples(observations)
     counts = materialize(bk.bucket_counts(observations, limits.bucket_minutes))
     anomalies = detection.detect(observations, known, samples, limits, buckets=counts)
+    catalog = templates.template_catalog(observations)
     return PipelineTables(
         observations=observations,
-        templates=templates.template_catalog(observations),
+        templates=catalog,
         buckets=bk.rollup(observations, limits.bucket_minutes),
         samples=samples,
         anomalies=anomalies,
         analyses=triage.heuristic_triage(anomalies),
+        changes=versions.new_versions(catalog, history, versions.rules_version(mode=mode)),
     )

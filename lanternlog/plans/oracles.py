@@ -361,6 +361,29 @@ _SECRETS = """parsed AS (SELECT * EXCLUDE (line), CASE WHEN line_number % 3 = 0
   FROM (SELECT *, lpad(right(CAST(user_id AS VARCHAR), 4), 4, '0') AS four FROM lines))"""
 _add("redact_secrets", _LINES, _SECRETS, _redacted("parsed", "message"), select=_CLEAN)
 _add("mask_secrets", _LINES, _SECRETS, _redacted("parsed", "message"), _mined(), select=_MINED)
+_VERSIONS = (
+    _obs(),
+    """runs AS (SELECT * REPLACE (CASE WHEN run >= 2 AND environment = 'production' THEN replace(wide, 'request', '<*>') ELSE wide END AS template_text)
+  FROM (SELECT *, CASE WHEN run >= 1 AND application IN ('app-1', 'app-3') THEN replace(template_text, '<NUM>', '<*>') ELSE template_text END AS wide
+    FROM (SELECT *, least((CAST(event_ts AS DATE) - DATE '2024-01-01') // 10, 2) AS run FROM obs)))""",
+    """seen_runs AS (SELECT template_id, application, environment, run, template_text AS template_pattern, min(event_ts) AS valid_from
+      FROM runs GROUP BY ALL)""",
+    """versions AS (SELECT template_id, application, environment, row_number() OVER (PARTITION BY template_id ORDER BY run) AS version,
+      template_pattern, valid_from FROM (SELECT *, lag(template_pattern) OVER (PARTITION BY template_id ORDER BY run) AS earlier FROM seen_runs)
+      WHERE earlier IS DISTINCT FROM template_pattern)""",
+)
+_add("template_versions", *_VERSIONS, select="SELECT * FROM versions")
+_add(
+    "patterns_at_event_time", *_VERSIONS,
+    select="""SELECT template_id, version, pattern, count(*) AS events, min(event_ts) AS first_event, max(event_ts) AS last_event
+      FROM (SELECT r.id, r.template_id, r.event_ts, max(v.version) AS version, arg_max(v.template_pattern, v.version) AS pattern
+        FROM runs r JOIN versions v ON v.template_id = r.template_id AND v.valid_from <= r.event_ts GROUP BY ALL) GROUP BY ALL""",
+)
+_add(
+    "template_sources", _obs(),
+    select="""SELECT template_id, application, environment, source_id, min(event_ts) AS first_seen, max(event_ts) AS last_seen,
+      count(*) AS count FROM obs GROUP BY ALL""",
+)
 _add(
     "mined_across_runs", *_CHAIN,
     select=f"""SELECT application, environment, count(*) AS events, count(*) AS fitting, 0 AS misnamed FROM parsed

@@ -15,7 +15,7 @@ from lanternlog.functions import masks, redaction
 from lanternlog.operators import buckets as bk
 from lanternlog.operators import clustering, correlation, incidents, kpis, memory, merges, records, retention
 from lanternlog.operators import detection as dt
-from lanternlog.operators import sanitize, templates, triage, vector_lists
+from lanternlog.operators import sanitize, templates, triage, vector_lists, versions
 from lanternlog.plans import jobs, views
 from lanternlog.schemas import ANALYSES, FEEDBACK, OBSERVATIONS, conform
 from lanternlog.session import materialize, new_path
@@ -415,6 +415,45 @@ def mined_across_runs(spark, sf):
     )
 
 
+def _runs(spark: SparkSession, sf: str) -> DataFrame:
+    """Observations of three runs, ten days each and the rest; later runs have widened some patterns."""
+    run = F.least(F.floor(F.datediff("event_ts", F.lit("2024-01-01")) / 10), F.lit(2))
+    text = F.col("template_text")
+    wide = F.when((run >= 1) & F.col("application").isin("app-1", "app-3"), F.replace(text, F.lit("<NUM>"), F.lit("<*>"))).otherwise(text)
+    wider = F.when((run >= 2) & (F.col("environment") == "production"), F.replace(wide, F.lit("request"), F.lit("<*>"))).otherwise(wide)
+    return views.event_observations(spark, sf).withColumn("run", run).withColumn("template_text", wider)
+
+
+def _versions_of(runs: DataFrame) -> DataFrame:
+    """The table of versions after the runs, the second of which is repeated."""
+    table = None
+    for number in (0, 1, 1, 2):
+        catalog = templates.template_catalog(runs.where(F.col("run") == number).drop("run"))
+        added = versions.new_versions(catalog, table, versions.rules_version(similarity=0.5, depth=4))
+        table = materialize(added if table is None else table.unionByName(added))
+    return table
+
+
+@query
+def template_versions(spark, sf):
+    return _versions_of(_runs(spark, sf)).drop("rules")
+
+
+@query
+def patterns_at_event_time(spark, sf):
+    """Events by the version of their template that held when they were written."""
+    runs = _runs(spark, sf)
+    rows = versions.with_pattern_at(runs, _versions_of(runs))
+    return rows.groupBy("template_id", "version", "pattern").agg(
+        F.count(F.lit(1)).alias("events"), F.min("event_ts").alias("first_event"), F.max("event_ts").alias("last_event")
+    )
+
+
+@query
+def template_sources(spark, sf):
+    return versions.template_sources(views.event_observations(spark, sf))
+
+
 # --- detection ---------------------------------------------------------------------------------------------
 
 

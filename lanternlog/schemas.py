@@ -71,6 +71,10 @@ TEMPLATES = _schema(
     "id string, application string, environment string, template_pattern string, first_seen timestamp,"
     "last_seen timestamp, total_count bigint, sample_message string"
 )
+TEMPLATE_VERSIONS = _schema(
+    "template_id string, application string, environment string, version bigint, template_pattern string, rules string,"
+    "valid_from timestamp"
+)
 TEMPLATE_BUCKETS = _schema(
     "id string, template_id string, application string, environment string, bucket_start timestamp,"
     "bucket_end timestamp, count bigint, error_count bigint, sample_hashes strings"

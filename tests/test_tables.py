@@ -10,10 +10,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lanternlog.operators import buckets as bk
-from lanternlog.operators import clustering, incidents, memory, merges, retention, triage, vector_lists
+from lanternlog.operators import clustering, incidents, memory, merges, retention, triage, vector_lists, versions
 from lanternlog.operators import detection as dt
 from lanternlog.operators.ranking import exact_rank, first_rows, lookup_join
-from lanternlog.schemas import OBSERVATION_ORDER, OBSERVATIONS
+from lanternlog.schemas import OBSERVATION_ORDER, OBSERVATIONS, TEMPLATE_VERSIONS
 from lanternlog.session import new_path
 
 START = datetime(2024, 1, 1)
@@ -203,6 +203,30 @@ def test_known_templates_keep_their_ids(spark):
     assert [tuple(r) for r in clustering.widened_templates(mined, known).collect()] == [("k1", "user alice logged in", "user <*> logged in")]
 
 
+def test_versions_of_templates(spark):
+    at = lambda hour: START + timedelta(hours=hour)
+    catalog = lambda *rows: spark.createDataFrame(rows, "id string, application string, environment string, template_pattern string, first_seen timestamp")
+    rules, others = versions.rules_version(depth=4, similarity=0.5), versions.rules_version(similarity=0.5, depth=5)
+    assert rules != others and rules == versions.rules_version(similarity=0.5, depth=4)
+    table = versions.new_versions(catalog(("a", "x", "p", "user alice in", at(0)), ("b", "x", "p", "down", at(1))), rules=rules)
+    again = catalog(("a", "x", "p", "user <*> in", at(5)), ("b", "x", "p", "down", at(6)), ("c", "x", "p", "up", at(7)))
+    added = versions.new_versions(again, table, rules)
+    assert added.schema.simpleString() == TEMPLATE_VERSIONS.simpleString()
+    assert {(r.template_id, r.version, r.valid_from) for r in added.collect()} == {("a", 2, at(5)), ("c", 1, at(7))}
+    table = table.unionByName(added)
+    assert versions.new_versions(again, table, rules).count() == 0
+    assert {(r.template_id, r.version) for r in versions.new_versions(again, table, others).collect()} == {("a", 3), ("b", 2), ("c", 2)}
+
+    schema = "template_id string, event_ts timestamp, source_path string, line_number long"
+    rows = [("a", at(-1), "f", 1), ("a", at(4), "f", 2), ("a", at(5), "f", 3), ("a", at(5), "f", 3), ("b", at(9), "f", 4), ("z", at(9), "f", 5)]
+    got = versions.with_pattern_at(spark.createDataFrame(rows, schema), table).collect()
+    assert sorted((r.line_number, r.version, r.pattern) for r in got if r.version) == [
+        (1, 1, "user alice in"), (2, 1, "user alice in"), (3, 2, "user <*> in"), (3, 2, "user <*> in"), (4, 1, "down"),
+    ]
+    assert [(r.line_number, r.pattern) for r in got if not r.version] == [(5, None)]
+    assert versions.with_pattern_at(spark.createDataFrame(rows, schema), table.limit(0)).count() == 6
+
+
 def test_merge_is_additive_and_keeps_the_founder(spark):
     df = observations(spark, [("a", 1, "ERROR", "/f", 1), ("a", 2, "INFO", "/f", 2), ("b", 3, "INFO", "/f", 3)])
     first, second = df.where("line_number = 1"), df.where("line_number > 1")
