@@ -2,30 +2,30 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 PAYLOAD = "struct<logGroup:string,logStream:string,logEvents:array<struct<id:string,timestamp:bigint,message:string>>>"
 
 
-@F.pandas_udf(T.StringType())
-def gunzip(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Text of gzipped bytes, null if they are not gzip. Spark has no built-in for it."""
-    import gzip
-    import zlib
+def gunzip(data: Column | str) -> Column:
+    """Text of gzipped bytes, null if they are not gzip. Spark has no built-in for it.
+
+    A plain function on purpose: a worker holds the unpacked texts of a hundred payloads, not of an Arrow batch of ten thousand. It
+    counts as not deterministic, so that a filter on the text does not unpack it once more.
+    """
+
+    def text(packed: bytes | None) -> str | None:
+        import gzip
+        import zlib
 
-    def text(data: bytes | None) -> str | None:
         try:
-            return None if data is None else gzip.decompress(data).decode("utf-8")
+            return None if packed is None else gzip.decompress(packed).decode("utf-8")
         except (OSError, EOFError, zlib.error, UnicodeDecodeError):
             return None
 
-    for batch in batches:
-        yield batch.map(text)
+    return F.udf(text, T.StringType(), useArrow=False).asNondeterministic()(data)
 
 
 def decode_cloudwatch(

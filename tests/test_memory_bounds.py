@@ -9,6 +9,8 @@ import pandas as pd
 import pytest
 
 from lanternlog.operators import memory, vector_lists
+from lanternlog.plans import queries as registered
+from lanternlog.sources import cloudwatch
 
 
 def _vectors(rows: int, key: str, seed: int) -> pd.DataFrame:
@@ -66,3 +68,18 @@ def test_queries_are_handed_on_in_parts_for_many_lists():
     sizes = [len(part) for part in table.function(iter([queries]))]
     assert sum(sizes) == 2_000 * 500
     assert max(sizes) <= vector_lists.PAIRS
+
+
+def test_payloads_are_unpacked_once_and_in_small_batches(spark, capsys):
+    payloads = spark.createDataFrame([(1, "")], "payload_id int, data string")
+    lines, bad = cloudwatch.decode_cloudwatch(payloads)
+    for rows in (lines, bad, lines.select("message")):
+        rows.explain()
+        plan = capsys.readouterr().out
+        assert plan.count("BatchEvalPython") == 1 and "Arrow" not in plan
+
+
+def test_payloads_are_packed_in_small_batches(spark, capsys):
+    registered._payloads(spark, "/root/testdata/sf0.001").explain()
+    plan = capsys.readouterr().out
+    assert plan.count("BatchEvalPython") == 1 and "Arrow" not in plan
