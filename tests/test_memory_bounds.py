@@ -10,6 +10,7 @@ import pytest
 
 from lanternlog.operators import memory, vector_lists
 from lanternlog.plans import queries as registered
+from lanternlog.plans import views
 from lanternlog.sources import cloudwatch
 
 
@@ -83,3 +84,41 @@ def test_payloads_are_packed_in_small_batches(spark, capsys):
     registered._payloads(spark, "/root/testdata/sf0.001").explain()
     plan = capsys.readouterr().out
     assert plan.count("BatchEvalPython") == 1 and "Arrow" not in plan
+
+
+def _one_row_group(spark, folder, rows: int) -> None:
+    """An events table of one row group, cut into more splits than there are cores."""
+    table = spark.range(rows).selectExpr(
+        "id AS event_id", "timestamp_ntz'2024-01-01' + make_dt_interval(0, 0, 0, id) AS ts", "id % 50 AS user_id",
+        "'error' AS event_type", "id * 0.5D AS value", "sha2(string(id), 256) AS props",
+    )
+    table.toPandas().to_parquet(folder / "events.parquet", row_group_size=rows, coerce_timestamps="us")
+
+
+def test_rows_of_one_row_group_are_dealt_out(spark, tmp_path):
+    _one_row_group(spark, tmp_path, 4_000)
+    name = "spark.sql.files.maxPartitionBytes"
+    spark.conf.set(name, "8k")
+    try:
+        assert views.table(spark, str(tmp_path), "events").rdd.getNumPartitions() >= 8
+        for dealt in (views.event_lines(spark, str(tmp_path)), views.event_observations(spark, str(tmp_path), dealt=True)):
+            sizes = dealt.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+            assert sum(sizes) == 4_000 and max(sizes) < 1_000
+        spread = views.spread(views.table(spark, str(tmp_path), "events"), 100)
+        assert spread.rdd.getNumPartitions() == 40
+    finally:
+        spark.conf.unset(name)
+
+
+@pytest.mark.parametrize("compression", ["none", "gzip"])
+def test_no_file_holds_a_whole_language(spark, tmp_path, monkeypatch, compression):
+    monkeypatch.setattr(views, "TEXT_ROWS", 10)
+    texts = spark.range(200).selectExpr(
+        "id AS doc_id", "concat('b ', id, '\\n\\na\\r', id) AS text", "if(id < 150, 'en', 'de') AS lang", "'web' AS source", "10L AS n_chars"
+    )
+    texts.toPandas().to_parquet(tmp_path / "documents.parquet")
+    path = registered._written_lines(spark, str(tmp_path), compression)
+    files = spark.read.option("recursiveFileLookup", "true").text(path).groupBy("_metadata.file_path").count().collect()
+    assert len(files) > 2 and max(r["count"] for r in files) < 150
+    rows = {tuple(r) for r in registered._numbered(spark, path).collect()}
+    assert rows == {("en", 450, 450, 1, 450), ("de", 150, 150, 1, 150)}
