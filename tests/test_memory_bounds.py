@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from lanternlog.operators import memory, vector_lists
+from lanternlog.operators import clustering, memory, vector_lists
 from lanternlog.plans import queries as registered
 from lanternlog.plans import views
 from lanternlog.sources import cloudwatch
@@ -122,3 +122,17 @@ def test_no_file_holds_a_whole_language(spark, tmp_path, monkeypatch, compressio
     assert len(files) > 2 and max(r["count"] for r in files) < 150
     rows = {tuple(r) for r in registered._numbered(spark, path).collect()}
     assert rows == {("en", 450, 450, 1, 450), ("de", 150, 150, 1, 150)}
+
+
+def test_groups_of_a_batch_are_clustered_at_once():
+    words = [f"w{i} only" for i in range(3_000)] + ["job 1 of a done", "job 2 of b done", "job 3 of c done"]
+    groups = [f"g{i:05d}" for i in range(3_000)] + ["x"] * 3
+    rows = pd.DataFrame({"group": groups, "leaf": "l", "node": words, "pattern": words, "first_seen": pd.Timestamp(0), "known": None})
+    rows.loc[3_000, "known"] = "id-1"
+    for step in (10_000, 1_000, 2_999, 3_001):
+        frames = list(clustering._by_piece(0.4)(rows.iloc[i : i + step] for i in range(0, len(rows), step)))
+        assert len(frames) <= -(-len(rows) // step) + 1
+        found = pd.concat(frames)
+        assert found["node"].tolist() == words and found["merged"].tolist()[:3_000] == words[:3_000]
+        assert set(found["merged"].tolist()[3_000:]) == {"job <*> of <*> done"}
+        assert found["template_id"].tolist() == [None] * 3_000 + ["id-1"] * 3
