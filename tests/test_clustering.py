@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import random
+import time
 from collections import Counter, defaultdict
 from datetime import datetime, timedelta
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
 import pytest
 
+from lanternlog import session
 from lanternlog.operators import clustering, correlation
 
 START = datetime(2024, 1, 1)
@@ -111,6 +114,100 @@ def test_empty_signatures(spark):
     assert clustering.cluster_signatures(spark.createDataFrame([], SIGNATURES)).collect() == []
 
 
+EVENTS = "application string, environment string, source_path string, line_number long, event_ts timestamp, sanitized_message string"
+
+
+def log_events(spark, n, seed=7):
+    """Lines of many texts, some of few templates and often repeated, some long and of their own."""
+    rng = random.Random(seed)
+    rows = []
+    for i in range(n):
+        text = f"job a{rng.randrange(4)} took w{rng.randrange(30)} of b done"
+        if i % 3:
+            text = " ".join("".join(rng.choices("abcdefghijklmnop", k=6)) for _ in range(rng.randint(3, 30)))
+        rows.append((f"app-{i % 2}", "prod", "/f", i, START + timedelta(seconds=i), text))
+    return spark.createDataFrame(rows, EVENTS).repartition(3)
+
+
+def size_of(path):
+    return sum(p.stat().st_size for p in Path(str(path).removeprefix("file:")).rglob("*") if p.is_file())
+
+
+def test_mined_rows_alone_stay_on_disk(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(clustering, "ROUND_BYTES", 200_000, raising=False)
+    session.ship_package(spark)
+    events = log_events(spark, 6_000)
+    before = size_of(session.shared_dir(spark))
+    mined = clustering.mine_templates(events)
+    held = size_of(session.shared_dir(spark)) - before
+    mined.write.parquet(str(tmp_path / "mined"), compression="zstd")
+    assert mined.count() == 6_000 and held < 1.5 * size_of(tmp_path / "mined")
+
+
+def test_rounds_hold_a_share_of_the_texts(spark, monkeypatch):
+    monkeypatch.setattr(clustering, "PARTS", 6)
+    events = log_events(spark, 6_000)
+    before = size_of(session.shared_dir(spark))
+    peaks = []
+    for size in (1 << 30, 1):
+        monkeypatch.setattr(clustering, "ROUND_BYTES", size)
+        seen = []
+        write = session.write_compact
+
+        def watched(df, path, *rest, write=write, seen=seen, **options):
+            write(df, path, *rest, **options)
+            seen.append(size_of(session.shared_dir(spark)))
+
+        monkeypatch.setattr(session, "write_compact", watched), monkeypatch.setattr(clustering, "write_compact", watched)
+        clustering.mine_templates(events, keep=[])
+        monkeypatch.setattr(session, "write_compact", write), monkeypatch.setattr(clustering, "write_compact", write)
+        peaks.append(max(seen) - before)
+        before = size_of(session.shared_dir(spark))
+    assert peaks[1] < 0.7 * peaks[0]
+
+
+def test_rounds_give_the_same_templates(spark, monkeypatch):
+    monkeypatch.setattr(clustering, "PIECE", 60)
+    monkeypatch.setattr(clustering, "PARTS", 3)
+    odd = [("app-0", "prod", "/g", 1, START, t) for t in ("", "  two  blanks  here ", "x1 of y", "twice", "twice", None)]
+    odd += [(None, "prod", "/g", 2, START, "no scope"), ("app-0", None, "/g", 3, None, "no scope")]
+    events = log_events(spark, 400).unionByName(spark.createDataFrame(odd, EVENTS))
+    known = spark.createDataFrame(
+        [("k1", "app-0", "prod", "job a1 took <*> of b done", START), ("k2", "app-1", "prod", "never seen", START)],
+        "id string, application string, environment string, template_pattern string, first_seen timestamp",
+    )
+    found = []
+    for size in (1 << 30, 1):
+        monkeypatch.setattr(clustering, "ROUND_BYTES", size)
+        found.append(sorted(map(tuple, clustering.mine_templates(events, known=known).collect()), key=repr))
+    assert found[0] == found[1] and len(found[0]) == 405
+    assert {r[-1] for r in found[0] if r[0] == "app-0" and r[-2].startswith("job")} == {"k1"}
+    kept = clustering.mine_templates(events, known=known, keep=["line_number"])
+    assert kept.columns == ["application", "environment", "line_number", "template_text", "template_id"]
+    assert clustering.mine_templates(events.limit(0), keep=[]).collect() == []
+
+
+def test_rounds_are_cut_by_size(monkeypatch):
+    monkeypatch.setattr(clustering, "ROUND_BYTES", 10)
+    assert clustering._rounds({}) == [[]]
+    assert clustering._rounds({"a": 4, "b": 6, "c": 1, "d": 30, "e": 2}) == [["a", "b"], ["c"], ["d"], ["e"]]
+
+
+def test_shuffle_files_of_a_write_go(spark, tmp_path):
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        found = files.getAllFiles()
+        return {f for f in (found.apply(i).getName() for i in range(found.size())) if f.startswith("shuffle_")}
+
+    before = shuffled()
+    session.write_compact(spark.range(20_000).repartition(3, "id"), str(tmp_path / "out"))
+    until = time.time() + 20
+    while shuffled() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not shuffled() - before and spark.read.parquet(str(tmp_path / "out")).count() == 20_000
+
+
 def observations(spark, rows):
     data = [("app", "prod", t, s, START + timedelta(minutes=5 * b)) for b, t, s in rows]
     return spark.createDataFrame(data, "application string, environment string, template_id string, source_id string, event_ts timestamp")
